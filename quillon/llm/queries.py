@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, quality, secrets
+from quillon.llm import decontam, lines, quality, secrets
 from quillon.llm.shared import table
 
 _BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -95,5 +95,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured
 """
 
-QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicated(docs).select(
+        "doc_id",
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_kept"),
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {"op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL}
