@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; readers start from the files."""
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder; readers start from the files.
+
+    The shuffle files behind it are then of no use. Spark removes them once the
+    driver has collected what names them, so it is asked to collect.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle and checkpoint files that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
