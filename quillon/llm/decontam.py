@@ -54,6 +54,16 @@ class WindowSet:
         self.windows = {n: {k: tuple(sorted(v)) for k, v in of.items()} for n, of in found.items()}
         self.hashes = {n: np.unique(_hash(np.array(list(of), dtype=np.int64), n)) for n, of in self.windows.items()}
 
+    def parts(self) -> tuple:
+        """What to broadcast: plain values, as executors may lack this module."""
+        return self.number, self.windows, self.hashes
+
+    @classmethod
+    def of(cls, parts: tuple) -> WindowSet:
+        out = cls([])
+        out.number, out.windows, out.hashes = parts
+        return out
+
     def scan(self, docs: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
         """For each document the windows that it has, as word spans, and their items."""
         out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in docs]
@@ -125,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     out = docs
     found = []
     for rows in blocks(benchmark, item, item_text, block_words):
-        known = spark.sparkContext.broadcast(WindowSet([(n if n is not None else "\0", t) for n, t in rows], width))
+        known = spark.sparkContext.broadcast(WindowSet([(n if n is not None else "\0", t) for n, t in rows], width).parts())
         part = free_name(out, name)
         out = out.withColumn(part, _scanner(known)(F.col(text)))
         found.append(part)
@@ -138,7 +148,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 def _scanner(known):
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        windows = known.value
+        windows = WindowSet.of(known.value)
         for batch in batches:
             rows = []
             for part in byte_texts(batch):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, lines, packing, quality, secrets, simhash
+from quillon.llm import decontam, lines, packing, passages, quality, secrets, simhash
 from quillon.llm.shared import table
 
 _BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -105,6 +105,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", passages.digests(F.col("text"), F.col("spans")).alias("d")).select("doc_id", "d.*")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.deduplicated(docs).select(
@@ -116,5 +121,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL}
