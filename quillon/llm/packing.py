@@ -38,7 +38,7 @@ from quillon.llm.shared import texts
 CAPACITY = 1024
 END_ID = 2
 #: Pieces of one length and salt that are ranked together.
-SALT_ROWS = 50_000
+SALT_ROWS = 1_000
 ROUNDS = 400
 #: The split into words that the vocabulary was made with (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
