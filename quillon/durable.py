@@ -28,9 +28,11 @@ def durable(df: DataFrame) -> DataFrame:
     The shuffle files behind it are then of no use. Spark removes them once the
     driver has collected what names them, so it is asked to collect.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     out = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df
+    release(spark)
     return out
 
 
