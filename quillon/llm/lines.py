@@ -26,8 +26,6 @@ of the same number. Other columns pass through.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,24 +40,19 @@ BUCKETS = 1 << 18
 _HASH_BITS = 52
 
 
-def _tokens(line: Column) -> Column:
-    """Distinct tokens as strings."""
-    return F.array_distinct(F.filter(F.split(F.lower(line), " "), lambda t: t != ""))
+def _split(line: Column) -> Column:
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
 
 
-def _hashed(line: Column) -> Column:
-    """Tokens as hashes, repeats included; the empty string stands for none."""
-    return F.transform(F.split(F.lower(line), " "), lambda t: F.when(t != "", F.xxhash64(t)))
-
-
 def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
     """For each hash bucket, a class that grows with the logarithm of its tokens' count."""
     counted = (
-        docs.select(F.explode(F.split(F.lower(F.col(text)), "[ \n]")).alias("t"))
+        docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
+        .select(F.explode(F.split(F.lower("line"), " ")).alias("t"))
         .where("t != ''")
         .groupBy(F.expr(f"cast(xxhash64(t) & {buckets - 1} as int)").alias("bucket"))
         .count()
@@ -76,29 +69,26 @@ def _keys(line: Column, classes: np.ndarray) -> Column:
     ranks = F.from_json(F.lit("[" + ",".join(map(str, classes.tolist())) + "]"), "array<tinyint>")
     mask, low = len(classes) - 1, (1 << _HASH_BITS) - 1
 
-    def key(h: Column) -> Column:
+    def key(t: Column) -> Column:
+        h = F.xxhash64(t)
         rank = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int"))
         return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
 
-    return F.sort_array(F.array_distinct(F.array_compact(F.transform(_hashed(line), key))))
+    return F.sort_array(F.array_distinct(F.transform(_split(line), key)))
+
 
+def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, similar: tuple[int, int]) -> DataFrame:
+    """Each line's place, the hash of its token set, its size, bitmap and prefix; lines without tokens as well.
 
-def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, min_tokens: int, similar: tuple[int, int]) -> DataFrame:
-    """Each line's place, its class (two hashes), size, bitmap and prefix."""
+    Nothing is filtered here, as a filter would go below the projection and sort the
+    tokens a second time.
+    """
     num, den = similar
-    keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys")).where(F.size("keys") >= min_tokens)
+    keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys"))
     bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
     n = F.size("keys")
     prefix = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    return keyed.select(
-        "doc",
-        "line_no",
-        F.xxhash64("keys").alias("k1"),
-        F.xxhash64(F.lit(1), "keys").alias("k2"),
-        n.alias("n"),
-        bitmap.alias("bits"),
-        F.slice("keys", F.lit(1), prefix).alias("prefix"),
-    )
+    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix"))
 
 
 def _bit(k: Column) -> Column:
@@ -118,50 +108,63 @@ def _similar_candidates(similar: tuple[int, int]) -> str:
         f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
         f" AND {num + den} * (1 + least(x.n - x.i, y.n - y.i)) >= {num} * (x.n + y.n)"
         f" AND {num + den} * bit_count(x.bits ^ y.bits) <= {den - num} * (x.n + y.n)"
-        " AND y.place < x.place"
+        " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
     )
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similar: tuple[int, int]) -> DataFrame:
     """The places of x of those pairs whose lines are similar by their texts."""
     num, den = similar
-    pairs = durable(pairs)
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("place")).distinct().groupBy(F.col("place.doc").alias("doc")).agg(F.collect_set("place.line_no").alias("wanted"))
+    places = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")), F.struct(F.col("y_doc").alias("doc"), F.col("y_line").alias("line_no")))).alias("p"))
+    wanted = places.groupBy("p.doc").agg(F.collect_set("p.line_no").alias("wanted"))
     found = (
-        docs.select(F.col(doc_id).alias("id"), F.split(F.col(text), "\n").alias("lines"))
+        docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
         .dropDuplicates(["doc"])
-        .select("doc", "lines", F.explode("wanted").alias("line_no"))
-        .select(F.struct("doc", "line_no").alias("place"), _tokens(F.get("lines", F.col("line_no"))).alias("tokens"))
+        .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
+        .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
     )
-    left, right = found.select(F.col("place").alias("x"), F.col("tokens").alias("tx")), found.select(F.col("place").alias("y"), F.col("tokens").alias("ty"))
+    x = found.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("tx"))
+    y = found.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty"))
-    return pairs.join(left, "x").join(right, "y").where(common * (num + den) >= (F.size("tx") + F.size("ty")) * num).select(F.col("x").alias("place")).distinct()
+    both = _joined(_joined(pairs, x, ["x_doc", "x_line"]), y, ["y_doc", "y_line"])
+    return both.where(common * (num + den) >= (F.size("tx") + F.size("ty")) * num).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")).distinct()
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which the first may be null."""
+    other = right.withColumnsRenamed({k: f"{k}_2" for k in keys})
+    on = F.col(keys[0]).eqNullSafe(F.col(f"{keys[0]}_2")) & (F.col(keys[1]) == F.col(f"{keys[1]}_2"))
+    return left.join(other, on, how).drop(*(f"{k}_2" for k in keys))
+
+
+def _prefix_rows(firsts: DataFrame) -> DataFrame:
+    return firsts.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+
+
+def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs that share a token of their prefixes and pass the filters."""
+    pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(_similar_candidates(similar)))
+    return pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row for each line to remove: doc, line_no (from 0)."""
-    classes = rarity(docs, text)
-    described = durable(_described(docs, doc_id, text, classes, min_tokens, similar))
-    firsts = described.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    rows = durable(firsts.select("place", "n", "bits", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1))
-    near = F.expr(_similar_candidates(similar))
-
-    pivots = rows.groupBy("token").agg(F.min(F.struct("place", "n", "bits", "i")).alias("p")).select("token", "p.*")
-    near_pivot = rows.alias("x").join(pivots.alias("y"), F.col("x.token") == F.col("y.token")).where(near).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
-    done = durable(_verified(near_pivot, docs, doc_id, text, similar))
-
-    open_rows = rows.join(done, "place", "left_anti")
-    others = open_rows.alias("x").join(rows.alias("y"), F.col("x.token") == F.col("y.token")).where(near).select(F.col("x.place").alias("x"), F.col("y.place").alias("y")).distinct()
-    matched = done.unionByName(durable(_verified(others, docs, doc_id, text, similar)))
-
-    repeats = (
-        described.select("doc", "line_no", "k1", "k2")
-        .join(firsts.select("k1", "k2", "place"), ["k1", "k2"])
-        .where(~F.struct("doc", "line_no").eqNullSafe(F.col("place")))
-        .select("doc", "line_no")
-    )
-    return repeats.unionByName(matched.select("place.doc", "place.line_no"))
+    described = durable(_described(docs, doc_id, text, rarity(docs, text), similar)).where(F.col("n") >= min_tokens)
+    same = ["set", "n", "bits"]
+    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("prefix").alias("prefix")).select(*same, "place.*", "prefix"))
+    first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
+    on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
+    repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
+    del described
+
+    rows = _prefix_rows(firsts)
+    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
+    near = durable(_near(rows, earliest, similar))
+    done = durable(_verified(near, docs, doc_id, text, similar))
+    near = durable(_near(_prefix_rows(_joined(firsts, done, ["doc", "line_no"], "left_anti")), rows, similar))
+    del firsts, rows, earliest
+    return repeats.unionByName(done).unionByName(durable(_verified(near, docs, doc_id, text, similar)))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, lines, packing, passages, quality, secrets, simhash
+from quillon.llm import decontam, language, licenses, lines, packing, passages, quality, secrets, simhash
 from quillon.llm.shared import table
 
 _BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -16,6 +16,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language.held_out(F.col("doc_id"))
+    model = language.learn(docs.where(~out))
+    return language.predicted(docs.select("doc_id", "text"), model).select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_matches(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    named = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"], m["matched"], m["words"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(named, ",").alias("matches"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -121,5 +134,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL}
