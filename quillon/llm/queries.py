@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, language, licenses, lines, packing, passages, quality, secrets, simhash
+from quillon.llm import decontam, html, language, licenses, lines, packing, passages, quality, secrets, simhash
 from quillon.llm.shared import table
 
 _BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "main.text", F.length("main.text").cast("long").alias("n_chars"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -134,5 +139,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_main_text": op1_main_text, "op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
 ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL}
