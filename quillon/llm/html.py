@@ -37,6 +37,7 @@ PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 24, 8, 24
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Pages of a batch, and blocks of a batch, that a task labels at once.
 BATCH_PAGES, BATCH_BLOCKS = 128, 16_384
+KNOWN_PATHS = 20_000
 
 # Fixed values of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -118,13 +119,6 @@ def _close(names: list[str], above: list[tuple[str, ...]], name: str) -> None:
             return
 
 
-@lru_cache(1 << 16)
-def _hashed(token: str, dim: int) -> tuple[int, float]:
-    h = crc32(token.encode())
-    return h % dim, 1.0 if h >> 31 else -1.0
-
-
-@lru_cache(1 << 14)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH_DIM, dtype=np.float32)
     tokens = set(path)
@@ -132,19 +126,22 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
         tokens.update(p for p in re.split(r"[-_.]+", token) if len(p) > 1)
     tokens.update(f"leaf {x}" for x in path[-1:])
     for token in tokens:
-        k, sign = _hashed(token, PATH_DIM)
-        out[k] += sign
+        h = crc32(token.encode())
+        out[h % PATH_DIM] += 1.0 if h >> 31 else -1.0
     return out
 
 
-def vectors(page: list[Block]) -> np.ndarray:
-    """One row a block."""
+def vectors(page: list[Block], known: dict[tuple[str, ...], np.ndarray]) -> np.ndarray:
+    """One row a block; ``known`` keeps the vectors of paths, a bounded number of them."""
+    if len(known) > KNOWN_PATHS:
+        known.clear()
     out = np.zeros((len(page), DIM), dtype=np.float32)
     for k, b in enumerate(page):
+        if (of_path := known.get(b.path)) is None:
+            of_path = known[b.path] = _path_vector(b.path)
         words = b.text.split(" ")
-        out[k, :PATH_DIM] = _path_vector(b.path)
-        at = [crc32(w.encode()) % WORD_DIM for w in words]
-        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(at, minlength=WORD_DIM) / np.sqrt(len(words)) / 4
+        out[k, :PATH_DIM] = of_path
+        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([crc32(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM) / np.sqrt(len(words)) / 4
         n = len(b.text)
         out[k, PATH_DIM + WORD_DIM :] = (
             np.log1p(len(words)) / 4,
@@ -261,7 +258,8 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def trained(n_pages: int = 600, epochs: int = 14, seed: int = 1) -> Labeller:
     """A labeller trained by Adam on ``n_pages`` synthetic pages."""
     rng = np.random.default_rng(seed)
-    made = [(vectors(found), labels) for found, labels in synthetic_pages(n_pages, seed)]
+    known: dict = {}
+    made = [(vectors(found, known), labels) for found, labels in synthetic_pages(n_pages, seed)]
     model = Labeller(seed=seed)
     first = {k: np.zeros_like(w) for k, w in model.weights.items()}
     second = {k: np.zeros_like(w) for k, w in model.weights.items()}
@@ -417,12 +415,12 @@ def main_text(pages: DataFrame, html: str = "html", name: str = "main") -> DataF
     known = pages.sparkSession.sparkContext.broadcast(trained().weights)
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = Labeller(known.value)
+        model, paths = Labeller(known.value), {}
         for batch in batches:
             rows = []
             for part in texts(batch):
                 found = [blocks(p) for p in part]
-                for page, keep in zip(found, model.labels([vectors(p) for p in found]), strict=True):
+                for page, keep in zip(found, model.labels([vectors(p, paths) for p in found]), strict=True):
                     rows.append({"text": " ".join(b.text for b, k in zip(page, keep.tolist(), strict=True) if k), "n_blocks": len(page), "n_kept": int(keep.sum())})
             yield pa.array(rows, _TEXT)
 
