@@ -1,6 +1,6 @@
-"""Line dedup by an exact set-similarity join, in DataFrame operations only.
+"""Line dedup by an exact set-similarity join.
 
-A line's tokens are the distinct runs of characters other than U+0020 in its lower
+A line's tokens are the distinct runs of other than ASCII white space in its lower
 case. Two lines are similar if the Jaccard index of their token sets is at least
 ``similar`` (a fraction, 4/5 unless told otherwise). Documents are ordered by id,
 lines within them by number; a line is removed if any earlier line of the input is
@@ -10,168 +10,432 @@ similar to it, whether or not that one is removed too. Lines of fewer than
 1. Tokens are counted over the whole corpus in a table of fixed size, by hash, and
    each line's tokens are sorted from rare to frequent. Hash collisions only change
    that order, which any fixed order of tokens may have.
-2. Lines with one token set form a class that its first line stands for, so copies
-   are never compared.
-3. Classes that share a token of their prefixes are candidates if they pass the
-   length, the positional and a bitmap filter. A class is compared first with the
-   earliest class of each token; only one that this leaves is joined with the
-   others. So a large group of near copies costs as many comparisons as it has
+2. Lines with one token set form a class that its first line stands for, found within
+   tasks first, so copies are neither shipped nor compared.
+3. Classes that share a token of their prefixes are compared by length, position and
+   a bitmap of their tokens. For each token a class keeps its first ``CANDIDATES``
+   earlier lines that pass; a group of near copies so gives as many candidates as
    lines, not their square.
-4. Candidates are verified on the texts of their lines.
-
-Null text has no lines and stays null; an empty table stays empty; rows that share
-a doc_id are taken for one place in the order and do not remove each other's lines
-of the same number. Other columns pass through.
+4. Candidates are verified on the tokens of their lines. A class of which no
+   candidate holds, and which has more than it kept, is compared with all others in
+   a second round.
+
+Tokens are compared by 64-bit hashes of which 52 bits and the rarity are used. Null
+text has no lines and stays null; rows without an id stay as they are and remove
+nothing; rows that share an id are taken for one place in the order and do not remove
+each other's lines of the same number. An empty table stays empty. Other columns
+pass through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.durable import durable
+from quillon.llm.blocks import SCHEMA, batch, dealt, gathered, mixed, part_of, runs, unpack
 from quillon.llm.shared import free_name
 
 MIN_TOKENS = 3
 SIMILAR = (4, 5)
 #: Counters of token frequency; the table is of this size whatever the corpus.
 BUCKETS = 1 << 18
-_HASH_BITS = 52
+#: Candidates that a class keeps for a token in the first round.
+CANDIDATES = 8
+#: Bytes of text, and words whose hashes are kept, that a task works on at a time.
+SLICE_BYTES, KNOWN_WORDS = 1 << 21, 400_000
+_BITS = 52
+_LOW = np.uint64((1 << _BITS) - 1)
+
+_CLASS = np.dtype([("set", "<u8"), ("bits", "<u8"), ("n", "<i8"), ("doc", "<i8"), ("line", "<i8")])
+_ROW = np.dtype([("token", "<u8"), ("bits", "<u8"), ("n", "<i8"), ("i", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("asks", "<i8")])
+_PAIR = np.dtype([("x_doc", "<i8"), ("x_line", "<i8"), ("y_doc", "<i8"), ("y_line", "<i8"), ("more", "<i8")])
+_PLACE = np.dtype([("doc", "<i8"), ("line", "<i8"), ("part", "<i8")])
+_TOKENS = np.dtype([("doc", "<i8"), ("line", "<i8"), ("n", "<i8")])
+_KEY = np.dtype("<u8")
+_COUNT = np.dtype("<i8")
+
+
+class Hasher:
+    """Hashes of words, each computed once while it is known."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, dtype=np.uint64)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.known) > KNOWN_WORDS:
+            self.__init__()
+        ids = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if (ids < 0).any():
+            new = list(dict.fromkeys(words[k] for k in np.flatnonzero(ids < 0).tolist()))
+            base = len(self.known)
+            self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            self.hashes = np.concatenate((self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))))
+            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.hashes[ids]
+
+
+def _split(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """All words of some texts, how many each line has, and how many lines each text has."""
+    words: list[bytes] = []
+    sizes: list[int] = []
+    lines: list[int] = []
+    for t in texts:
+        split = t.lower().encode().split(b"\n")
+        lines.append(len(split))
+        for line in split:
+            found = line.split()
+            sizes.append(len(found))
+            words += found
+    return words, np.array(sizes, dtype=np.int64), np.array(lines, dtype=np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    docs: list[int] = []
+    held: list[str] = []
+    size = 0
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            some = b.slice(at, 64)
+            for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                docs.append(d)
+                held.append(t)
+                size += len(t)
+            if size > SLICE_BYTES:
+                yield np.array(docs, dtype=np.int64), held
+                docs, held, size = [], [], 0
+    if docs:
+        yield np.array(docs, dtype=np.int64), held
+
+
+def rarity(given: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """For each hash bucket, a class that grows with the logarithm of its tokens' count."""
+    blocks = 16
+    width = buckets // blocks
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, sums = Hasher(), np.zeros(buckets, dtype=np.int64)
+        for _, held in _slices(batches):
+            sums += np.bincount((hasher.of(_split(held)[0]) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+        yield batch(dealt("counts", sums, np.arange(buckets) // width, blocks))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                got = gathered([b.slice(k, 1)], {"counts": _COUNT})["counts"]
+                part = b.column("part")[k].as_py()
+                sums[part] = sums.get(part, 0) + got
+        yield batch(m for part, s in sums.items() for m in dealt("counts", s, np.full(len(s), part), blocks))
+
+    out = np.zeros(buckets, dtype=np.int64)
+    for row in given.mapInArrow(count, SCHEMA).repartition(blocks, "part").mapInArrow(add, SCHEMA).collect():  # 16 rows
+        out[row["part"] * width : (row["part"] + 1) * width] = unpack(bytes(row["data"]), _COUNT)
+    return np.floor(6 * np.log2(np.maximum(out, 1))).astype(np.uint8)
+
+
+def _keyed(texts: list[str], hasher: Hasher, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of each line in ascending order, one line behind the other; their number by line; lines by text."""
+    words, sizes, lines = _split(texts)
+    h = hasher.of(words)
+    key = (classes[(h & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(_BITS)) | (h & _LOW)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((key, line))
+    key, line = key[order], line[order]
+    first = runs(key, line)
+    return key[first], np.bincount(line[first], minlength=len(sizes)), lines
+
+
+def _described(docs: np.ndarray, texts: list[str], hasher: Hasher, classes: np.ndarray, min_tokens: int, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of some documents as ``_CLASS`` rows, and the prefixes of their keys one behind the other."""
+    keys, n, lines = _keyed(texts, hasher, classes)
+    start = np.cumsum(n) - n
+    use = np.flatnonzero(n >= max(1, min_tokens))
+    out = np.empty(len(use), dtype=_CLASS)
+    if not len(use):
+        return out, keys[:0]
+    some = n > 0
+    reduce_at = start[some]
+    bits, set_ = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+    bits[some] = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), reduce_at)
+    set_[some] = np.add.reduceat(mixed(keys), reduce_at)
+    doc = np.repeat(np.arange(len(lines)), lines)
+    number = np.arange(len(n)) - np.repeat(np.cumsum(lines) - lines, lines)
+    out["set"], out["bits"], out["n"], out["doc"], out["line"] = set_[use], bits[use], n[use], docs[doc[use]], number[use]
+    return out, ragged(keys, start[use], prefix_size(n[use], similar))
+
+
+def prefix_size(n: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    num, den = similar
+    return n - (n * num + den - 1) // den + 1
 
 
-def _split(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``flat[start:start + size]`` of each pair, one behind the other."""
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return flat[at]
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+def _firsts(lines: np.ndarray, prefixes: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each class the first line with its prefix, and the places of the others."""
+    size = prefix_size(lines["n"], similar)
+    start = np.cumsum(size) - size
+    order = np.lexsort((lines["line"], lines["doc"], lines["bits"], lines["n"], lines["set"]))
+    p = lines[order]
+    first = runs(p["set"], p["n"], p["bits"])
+    of = np.repeat(first, np.diff(np.append(first, len(p))))
+    other = (p["doc"] != p["doc"][of]) | (p["line"] != p["line"][of])
+    gone = np.zeros(int(other.sum()), dtype=_PLACE)
+    gone["doc"], gone["line"] = p["doc"][other], p["line"][other]
+    return p[first], ragged(prefixes, start[order[first]], size[order[first]]), gone
 
 
-def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """For each hash bucket, a class that grows with the logarithm of its tokens' count."""
-    counted = (
-        docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-        .select(F.explode(F.split(F.lower("line"), " ")).alias("t"))
-        .where("t != ''")
-        .groupBy(F.expr(f"cast(xxhash64(t) & {buckets - 1} as int)").alias("bucket"))
-        .count()
-        .select("bucket", F.least(F.floor(6 * F.log2("count")), F.lit(127)).cast("int").alias("class"))
-        .toArrow()
-    )
-    classes = np.zeros(buckets, dtype=np.int64)
-    classes[counted["bucket"].to_numpy()] = counted["class"].to_numpy()
-    return classes
-
-
-def _keys(line: Column, classes: np.ndarray) -> Column:
-    """Distinct token keys in ascending order: rarity class above, hash below."""
-    ranks = F.from_json(F.lit("[" + ",".join(map(str, classes.tolist())) + "]"), "array<tinyint>")
-    mask, low = len(classes) - 1, (1 << _HASH_BITS) - 1
-
-    def key(t: Column) -> Column:
-        h = F.xxhash64(t)
-        rank = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int"))
-        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
-
-    return F.sort_array(F.array_distinct(F.transform(_split(line), key)))
-
-
-def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """Each line's place, the hash of its token set, its size, bitmap and prefix; lines without tokens as well.
-
-    Nothing is filtered here, as a filter would go below the projection and sort the
-    tokens a second time.
-    """
-    num, den = similar
-    keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys"))
-    bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
-    n = F.size("keys")
-    prefix = n - F.floor((n * num + den - 1) / den).cast("int") + 1
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), F.slice("keys", F.lit(1), prefix).alias("prefix"))
+def _class_messages(lines: np.ndarray, prefixes: np.ndarray, gone: np.ndarray, parts: int, similar: tuple[int, int]) -> Iterator[tuple[int, str, bytes]]:
+    part = part_of(lines["set"], parts)
+    size = prefix_size(lines["n"], similar)
+    yield from dealt("lines", lines, part, parts)
+    yield from dealt("prefixes", prefixes, np.repeat(part, size), parts)
+    yield from dealt("gone", gone, part_of(gone["doc"], parts), parts)
 
 
-def _bit(k: Column) -> Column:
-    """The bit of a token in the 64-bit bitmap."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+def _describer(classes, parts: int, min_tokens: int, similar: tuple[int, int]):
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, table = Hasher(), classes.value
+        found = [_described(docs, held, hasher, table, min_tokens, similar) for docs, held in _slices(batches)]
+        if found:
+            lines, prefixes = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield batch(_class_messages(*_firsts(lines, prefixes, similar), parts, similar))
 
+    return describe
 
-def _similar_candidates(similar: tuple[int, int]) -> str:
-    """The length, positional and bitmap filters, and that y comes first.
 
-    Sets of nx and ny tokens reach the index num/den only if they have at least
-    num * (nx + ny) / (num + den) tokens in common, so at most
-    (den - num) * (nx + ny) / (num + den) in one of them alone.
-    """
-    num, den = similar
-    return (
-        f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
-        f" AND {num + den} * (1 + least(x.n - x.i, y.n - y.i)) >= {num} * (x.n + y.n)"
-        f" AND {num + den} * bit_count(x.bits ^ y.bits) <= {den - num} * (x.n + y.n)"
-        " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
-    )
+_CLASS_KINDS = {"lines": _CLASS, "prefixes": _KEY, "gone": _PLACE}
+
 
+def _dealer(parts: int, similar: tuple[int, int]):
+    """Joins the tasks' classes and deals a row for each token of a prefix."""
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similar: tuple[int, int]) -> DataFrame:
-    """The places of x of those pairs whose lines are similar by their texts."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches, _CLASS_KINDS)
+        first, prefixes, gone = _firsts(got["lines"], got["prefixes"], similar)
+        rows = _rows(first, prefixes, similar)
+        gone = np.concatenate((got["gone"], gone))
+        yield batch([*dealt("rows", rows, part_of(rows["token"], parts), parts), *dealt("gone", gone, part_of(gone["doc"], parts), parts)])
+
+    return deal
+
+
+def _rows(classes: np.ndarray, prefixes: np.ndarray, similar: tuple[int, int], asks: int = 0) -> np.ndarray:
+    size = prefix_size(classes["n"], similar)
+    of = np.repeat(np.arange(len(classes)), size)
+    rows = np.empty(len(of), dtype=_ROW)
+    for k in ("bits", "n", "doc", "line"):
+        rows[k] = classes[k][of]
+    rows["token"], rows["asks"] = prefixes, asks
+    rows["i"] = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + 1
+    return rows
+
+
+def near_pairs(rows: np.ndarray, similar: tuple[int, int], most: int | None) -> np.ndarray:
+    """Pairs of a line and an earlier one that share a token and pass the filters; at most ``most`` a line and token.
+
+    With ``most`` None, only for rows that ask, and all of them. A pair's ``more`` says
+    that its line may have further ones.
+    """
     num, den = similar
-    places = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")), F.struct(F.col("y_doc").alias("doc"), F.col("y_line").alias("line_no")))).alias("p"))
-    wanted = places.groupBy("p.doc").agg(F.collect_set("p.line_no").alias("wanted"))
-    found = (
-        docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-        .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
-        .dropDuplicates(["doc"])
-        .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
-        .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
-    )
-    x = found.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("tx"))
-    y = found.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("ty"))
-    common = F.size(F.array_intersect("tx", "ty"))
-    both = _joined(_joined(pairs, x, ["x_doc", "x_line"]), y, ["y_doc", "y_line"])
-    return both.where(common * (num + den) >= (F.size("tx") + F.size("ty")) * num).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")).distinct()
-
-
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """A join on keys of which the first may be null."""
-    other = right.withColumnsRenamed({k: f"{k}_2" for k in keys})
-    on = F.col(keys[0]).eqNullSafe(F.col(f"{keys[0]}_2")) & (F.col(keys[1]) == F.col(f"{keys[1]}_2"))
-    return left.join(other, on, how).drop(*(f"{k}_2" for k in keys))
-
-
-def _prefix_rows(firsts: DataFrame) -> DataFrame:
-    return firsts.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
-
-
-def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs that share a token of their prefixes and pass the filters."""
-    pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(_similar_candidates(similar)))
-    return pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
-
-
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """One row for each line to remove: doc, line_no (from 0)."""
-    described = durable(_described(docs, doc_id, text, rarity(docs, text), similar)).where(F.col("n") >= min_tokens)
-    same = ["set", "n", "bits"]
-    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("prefix").alias("prefix")).select(*same, "place.*", "prefix"))
-    first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
-    on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
-    repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
-    del described
-
-    rows = _prefix_rows(firsts)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
-    near = durable(_near(rows, earliest, similar))
-    done = durable(_verified(near, docs, doc_id, text, similar))
-    near = durable(_near(_prefix_rows(_joined(firsts, done, ["doc", "line_no"], "left_anti")), rows, similar))
-    del firsts, rows, earliest
-    return repeats.unionByName(done).unionByName(durable(_verified(near, docs, doc_id, text, similar)))
+    p = rows[np.lexsort((rows["line"], rows["doc"], rows["n"], rows["token"]))]
+    first = runs(p["token"])
+    count = np.diff(np.append(first, len(p)))
+    begin, end = np.repeat(first, count), np.repeat(first + count, count)
+    token, bits, n, i, doc, line = (np.ascontiguousarray(p[k]) for k in ("token", "bits", "n", "i", "doc", "line"))
+    open_ = np.flatnonzero(end - begin > 1) if most is not None else np.flatnonzero((end - begin > 1) & (p["asks"] > 0))
+    if not len(open_):
+        return np.zeros(0, dtype=_PAIR)
+    # lines of a token stand in the order of their sizes: those of a fitting size are a range
+    rank = np.cumsum(np.isin(np.arange(len(p)), first)) - 1
+    by_size = rank * (int(n.max()) + 2) + n
+    low = np.searchsorted(by_size, rank[open_] * (int(n.max()) + 2) + (n[open_] * num + den - 1) // den)
+    high = np.searchsorted(by_size, rank[open_] * (int(n.max()) + 2) + np.minimum(n[open_] * den // num, int(n.max())), side="right")
+    kept = np.zeros(len(p), dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    x, y, stop = open_, low, high
+    while len(x):
+        near = (
+            (num * (n[x] + n[y]) <= (num + den) * (1 + np.minimum(n[x] - i[x], n[y] - i[y])))
+            & ((num + den) * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= (den - num) * (n[x] + n[y]))
+            & ((doc[y] < doc[x]) | ((doc[y] == doc[x]) & (line[y] < line[x])))
+        )
+        if near.any():
+            found.append((x[near], y[near]))
+            kept[x[near]] += 1
+        y = y + 1
+        go = y < stop if most is None else (y < stop) & (kept[x] < most)
+        x, y, stop = x[go], y[go], stop[go]
+    out = np.zeros(sum(len(a) for a, _ in found), dtype=_PAIR)
+    if found:
+        x, y = (np.concatenate(v) for v in zip(*found, strict=True))
+        out["x_doc"], out["x_line"], out["y_doc"], out["y_line"] = doc[x], line[x], doc[y], line[y]
+        out["more"] = (kept[x] >= most) if most is not None else 0
+    return out
+
+
+def _place_part(doc: np.ndarray, line: np.ndarray, parts: int) -> np.ndarray:
+    return part_of(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.view(np.uint64), parts)
+
+
+def _comparer(parts: int, similar: tuple[int, int], most: int | None):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches, {"rows": _ROW, "gone": _PLACE})
+        pairs = near_pairs(got["rows"], similar, most)
+        yield batch([*dealt("pairs", pairs, _place_part(pairs["x_doc"], pairs["x_line"], parts), parts), *dealt("gone", got["gone"], part_of(got["gone"]["doc"], parts), parts)])
+
+    return compare
+
+
+def _asker(parts: int):
+    """Joins the pairs of a line, each once, and asks for the tokens of all lines in them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches, {"pairs": _PAIR, "gone": _PLACE})
+        pairs, gone = got["pairs"], got["gone"]
+        pairs = pairs[np.lexsort((-pairs["more"], pairs["y_line"], pairs["y_doc"], pairs["x_line"], pairs["x_doc"]))]
+        pairs = pairs[runs(*(pairs[k] for k in ("x_doc", "x_line", "y_doc", "y_line")))]
+        part = _place_part(pairs["x_doc"], pairs["x_line"], parts)
+        wants = np.zeros(2 * len(pairs), dtype=_PLACE)
+        for k, side in enumerate("xy"):
+            wants["doc"][k::2], wants["line"][k::2], wants["part"][k::2] = pairs[f"{side}_doc"], pairs[f"{side}_line"], part
+        wants = wants[np.lexsort((wants["part"], wants["line"], wants["doc"]))]
+        wants = wants[runs(wants["doc"], wants["line"], wants["part"])]
+        yield batch([*dealt("pairs", pairs, part, parts), *dealt("wants", wants, part_of(wants["doc"], parts), parts), *dealt("gone", gone, part_of(gone["doc"], parts), parts)])
+
+    return ask
+
+
+def _by_doc(kind: str):
+    """One row a document: its records of a kind."""
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = gathered(batches, {kind: _PLACE})[kind]
+        p = p[np.lexsort((p["part"], p["line"], p["doc"]))]
+        p = p[runs(p["doc"], p["line"], p["part"])]
+        cut = runs(p["doc"])
+        ends = np.append(cut[1:], len(p))
+        for at in range(0, len(cut), 4096):
+            some = list(zip(cut[at : at + 4096].tolist(), ends[at : at + 4096].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(p["doc"][a]) for a, _ in some], pa.int64()), pa.array([p["line"][a:b].astype(np.int32) for a, b in some], pa.list_(pa.int32())), pa.array([p["part"][a:b].astype(np.int32) for a, b in some], pa.list_(pa.int32()))],
+                names=["doc", "lines", "parts"],
+            )
+
+    return collect
+
+
+_DOC = "doc bigint, lines array<int>, parts array<int>"
+
+
+def _fetcher(classes, parts: int):
+    """The keys of wanted lines, for the partitions that want them."""
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, table = Hasher(), classes.value
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                wanted, texts, docs, part = [], [], [], []
+                for doc, text, lines, to in zip(*(some.column(k).to_pylist() for k in ("doc", "text", "lines", "parts")), strict=True):
+                    split = text.split("\n")
+                    for line, k in zip(lines, to, strict=True):
+                        if line < len(split):
+                            docs.append(doc)
+                            wanted.append(line)
+                            texts.append(split[line])
+                            part.append(k)
+                if texts:
+                    keys, n, _ = _keyed(texts, hasher, table)
+                    tokens = np.zeros(len(texts), dtype=_TOKENS)
+                    tokens["doc"], tokens["line"], tokens["n"] = docs, wanted, n
+                    to = np.array(part)
+                    yield batch([*dealt("tokens", tokens, to, parts), *dealt("keys", keys, np.repeat(to, n), parts)])
+
+    return fetch
+
+
+def _verifier(parts: int, similar: tuple[int, int]):
+    """Pairs whose lines are similar: the later line goes. Lines that may have further candidates, and no similar one, ask again."""
+    num, den = similar
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gathered(batches, {"pairs": _PAIR, "tokens": _TOKENS, "keys": _KEY})
+        pairs, tokens, keys = got["pairs"], got["tokens"], got["keys"]
+        if not len(pairs):
+            return
+        start = np.cumsum(tokens["n"]) - tokens["n"]
+        of = {(d, k): (a, a + n) for d, k, n, a in zip(tokens["doc"].tolist(), tokens["line"].tolist(), tokens["n"].tolist(), start.tolist(), strict=True)}
+        gone, asks = set(), {}
+        for x_doc, x_line, y_doc, y_line, more in pairs.tolist():
+            x = (x_doc, x_line)
+            if x in gone:
+                continue
+            (a, b), (c, d) = of[x], of[y_doc, y_line]
+            common = len(np.intersect1d(keys[a:b], keys[c:d], assume_unique=True))
+            if (num + den) * common >= num * (b - a + d - c):
+                gone.add(x)
+            elif more:
+                asks[x] = (a, b)
+        out = np.zeros(len(gone), dtype=_PLACE)
+        if gone:
+            out["doc"], out["line"] = np.array(sorted(gone)).T
+        messages = list(dealt("gone", out, part_of(out["doc"], parts), parts))
+        for (doc, line), (a, b) in asks.items():
+            if (doc, line) not in gone:
+                own = np.zeros(1, dtype=_CLASS)
+                own["n"], own["doc"], own["line"] = b - a, doc, line
+                own["bits"] = np.bitwise_xor.reduce(np.uint64(1) << (keys[a:b] & np.uint64(63)))
+                rows = _rows(own, keys[a : a + int(prefix_size(own["n"], similar)[0])], similar, asks=1)
+                messages += dealt("rows", rows, part_of(rows["token"], parts), parts)
+        yield batch(messages)
+
+    return verify
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR, candidates: int = CANDIDATES) -> DataFrame:
+    """``doc, lines``: the numbers (from 0) of the lines to remove, one row a document that has any."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
+    classes = spark.sparkContext.broadcast(rarity(given))  # a byte a bucket
+
+    def onward(df: DataFrame, f) -> DataFrame:
+        return df.repartition(parts, "part").mapInArrow(f, SCHEMA)
+
+    dealt_rows = onward(given.mapInArrow(_describer(classes, parts, min_tokens, similar), SCHEMA), _dealer(parts, similar))
+
+    def checked(rows: DataFrame, most: int | None) -> tuple[DataFrame, DataFrame]:
+        asked = durable(onward(onward(rows, _comparer(parts, similar, most)), _asker(parts)))
+        wanted = asked.where("kind = 'wants'").repartition(parts, "part").mapInArrow(_by_doc("wants"), _DOC)
+        tokens = given.join(wanted, "doc").select("doc", "text", "lines", "parts").mapInArrow(_fetcher(classes, parts), SCHEMA)
+        return asked, durable(onward(asked.where("kind = 'pairs'").unionByName(tokens), _verifier(parts, similar)))
+
+    asked, verified = checked(dealt_rows, candidates)
+    gone = asked.where("kind = 'gone'").unionByName(verified.where("kind = 'gone'"))
+    again = verified.where("kind = 'rows'")
+    if not again.isEmpty():
+        _, second = checked(dealt_rows.where("kind = 'rows'").unionByName(again), None)
+        gone = gone.unionByName(second.where("kind = 'gone'"))
+    return gone.repartition(parts, "part").mapInArrow(_by_doc("gone"), _DOC).select("doc", "lines")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", **options) -> DataFrame:
     """``docs`` with the lines removed from ``text`` and their numbers in an array column."""
-    gone = removed_lines(docs, doc_id, text, **options).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias(removed))
-    key = free_name(docs, "doc")
-    out = docs.join(gone.withColumnRenamed("doc", key), F.col(doc_id).eqNullSafe(F.col(key)), "left").drop(key)
+    key, gone = free_name(docs, "doc"), removed_lines(docs, doc_id, text, **options)
+    out = docs.join(gone.withColumnsRenamed({"doc": key, "lines": removed}), F.col(doc_id).cast("long") == F.col(key), "left").drop(key)
     kept = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(F.col(removed), i)), "\n")
     return out.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(kept)).withColumn(removed, F.coalesce(F.col(removed), F.array().cast("array<int>")))
 
