@@ -31,7 +31,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,16 +40,20 @@ from quillon.llm.shared import free_name
 from quillon.llm.suffix import permuted_lcp, suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Bytes of text that a task works on at a time.
 SLICE_BYTES = 1 << 21
+#: Segments that a task holds before it sends them on.
+HELD = 1 << 19
 #: Differing segments of one minimizer beyond which single windows are dealt.
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
+#: The bits of a minimizer that segments are filed under.
+_FILED = (1 << 40) - 1
 #: doc, start, bytes of a segment, and the hashes it is filed under.
 _PLACE = np.dtype([("group", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i8")])
 
@@ -106,7 +109,7 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers)
     start = at[first]
     stop = start + count - 1 + length
     out = np.empty(len(first), dtype=_PLACE)
-    out["group"] = of[first]
+    out["group"] = of[first] & np.uint64(_FILED)  # fewer bits only bring unlike segments together, which the shards tell apart
     out["same"] = _mixed((total[stop] - total[start]) * up[start] + (stop - start).astype(np.uint64))
     out["doc"] = docs[doc[first]]
     out["start"] = start - begins[doc[first]]
@@ -124,16 +127,15 @@ def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p[new], p[p["doc"] != least]
 
 
-def _spans(places: np.ndarray) -> list[tuple[int, bytes]]:
-    """Places as spans by document: (doc, pairs of start and end)."""
+def _runs(places: np.ndarray) -> np.ndarray:
+    """The same bytes as disjoint places, by document and start."""
     if not len(places):
-        return []
+        return places
     p = places[np.lexsort((places["start"], places["doc"]))]
-    start, end = merged(p["doc"], p["start"], p["start"] + p["bytes"])
-    doc = p["doc"][start]
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-    both = np.stack([p["start"][start], end], axis=1).astype("<i8")
-    return [(int(doc[a]), both[a:b].tobytes()) for a, b in zip(cut.tolist(), np.append(cut[1:], len(doc)).tolist(), strict=True)]
+    new, end = merged(p["doc"], p["start"], p["start"] + p["bytes"])
+    out = p[new]
+    out["bytes"] = end - out["start"]
+    return out
 
 
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,18 +146,36 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return new, reach[np.append(new[1:], len(doc)) - 1]
 
 
-_OUT = "part int, doc bigint, spans binary, wanted binary, places binary"
-_OUT_SCHEMA = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("spans", pa.binary()), ("wanted", pa.binary()), ("places", pa.binary())])
+_BLOCK = "part int, places binary, spans binary, wanted binary"
+_BLOCK_SCHEMA = pa.schema([("part", pa.int32()), ("places", pa.binary()), ("spans", pa.binary()), ("wanted", pa.binary())])
+_DOC = "doc bigint, spans binary, wanted binary"
+_DOC_SCHEMA = pa.schema([("doc", pa.int64()), ("spans", pa.binary()), ("wanted", pa.binary())])
+
+
+def _dealt(places: np.ndarray, key: np.ndarray, parts: int) -> list[bytes | None]:
+    """Packed places for each partition, by a hash of the key."""
+    part = (_mixed(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    return [_packed(places[order[a:b]]) if a < b else None for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
-def _rows(spans: list[tuple[int, bytes]] = (), wanted: list[tuple[int, bytes]] = (), places: list[tuple[int, bytes]] = (), parts: int = 1) -> pa.RecordBatch:
-    """Spans and wanted segments go with their document, packed places to their partition."""
-    part = [d % parts for d, _ in spans] + [d % parts for d, _ in wanted] + [k for k, _ in places]
-    doc = [d for d, _ in spans] + [d for d, _ in wanted] + [None] * len(places)
-    columns = [[None] * len(part) for _ in range(3)]
-    for column, offset, values in zip(columns, (0, len(spans), len(spans) + len(wanted)), (spans, wanted, places), strict=True):
-        column[offset : offset + len(values)] = [v for _, v in values]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((part, doc, *columns), _OUT_SCHEMA, strict=True)], schema=_OUT_SCHEMA)
+def _blocks(parts: int, places: np.ndarray | None = None, spans: np.ndarray | None = None, wanted: np.ndarray | None = None) -> pa.RecordBatch:
+    """A block for each partition: places go by minimizer, spans and wanted segments by document."""
+    nothing = [None] * parts
+    columns = [nothing if p is None else _dealt(p, p[k].view(np.uint64), parts) for p, k in ((places, "group"), (spans, "doc"), (wanted, "doc"))]
+    rows = [(k, *r) for k, r in enumerate(zip(*columns, strict=True)) if any(r)]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """All places, spans and wanted segments of a partition's blocks."""
+    held: list[list[np.ndarray]] = [[np.zeros(0, _PLACE)] for _ in range(3)]
+    for batch in batches:
+        for k, name in enumerate(("places", "spans", "wanted")):
+            held[k] += [_unpacked(b) for b in batch.column(name).drop_null().to_pylist()]
+    return [np.concatenate(h) for h in held]
 
 
 def _packed(p: np.ndarray) -> bytes:
@@ -200,56 +220,57 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
 def _cutter(length: int, parts: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        found = [segments(held, docs, length, powers) for docs, held in _sliced(batches)]
-        if not found:
-            return
+        found: list[np.ndarray] = []
+        for docs, held in _sliced(batches):
+            found.append(segments(held, docs, length, powers))
+            if sum(map(len, found)) > HELD:
+                yield send(found)
+                found = []
+        if found:
+            yield send(found)
+
+    def send(found: list[np.ndarray]) -> pa.RecordBatch:
         first, gone = firsts_of(np.concatenate(found))
-        del found
-        part = (_mixed(first["group"]) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        first, part = first[order], part[order]
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        yield _rows(spans=_spans(gone), parts=parts)
-        for k in range(parts):
-            if cuts[k] < cuts[k + 1]:
-                yield _rows(places=[(k, _packed(first[cuts[k] : cuts[k + 1]]))], parts=parts)
+        return _blocks(parts, places=first, spans=_runs(gone))
 
     return cut
 
 
 def _decider(parts: int, hot: int):
-    """Joins the tasks' segments; passes on spans, and asks for the texts of differing segments with one minimizer."""
+    """Joins the tasks' segments; sends spans to the documents, and asks for the texts of differing segments with one minimizer."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = []
-        for batch in batches:
-            is_place = batch.column("places").is_valid()
-            passed = batch.filter(pc.invert(is_place))
-            if passed.num_rows:
-                yield passed
-            blocks += [_unpacked(b) for b in batch.column("places").drop_null().to_pylist()]
-        if not blocks:
-            return
-        first, gone = firsts_of(np.concatenate(blocks))
-        del blocks
-        new = np.concatenate(([True], first["group"][1:] != first["group"][:-1]))
-        run = np.cumsum(new) - 1
-        count = np.bincount(run)
-        docs = np.maximum.reduceat(first["doc"], np.flatnonzero(new)) != np.minimum.reduceat(first["doc"], np.flatnonzero(new))
-        ask = (count > 1) & docs
-        wanted = first[ask[run]].copy()
-        wanted["same"] = (count > hot)[run][ask[run]]  # whether its windows are dealt one by one
-        yield _rows(spans=_spans(gone), wanted=_by_doc(wanted), parts=parts)
+        places, spans, _ = _gathered(batches)
+        first, gone = firsts_of(places)
+        wanted = first
+        if len(first):
+            new = np.concatenate(([True], first["group"][1:] != first["group"][:-1]))
+            run, at = np.cumsum(new) - 1, np.flatnonzero(new)
+            count = np.diff(np.append(at, len(first)))
+            ask = (count > 1) & (np.maximum.reduceat(first["doc"], at) != np.minimum.reduceat(first["doc"], at))
+            wanted = first[ask[run]]
+            wanted["same"] = (count > hot)[run][ask[run]]  # whether its windows are dealt one by one
+        yield _blocks(parts, spans=_runs(np.concatenate((spans, gone))), wanted=wanted)
 
     return decide
 
 
-def _by_doc(p: np.ndarray) -> list[tuple[int, bytes]]:
-    if not len(p):
-        return []
+def _by_doc(p: np.ndarray) -> dict[int, np.ndarray]:
     p = p[np.lexsort((p["start"], p["doc"]))]
-    cut = np.flatnonzero(np.concatenate(([True], p["doc"][1:] != p["doc"][:-1])))
-    return [(int(p["doc"][a]), p[a:b].tobytes()) for a, b in zip(cut.tolist(), np.append(cut[1:], len(p)).tolist(), strict=True)]
+    cut = np.flatnonzero(np.concatenate(([True], p["doc"][1:] != p["doc"][:-1]))) if len(p) else []
+    return {int(of["doc"][0]): of for of in np.split(p, cut[1:])} if len(p) else {}
+
+
+def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of the partition: its spans (start, end) and its wanted segments."""
+    _, spans, wanted = _gathered(batches)
+    by_doc, asked = _by_doc(_runs(spans)), _by_doc(wanted)
+    docs = sorted(by_doc.keys() | asked.keys())
+    for at in range(0, len(docs), 4096):
+        some = docs[at : at + 4096]
+        pairs = [None if (p := by_doc.get(d)) is None else np.stack([p["start"], p["start"] + p["bytes"]], axis=1).astype("<i8").tobytes() for d in some]
+        texts = [None if (p := asked.get(d)) is None else p.tobytes() for d in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(pairs, pa.binary()), pa.array(texts, pa.binary())], schema=_DOC_SCHEMA)
 
 
 _SEGMENT = "part int, doc bigint, key binary, start bigint, text binary"
@@ -265,14 +286,13 @@ def _fetcher(length: int, parts: int):
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 for doc, text, wanted in zip(some.column("doc").to_pylist(), some.column("text").cast(pa.binary()).to_pylist(), some.column("wanted").to_pylist(), strict=True):
-                    for blob in wanted:
-                        for group, split, _, start, n in np.frombuffer(blob, dtype=_PLACE).tolist():
-                            if not split:
-                                out.append((group % parts, doc, group.to_bytes(8, "big"), start, text[start : start + n]))
-                                continue
-                            for k in range(start, start + n - length + 1):
-                                key = hashlib.blake2b(text[k : k + length], digest_size=8).digest()
-                                out.append((int.from_bytes(key, "big") % parts, doc, key, k, text[k : k + length]))
+                    for group, split, _, start, n in np.frombuffer(wanted, dtype=_PLACE).tolist():
+                        if not split:
+                            out.append((group % parts, doc, group.to_bytes(8, "big"), start, text[start : start + n]))
+                            continue
+                        for k in range(start, start + n - length + 1):
+                            key = hashlib.blake2b(text[k : k + length], digest_size=8).digest()
+                            out.append((int.from_bytes(key, "big") % parts, doc, key, k, text[k : k + length]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENT_SCHEMA, strict=True)], schema=_SEGMENT_SCHEMA)
 
@@ -302,7 +322,7 @@ def shard_spans(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length
     return out
 
 
-def _sharder(length: int):
+def _sharder(length: int, parts: int):
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = list(batches)
         if not read:
@@ -319,7 +339,7 @@ def _sharder(length: int):
                 end += 1
             found.append(shard_spans(texts[at:end], docs[at:end], starts[at:end], length))
             at = end
-        yield _rows(spans=_spans(np.concatenate(found)))
+        yield _blocks(parts, spans=_runs(np.concatenate(found)))
 
     return solve
 
@@ -329,12 +349,12 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
-    cut = given.mapInArrow(_cutter(length, parts), _OUT)
-    decided = durable(cut.repartition(parts, "part").mapInArrow(_decider(parts, hot), _OUT).drop("part", "places"))
-    wanted = decided.where("wanted IS NOT NULL").groupBy("doc").agg(F.collect_list("wanted").alias("wanted"))
-    asked = given.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetcher(length, parts), _SEGMENT)
-    shards = durable(asked.repartition(parts, "part").mapInArrow(_sharder(length), _OUT).select("doc", "spans"))
-    return decided.where("spans IS NOT NULL").select("doc", "spans").unionByName(shards)
+    cut = given.mapInArrow(_cutter(length, parts), _BLOCK).repartition(parts, "part")
+    decided = durable(cut.mapInArrow(_decider(parts, hot), _BLOCK).repartition(parts, "part").mapInArrow(_collect, _DOC))
+    asked = given.join(decided.where("wanted IS NOT NULL").select("doc", "wanted"), "doc").select("doc", "text", "wanted")
+    shards = asked.mapInArrow(_fetcher(length, parts), _SEGMENT).repartition(parts, "part").mapInArrow(_sharder(length, parts), _BLOCK)
+    found = durable(shards.repartition(parts, "part").mapInArrow(_collect, _DOC))
+    return decided.unionByName(found).where("spans IS NOT NULL").select("doc", "spans")
 
 
 def _union(blobs: list[bytes] | None) -> list[tuple[int, int]]:

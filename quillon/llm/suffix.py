@@ -20,13 +20,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     t = np.concatenate((text.astype(np.int64) + 1, [0]))
-    return _sorted(t, int(t.max()) + 1)[1:]
+    return _sorted(t, int(t.max()) + 1)[1:].astype(np.int64)
 
 
 def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
     """As above; ``t`` ends with a zero that it has nowhere else."""
+    t = t.astype(np.uint16 if symbols <= 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
     s_type = _classify(t)
-    lms = np.flatnonzero(s_type & np.concatenate(([False], ~s_type[:-1])))
+    lms = np.flatnonzero(s_type & np.concatenate(([False], ~s_type[:-1]))).astype(np.int32)
     ends = np.cumsum(np.bincount(t, minlength=symbols))
     by_substring = _induce(t, s_type, ends, lms)
     leftmost = np.zeros(len(t), dtype=bool)
@@ -40,7 +41,7 @@ def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
 
 def _classify(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next; equal symbols are as what follows them."""
-    step = np.sign(t[1:] - t[:-1])
+    step = (t[1:] > t[:-1]).astype(np.int8) - (t[1:] < t[:-1])
     at = np.where(step != 0, np.arange(len(step)), len(step))
     at = np.minimum.accumulate(at[::-1])[::-1]  # the next place where the symbol changes
     return np.concatenate((step[np.minimum(at, len(step) - 1)] > 0, [True]))
@@ -49,7 +50,7 @@ def _classify(t: np.ndarray) -> np.ndarray:
 def _induce(t: np.ndarray, s_type: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """All suffixes, in order if ``lms`` is: larger ones from the left, smaller ones from the right."""
     n = len(t)
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     of = t[lms]
     rank = _rank_from_end(of)
     sa[ends[of] - 1 - rank] = lms
@@ -109,7 +110,7 @@ def _advance(slots: np.ndarray, sorted_: np.ndarray, way: int) -> None:
 
 def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
     """The string of the ranks of the leftmost-smaller substrings, in text order, and how many differ."""
-    length = np.zeros(len(t), dtype=np.int64)
+    length = np.zeros(len(t), dtype=np.int32)
     length[lms] = np.append(np.diff(lms) + 1, 1)  # up to and with the next one's first symbol
     a, b = order[:-1], order[1:]
     equal = length[a] == length[b]
@@ -122,7 +123,7 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
         left = left[~differ]
         d += 1
     name = np.concatenate(([0], np.cumsum(~equal)))
-    of = np.empty(len(t), dtype=np.int64)
+    of = np.empty(len(t), dtype=np.int32)
     of[order] = name
     return of[lms], int(name[-1]) + 1
 
