@@ -45,7 +45,7 @@ def khop(edges: DataFrame, start: DataFrame, k: int) -> DataFrame:
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges with both ends among ``nodes``."""
     within = nodes.select("node").distinct()
-    return edges.join(within.withColumnRenamed("node", "src"), "src", "left_semi").join(within.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return edges.join(within.withColumnRenamed("node", "src"), "src", "left_semi").join(within.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def pruned(edges: DataFrame, third_party: DataFrame, searched: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def table_of(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
     if missing := required - set(names):
         raise ValueError(f"{path} lacks the columns {sorted(missing)}; it has {sorted(names)}")
     schema = ", ".join(f"`{c}` string" for c in [*names, "_extra"])
-    rows = spark.read.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", "_extra").schema(schema).csv(path)
+    rows = spark.read.option("header", True).option("enforceSchema", True).option("columnPruning", False).option("columnNameOfCorruptRecord", "_extra").schema(schema).csv(path)
     cells = F.regexp_count(F.regexp_replace("_extra", '"[^"]*"', ""), F.lit(",")) + 1  # short rows are kept as well
     return rows.select(*(cleaned(F.col(f"`{c}`")).alias(c) for c in names), F.when(cells > len(names), F.col("_extra")).alias("_extra"))
 
