@@ -37,6 +37,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle and checkpoint files that nothing refers to any more."""
+    """Lets Spark remove shuffle and checkpoint files that nothing refers to any more.
+
+    The scheduler holds on to its last job until the next one, so that is an empty one.
+    """
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
