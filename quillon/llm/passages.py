@@ -118,13 +118,17 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers)
 
 
 def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal segments one of the least document, and those of other documents, whose bytes go."""
+    """Of equal segments those of the least document, and those of other documents, whose bytes go."""
     order = np.lexsort((places["start"], places["doc"], places["same"], places["group"]))
     p = places[order]
-    new = np.concatenate(([True], (p["group"][1:] != p["group"][:-1]) | (p["same"][1:] != p["same"][:-1]))) if len(p) else np.zeros(0, bool)
-    run = np.cumsum(new) - 1
-    least = p["doc"][np.flatnonzero(new)][run] if len(p) else p["doc"]
-    return p[new], p[p["doc"] != least]
+    if not len(p):
+        return p, p
+    other = (p["group"][1:] != p["group"][:-1]) | (p["same"][1:] != p["same"][:-1])
+    new = np.concatenate(([True], other))
+    least = p["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    # a document may have a segment at several places, and a place comes again with a repeated row
+    once = np.concatenate(([True], other | (p["doc"][1:] != p["doc"][:-1]) | (p["start"][1:] != p["start"][:-1])))
+    return p[(p["doc"] == least) & once], p[p["doc"] != least]
 
 
 def _runs(places: np.ndarray) -> np.ndarray:
