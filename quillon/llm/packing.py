@@ -8,7 +8,8 @@ is solved by multiplicative weights: lengths that are covered too little weigh
 more, a knapsack by dynamic programming finds the configuration of the greatest
 weight, and that one is used some more. The fractions are rounded down, what is
 left over goes best fit, the longest first, into the room that is left and into new
-sequences.
+sequences. Rounding tries several parts of the solution, as best fit needs enough
+short pieces to close gaps, and keeps the result of the fewest sequences.
 
 The driver holds the histogram and the configurations. Pieces get their places from
 their length and their rank among pieces of that length; the rank is counted in
@@ -174,12 +175,20 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         left = left - step * pattern
         share = left / need  # what is covered least gains weight
         weights = size * np.exp(ETA * (share - share.mean()))
-    kinds = [(int(x), pattern) for pattern, x in found.values()]
-    return Plan(capacity, _best_fit(kinds, lengths, left.astype(np.int64), capacity), lower)
+    best: Plan | None = None
+    for part in PARTS:
+        kinds = [(n, pattern) for pattern, x in found.values() if (n := int(part * x))]
+        rest = need - sum((n * pattern for n, pattern in kinds), np.zeros_like(need))
+        plan = Plan(capacity, _best_fit(kinds, lengths, rest, capacity), lower)
+        if best is None or plan.sequences < best.sequences:
+            best = plan
+    return best
 
 
 #: The part of a configuration's largest possible use that one round adds.
 STEP = 0.5
+#: Parts of the program's solution that the rounding tries to keep before best fit packs the rest.
+PARTS = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 #: How strongly a length that is covered too little gains weight.
 ETA = 0.2
 #: Above 1: of configurations that fill a sequence, the one of longer pieces, as short ones fill gaps later.
