@@ -46,7 +46,8 @@ IDENTIFIERS = (
 )
 REACH = 96  # characters between the sensitive word and the candidate
 AROUND = 2048  # characters of context on each side in the dictionary
-LEAST_BITS = 3.0  # marginal bits a character
+LEAST_BITS = 4.5  # marginal bits a character
+LEAST_ENTROPY = 2.5  # bits a character of the token alone, below which it is not compressed at all
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -78,7 +79,7 @@ def novel_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[int, in
                 break
             reached = max(reached, m.end())
             token = m[0]
-            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or entropy(token) < least_bits:
+            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or entropy(token) < LEAST_ENTROPY:
                 continue
             around = text[max(0, m.start() - AROUND) : m.start()] + "\n" + text[m.end() : m.end() + AROUND]
             if 8 * marginal_bytes(token, around) >= least_bits * len(token):
