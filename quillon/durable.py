@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,25 +21,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Has Spark remove an execution's shuffle files at its end; fixed values, by version.
+_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; readers start from the files.
 
-    The shuffle files behind it are then of no use. Spark removes them once the
-    driver has collected what names them, so it is asked to collect.
+    The shuffle files behind it are then of no use and are removed at once, where the
+    version of Spark can; the session's setting is put back.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    release(spark)
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle and checkpoint files that nothing refers to any more.
-
-    The scheduler holds on to its last job until the next one, so that is an empty one.
-    """
-    gc.collect()
-    spark.range(1).count()
-    spark.sparkContext._jvm.System.gc()
+    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    try:
+        for key in before:
+            spark.conf.set(key, "true")
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
