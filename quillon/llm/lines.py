@@ -119,13 +119,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similar
     num, den = similar
     places = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")), F.struct(F.col("y_doc").alias("doc"), F.col("y_line").alias("line_no")))).alias("p"))
     wanted = places.groupBy("p.doc").agg(F.collect_set("p.line_no").alias("wanted"))
-    found = (
+    found = durable(
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
-        .dropDuplicates(["doc"])
         .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
         .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
-    )
+    )  # rows that share a doc_id give a line twice, which changes nothing below
     x = found.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("tx"))
     y = found.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty"))
