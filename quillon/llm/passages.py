@@ -48,7 +48,7 @@ HELD = 1 << 19
 #: Differing segments of one minimizer beyond which single windows are dealt.
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -118,17 +118,27 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers)
 
 
 def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal segments those of the least document, and those of other documents, whose bytes go."""
-    order = np.lexsort((places["start"], places["doc"], places["same"], places["group"]))
-    p = places[order]
-    if not len(p):
-        return p, p
-    other = (p["group"][1:] != p["group"][:-1]) | (p["same"][1:] != p["same"][:-1])
-    new = np.concatenate(([True], other))
-    least = p["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    """Of equal segments those of the least document, and those of other documents, whose bytes go.
+
+    Equal segments have equal minimizers, so the hash of the segment alone sorts them.
+    """
+    if not len(places):
+        return places, places
+    order = np.argsort(places["same"], kind="stable")
+    same, doc = places["same"][order], places["doc"][order]
+    new = np.concatenate(([True], same[1:] != same[:-1]))
+    at = np.flatnonzero(new)
+    first = doc == np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(order))))
+    kept = places[order[first]]
     # a document may have a segment at several places, and a place comes again with a repeated row
-    once = np.concatenate(([True], other | (p["doc"][1:] != p["doc"][:-1]) | (p["start"][1:] != p["start"][:-1])))
-    return p[(p["doc"] == least) & once], p[p["doc"] != least]
+    again = np.concatenate(([False], kept["same"][1:] == kept["same"][:-1]))
+    if again.any():
+        some = again | np.append(again[1:], False)
+        more = kept[some]
+        more = more[np.lexsort((more["start"], more["same"]))]
+        once = np.concatenate(([True], (more["same"][1:] != more["same"][:-1]) | (more["start"][1:] != more["start"][:-1])))
+        kept = np.concatenate((kept[~some], more[once]))
+    return kept, places[order[~first]]
 
 
 def _runs(places: np.ndarray) -> np.ndarray:
@@ -248,6 +258,7 @@ def _decider(parts: int, hot: int):
         first, gone = firsts_of(places)
         wanted = first
         if len(first):
+            first = first[np.argsort(first["group"], kind="stable")]
             new = np.concatenate(([True], first["group"][1:] != first["group"][:-1]))
             run, at = np.cumsum(new) - 1, np.flatnonzero(new)
             count = np.diff(np.append(at, len(first)))
@@ -305,13 +316,13 @@ def _fetcher(length: int, parts: int):
 
 def shard_spans(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """The windows of a shard's segments that a smaller document of the shard has, as places."""
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"\0".join(texts), dtype=np.uint8).astype(np.int64) + 1
-    begins = np.cumsum(sizes + 1) - (sizes + 1)
+    sizes = np.array([len(t) for t in texts], dtype=np.int32)
+    data = np.frombuffer(b"\0".join(texts), dtype=np.uint8).astype(np.int16) + 1
+    begins = (np.cumsum(sizes + 1) - (sizes + 1)).astype(np.int32)
     data[(begins[1:] - 1)] = 0  # between segments, below any byte
     order = suffix_array(data)
-    segment = np.repeat(np.arange(len(texts)), sizes + 1)[: len(data)]
-    room = begins[segment] + sizes[segment] - np.arange(len(data))
+    segment = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)[: len(data)]
+    room = np.repeat(begins + sizes, sizes + 1)[: len(data)] - np.arange(len(data), dtype=np.int32)
     agree = permuted_lcp(np.maximum(data - 1, 0), order, length)[order] >= length
     whole = room[order] >= length
     order, agree = order[whole], agree[whole]  # what stands between two equal windows begins as they do
