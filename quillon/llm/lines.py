@@ -14,10 +14,12 @@ similar to it, whether or not that one is removed too. Lines of fewer than
    are never compared.
 3. Classes that share a token of their prefixes are candidates if they pass the
    length, the positional and a bitmap filter. A class is compared first with the
-   earliest class of each token; only one that this leaves is joined with the
-   others. So a large group of near copies costs as many comparisons as it has
-   lines, not their square.
-4. Candidates are verified on the texts of their lines.
+   earliest class of each token, and of these with the one that shares most; only a
+   class that this leaves open is joined with all others. A large group of near copies
+   so costs about as many comparisons as it has lines. Lines that are near each other
+   but not similar stay open, and pass the filters in part.
+4. Candidates are verified on the tokens of their lines, of a line the one that shares
+   most first, and the others only where that is not similar.
 
 Null text has no lines and stays null; an empty table stays empty; rows that share
 a doc_id are taken for one place in the order and do not remove each other's lines
@@ -36,7 +38,9 @@ from quillon.llm.shared import free_name
 MIN_TOKENS = 3
 SIMILAR = (4, 5)
 #: Counters of token frequency; the table is of this size whatever the corpus.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Tokens from which a line has a bitmap of 256 bits, as 64 tell long lines apart badly.
+WIDE = 80
 _HASH_BITS = 52
 
 
@@ -87,10 +91,12 @@ def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, sim
     keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys"))
     bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
     n = F.size("keys")
-    size = n - F.floor((n * num + den - 1) / den).cast("int") + 1
+    parts = [F.aggregate("keys", F.lit(0).cast("long"), _word(w)).alias(f"w{w}") for w in range(3)]
+    wide = F.when(n >= WIDE, F.struct(*parts))  # with the bitmap, which is the sum of four, 256 bits
+    size = F.least(n, n - F.floor((n * num + den - 1) / den).cast("int") + 1)
     # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
     prefix = F.transform(F.slice("keys", F.lit(1), size), lambda k: F.hash(k))
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), prefix.alias("prefix"))
+    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), wide.alias("wide"), prefix.alias("prefix"))
 
 
 def _bit(k: Column) -> Column:
@@ -98,6 +104,11 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _word(w: int):
+    """Sums the bits of the tokens that fall to one of four words."""
+    return lambda s, k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(3)) == w, s.bitwiseXOR(_bit(k))).otherwise(s)
+
+
 def _similar_candidates(similar: tuple[int, int]) -> str:
     """The length, positional and bitmap filters, and that y comes first.
 
@@ -106,32 +117,45 @@ def _similar_candidates(similar: tuple[int, int]) -> str:
     (den - num) * (nx + ny) / (num + den) in one of them alone.
     """
     num, den = similar
+    three = [f"x.wide.w{k} ^ y.wide.w{k}" for k in range(3)]
+    wide = " + ".join(f"bit_count({w})" for w in [*three, " ^ ".join(["x.bits ^ y.bits", *three])])
     return (
         f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
         f" AND {num + den} * (1 + least(x.n - x.i, y.n - y.i)) >= {num} * (x.n + y.n)"
         f" AND {num + den} * bit_count(x.bits ^ y.bits) <= {den - num} * (x.n + y.n)"
+        f" AND (x.wide IS NULL OR y.wide IS NULL OR {num + den} * ({wide}) <= {den - num} * (x.n + y.n))"
         " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, similar: tuple[int, int]) -> DataFrame:
-    """The places of x of those pairs whose lines are similar by their texts."""
-    num, den = similar
-    places = pairs.select(F.explode(F.array(F.struct(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")), F.struct(F.col("y_doc").alias("doc"), F.col("y_line").alias("line_no")))).alias("p"))
-    wanted = places.groupBy("p.doc").agg(F.collect_set("p.line_no").alias("wanted"))
-    found = durable(
+def _tokens(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc, line_no, tokens``: the token sets of all lines that stand in pairs, as strings."""
+    places = pairs.selectExpr("x_doc AS doc", "x_line AS line_no").unionByName(pairs.selectExpr("y_doc AS doc", "y_line AS line_no"))
+    wanted = places.groupBy("doc").agg(F.collect_set("line_no").alias("wanted"))
+    return durable(
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
         .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
         .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
     )  # rows that share a doc_id give a line twice, which changes nothing below
-    x = found.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("tx"))
-    y = found.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("ty"))
+
+
+def _verified(pairs: DataFrame, tokens: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The places of x of those pairs whose token sets are similar."""
+    num, den = similar
+    x = tokens.select(F.col("doc").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("tokens").alias("tx"))
+    y = tokens.select(F.col("doc").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("tokens").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty"))
     both = _joined(_joined(pairs, x, ["x_doc", "x_line"]), y, ["y_doc", "y_line"])
     return both.where(common * (num + den) >= (F.size("tx") + F.size("ty")) * num).select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line_no")).distinct()
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """One pair a line: that of the most shared tokens."""
+    most = F.max(F.struct("shared", "y_doc", "y_line")).alias("y")
+    return pairs.groupBy("x_doc", "x_line").agg(most).select("x_doc", "x_line", "y.y_doc", "y.y_line")
+
+
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """A join on keys of which the first may be null."""
     other = right.withColumnsRenamed({k: f"{k}_2" for k in keys})
@@ -140,32 +164,36 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 
 
 def _prefix_rows(firsts: DataFrame) -> DataFrame:
-    return firsts.select("doc", "line_no", "n", "bits", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+    return firsts.select("doc", "line_no", "n", "bits", "wide", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
 
 
 def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs that share a token of their prefixes and pass the filters."""
+    """Pairs that share a token of their prefixes and pass the filters, and how many they share."""
     pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(_similar_candidates(similar)))
-    return pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line")).distinct()
+    named = pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line"))
+    return named.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.count("*").alias("shared"))
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row for each line to remove: doc, line_no (from 0)."""
     described = durable(_described(docs, doc_id, text, rarity(docs, text), similar)).where(F.col("n") >= min_tokens)
     same = ["set", "n", "bits"]
-    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("prefix").alias("prefix")).select(*same, "place.*", "prefix"))
+    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).select(*same, "place.*", "wide", "prefix"))
     first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
     del described
 
     rows = _prefix_rows(firsts)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
-    near = durable(_near(rows, earliest, similar))
-    done = durable(_verified(near, docs, doc_id, text, similar))
-    near = durable(_near(_prefix_rows(_joined(firsts, done, ["doc", "line_no"], "left_anti")), rows, similar))
-    del firsts, rows, earliest
-    return repeats.unionByName(done).unionByName(durable(_verified(near, docs, doc_id, text, similar)))
+    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "wide", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
+    near = durable(_best(_near(rows, earliest, similar)))
+    done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
+    pairs = durable(_near(_prefix_rows(_joined(firsts, done, ["doc", "line_no"], "left_anti")), rows, similar))
+    del firsts, rows, earliest, near
+    tokens = _tokens(pairs, docs, doc_id, text)
+    more = durable(_verified(_best(pairs), tokens, similar))
+    rest = _joined(pairs, more.selectExpr("doc AS x_doc", "line_no AS x_line"), ["x_doc", "x_line"], "left_anti")
+    return repeats.unionByName(done).unionByName(more).unionByName(durable(_verified(rest, tokens, similar)))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", **options) -> DataFrame:
