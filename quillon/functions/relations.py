@@ -21,6 +21,8 @@ KINDS = {
     "inheritance": "Derived",
     "parallel": "Parallel",
 }
+#: A line of a relation file: kind and body (a fixed value).
+LINE = r"^\s*\[([^\]]+)\]\s*(.*?)\s*$"
 MODEL_ITEM = "struct<type:string,variable:string,variables:array<string>,target:string,source:string,left:string,right:string>"
 RELATION = "struct<kind:string,variables:array<string>>"
 
@@ -43,8 +45,7 @@ def relation(kind: Column, variables: Column) -> Column:
 
 def parsed_line(line: Column) -> Column:
     """A relation from a line such as ``[Derived] a <- b``; null if the line is malformed."""
-    kind = canonical_kind(F.regexp_extract(line, r"^\s*\[([^\]]+)\]\s*(.*?)\s*$", 1))
-    body = F.regexp_extract(line, r"^\s*\[([^\]]+)\]\s*(.*?)\s*$", 2)
+    kind, body = canonical_kind(F.regexp_extract(line, LINE, 1)), F.regexp_extract(line, LINE, 2)
     together = F.regexp_replace(body, r"(?i)\s+work\s+together\s*$", "")
     names = F.when(kind == "Derived", F.split(body, "<-", 2)).when(kind == "Parallel", F.split(together, r"\s+and\s+")).otherwise(F.array(body))
     return relation(kind, names)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What counts as a hash and as a variable.
 HASH = "^[0-9A-Fa-f]{64}$"
 VARIABLE = r"^\$?[A-Za-z_][A-Za-z0-9_]*(\[([0-9]+|\$?[A-Za-z_][A-Za-z0-9_]*)\])*$"
 
@@ -88,7 +89,8 @@ def _unquoted(text: Column) -> Column:
 def unfenced(answer: Column) -> Column:
     """A model's answer without the Markdown fence around its JSON."""
     text = F.trim(answer)
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"^```(?:json|JSON)?\s*", ""), r"\s*```$", ""))
+    inside = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n?", ""), r"(^|\n)[ \t]*```[ \t]*$", "")
+    return F.when(text.startswith("```"), F.trim(inside)).otherwise(text)
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:

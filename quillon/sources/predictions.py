@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import HASH, last_match, stem
 
-LEGACY = r"(?i)Final\s+Prediction\W+(MALWARE|BENIGN)\b"
+#: How logs state a verdict (a fixed value).
+LEGACY = r"(?i)Final Prediction:\s*(?:\*\*)?(MALWARE|BENIGN)(?:\*\*)?"
 
 
 def read_results(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
