@@ -42,20 +42,21 @@ from quillon.llm.suffix import permuted_lcp, suffix_array
 LENGTH = 50
 GRAM = 24
 #: Bytes of text that a task works on at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Segments that a task holds before it sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Differing segments of one minimizer beyond which single windows are dealt.
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
-#: The bits of a minimizer that segments are filed under.
-_FILED = (1 << 40) - 1
+#: Bits of a minimizer that segments are filed under, and of its place in a slice.
+_FILED, _AT = 38, 26
 #: doc, start, bytes of a segment, and the hashes it is filed under.
-_PLACE = np.dtype([("group", "<u8"), ("same", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i8")])
+#: and of what surrounds the minimizer: two windows that share one agree on half of the rest, before or behind it.
+_PLACE = np.dtype([("group", "<u8"), ("same", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i8")])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,31 +90,71 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers)
         return np.zeros(0, dtype=_PLACE)
     up, down = powers.upto(n + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:n], dtype=np.uint64)))
-    low = _mixed((total[GRAM:] - total[:-GRAM]) * up[: n - GRAM + 1])
+    low = _mixed((total[GRAM:] - total[:-GRAM]) * up[: n - GRAM + 1]) >> np.uint64(64 - _FILED) << np.uint64(_AT)
+    placed = n < 1 << _AT  # else a text of its own, whose runs of equal minimizers are not told apart
+    if placed:
+        low |= np.arange(len(low), dtype=np.uint64)
     width, have = length - GRAM + 1, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
         have *= 2
     if have < width:
         low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-    # low[p]: the minimizer of the window at p; windows that run into the next document are none
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - length + 1, 0))
-    at = np.arange(len(doc)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0)) + begins[doc]
+    # low[p]: the minimizer of the window at p and its place; windows that run into the next document are none
+    windows = np.maximum(sizes - length + 1, 0)
+    begins = np.cumsum(sizes) - sizes
+    doc = np.repeat(np.arange(len(texts)), windows)
+    at = np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows) + begins[doc]
     if not len(at):
         return np.zeros(0, dtype=_PLACE)
     of = low[at]
     first = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (doc[1:] != doc[:-1]))))
-    count = np.diff(np.append(first, len(at)))
     start = at[first]
-    stop = start + count - 1 + length
+    stop = start + np.diff(np.append(first, len(at))) - 1 + length
     out = np.empty(len(first), dtype=_PLACE)
-    out["group"] = of[first] & np.uint64(_FILED)  # fewer bits only bring unlike segments together, which the shards tell apart
-    out["same"] = _mixed((total[stop] - total[start]) * up[start] + (stop - start).astype(np.uint64))
+    out["group"] = of[first] >> np.uint64(_AT)
+    out["same"] = _hash_of(total, up, start, stop)
     out["doc"] = docs[doc[first]]
     out["start"] = start - begins[doc[first]]
     out["bytes"] = stop - start
+    out["around"] = _EITHER
+    if placed:
+        gram = (of[first] & np.uint64((1 << _AT) - 1)).astype(np.int64)
+        half = (length - GRAM + 1) // 2
+        before, behind = gram - half, gram + GRAM + half
+        left = np.where(before >= start, _hash_of(total, up, np.maximum(before, 0), gram + GRAM) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        right = np.where(behind <= stop, _hash_of(total, up, gram, np.minimum(behind, n)) >> np.uint64(32) | np.uint64(1), np.uint64(0))
+        out["around"] = left << np.uint64(32) | right
+    return out
+
+
+#: Of a segment that may match on either side, whatever the hashes.
+_EITHER = np.uint64(2)
+
+
+def _hash_of(total: np.ndarray, up: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return _mixed((total[stop] - total[start]) * up[start] + (stop - start).astype(np.uint64))
+
+
+def may_match(p: np.ndarray) -> np.ndarray:
+    """Which places, sorted by group, agree around the minimizer with one of another document."""
+    left, right = p["around"] >> np.uint64(32), p["around"] & np.uint64(0xFFFFFFFF)
+    out = p["around"] == _EITHER
+    if out.any():  # then all of such a group
+        return np.isin(p["group"], p["group"][out]) | _shared(p, left) | _shared(p, right)
+    return _shared(p, left) | _shared(p, right)
+
+
+def _shared(p: np.ndarray, side: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(p), dtype=bool)
+    some = np.flatnonzero(side > 0)
+    if not len(some):
+        return out
+    order = some[np.lexsort((side[some], p["group"][some]))]
+    group, key, doc = p["group"][order], side[order], p["doc"][order]
+    new = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (key[1:] != key[:-1]))))
+    many = np.maximum.reduceat(doc, new) != np.minimum.reduceat(doc, new)
+    out[order] = np.repeat(many, np.diff(np.append(new, len(order))))
     return out
 
 
@@ -196,19 +237,19 @@ def _packed(p: np.ndarray) -> bytes:
     """Places column by column, small numbers beside each other, for the shuffle to compress."""
     p = p[np.lexsort((p["start"], p["doc"]))]
     doc, start = np.diff(p["doc"], prepend=0), p["start"].astype("<i8")
-    fields = (p["group"], p["same"], doc, start, p["bytes"])
+    fields = (p["group"], p["same"], p["around"], doc, start, p["bytes"])
     raw = b"".join(np.ascontiguousarray(f.view("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for f in (np.ascontiguousarray(x) for x in fields))
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    n = len(raw) // 40
-    columns = [np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view("<u8").reshape(-1) for k in range(5)]
+    n = len(raw) // _PLACE.itemsize
+    columns = [np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view("<u8").reshape(-1) for k in range(6)]
     out = np.empty(n, dtype=_PLACE)
-    out["group"], out["same"] = columns[0], columns[1]
-    out["doc"] = np.cumsum(columns[2].view("<i8"))
-    out["start"], out["bytes"] = columns[3].view("<i8"), columns[4].view("<i8")
+    out["group"], out["same"], out["around"] = columns[:3]
+    out["doc"] = np.cumsum(columns[3].view("<i8"))
+    out["start"], out["bytes"] = columns[4].view("<i8"), columns[5].view("<i8")
     return out
 
 
@@ -256,6 +297,7 @@ def _decider(parts: int, hot: int):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, spans, _ = _gathered(batches)
         first, gone = firsts_of(places)
+        del places
         wanted = first
         if len(first):
             first = first[np.argsort(first["group"], kind="stable")]
@@ -264,7 +306,10 @@ def _decider(parts: int, hot: int):
             count = np.diff(np.append(at, len(first)))
             ask = (count > 1) & (np.maximum.reduceat(first["doc"], at) != np.minimum.reduceat(first["doc"], at))
             wanted = first[ask[run]]
-            wanted["same"] = (count > hot)[run][ask[run]]  # whether its windows are dealt one by one
+            wanted = wanted[may_match(wanted)]
+            _, run, count = np.unique(wanted["group"], return_inverse=True, return_counts=True)
+            wanted["same"] = count[run] > hot  # whether its windows are dealt one by one
+            wanted["around"] = 0
         yield _blocks(parts, spans=_runs(np.concatenate((spans, gone))), wanted=wanted)
 
     return decide
@@ -301,7 +346,7 @@ def _fetcher(length: int, parts: int):
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 for doc, text, wanted in zip(some.column("doc").to_pylist(), some.column("text").cast(pa.binary()).to_pylist(), some.column("wanted").to_pylist(), strict=True):
-                    for group, split, _, start, n in np.frombuffer(wanted, dtype=_PLACE).tolist():
+                    for group, split, _, _, start, n in np.frombuffer(wanted, dtype=_PLACE).tolist():
                         if not split:
                             out.append((group % parts, doc, group.to_bytes(8, "big"), start, text[start : start + n]))
                             continue
@@ -362,7 +407,7 @@ def _sharder(length: int, parts: int):
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``doc, spans``: packed pairs of byte offsets to remove, in one or more rows a document."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     cut = given.mapInArrow(_cutter(length, parts), _BLOCK).repartition(parts, "part")
     decided = durable(cut.mapInArrow(_decider(parts, hot), _BLOCK).repartition(parts, "part").mapInArrow(_collect, _DOC))
