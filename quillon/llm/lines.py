@@ -38,7 +38,7 @@ from quillon.llm.shared import free_name
 MIN_TOKENS = 3
 SIMILAR = (4, 5)
 #: Counters of token frequency; the table is of this size whatever the corpus.
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 #: Tokens from which a line has a bitmap of 256 bits, as 64 tell long lines apart badly.
 WIDE = 80
 _HASH_BITS = 52
@@ -109,7 +109,7 @@ def _word(w: int):
     return lambda s, k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(3)) == w, s.bitwiseXOR(_bit(k))).otherwise(s)
 
 
-def _similar_candidates(similar: tuple[int, int]) -> str:
+def _similar_candidates(similar: tuple[int, int], widely: bool = True) -> str:
     """The length, positional and bitmap filters, and that y comes first.
 
     Sets of nx and ny tokens reach the index num/den only if they have at least
@@ -123,8 +123,8 @@ def _similar_candidates(similar: tuple[int, int]) -> str:
         f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
         f" AND {num + den} * (1 + least(x.n - x.i, y.n - y.i)) >= {num} * (x.n + y.n)"
         f" AND {num + den} * bit_count(x.bits ^ y.bits) <= {den - num} * (x.n + y.n)"
-        f" AND (x.wide IS NULL OR y.wide IS NULL OR {num + den} * ({wide}) <= {den - num} * (x.n + y.n))"
-        " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
+        + (f" AND (x.wide IS NULL OR y.wide IS NULL OR {num + den} * ({wide}) <= {den - num} * (x.n + y.n))" if widely else "")
+        + " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
     )
 
 
@@ -163,13 +163,13 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(other, on, how).drop(*(f"{k}_2" for k in keys))
 
 
-def _prefix_rows(firsts: DataFrame) -> DataFrame:
-    return firsts.select("doc", "line_no", "n", "bits", "wide", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+def _prefix_rows(firsts: DataFrame, *more: str) -> DataFrame:
+    return firsts.select("doc", "line_no", "n", "bits", *more, F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
 
 
-def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int]) -> DataFrame:
+def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int], also: str = "true") -> DataFrame:
     """Pairs that share a token of their prefixes and pass the filters, and how many they share."""
-    pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(_similar_candidates(similar)))
+    pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(f"{also} AND {_similar_candidates(similar, 'wide' in x.columns)}"))
     named = pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line"))
     return named.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.count("*").alias("shared"))
 
@@ -184,12 +184,15 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
     del described
 
-    rows = _prefix_rows(firsts)
-    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "wide", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
+    rows = _prefix_rows(firsts)  # without wide bitmaps: this round only has to find one candidate a line
+    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
     near = durable(_best(_near(rows, earliest, similar)))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    pairs = durable(_near(_prefix_rows(_joined(firsts, done, ["doc", "line_no"], "left_anti")), rows, similar))
-    del firsts, rows, earliest, near
+    marked = _joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0)))
+    rows = _prefix_rows(marked, "wide", "open")
+    # the condition names both sides in one term, so none of it goes below the shuffle and both sides read the same one
+    pairs = durable(_near(rows, rows, similar, also="IF(x.open = 1, y.n + y.open, -1) > 0"))
+    del firsts, marked, rows, earliest, near
     tokens = _tokens(pairs, docs, doc_id, text)
     more = durable(_verified(_best(pairs), tokens, similar))
     rest = _joined(pairs, more.selectExpr("doc AS x_doc", "line_no AS x_line"), ["x_doc", "x_line"], "left_anti")
