@@ -25,6 +25,8 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -62,30 +64,35 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``.
 
-
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, piece, start, length, ids``: the ids as little-endian unsigned 32-bit numbers."""
+    Ids are little-endian unsigned 32-bit numbers. Without them only their CRC-32 leaves
+    the task that makes them.
+    """
     path = vocabulary or public_vocabulary()
+    names = {"piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint"} | ({"ids": "binary"} if with_ids else {})
 
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = encoder(path)
+        types = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+        kind = pa.list_(pa.struct([(n, types[t]) for n, t in names.items()]))
         for batch in batches:
-            rows = [_cut(bpe.encode_ordinary(t or ""), capacity, end_id) for part in texts(batch) for t in part]
-            yield pa.array(rows, pa.list_(_PIECE))
+            made = [pa.array([_cut(bpe.encode_ordinary(t or ""), capacity, end_id, with_ids) for t in part], kind) for part in texts(batch)]
+            yield pa.concat_arrays(made) if made else pa.array([], kind)
 
-    kind = "array<struct<piece:int,start:bigint,length:bigint,ids:binary>>"
+    kind = f"array<struct<{','.join(f'{n}:{t}' for n, t in names.items())}>>"
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.arrow_udf(cut, kind)(F.col(text))).alias("p")).select("doc_id", "p.*")
 
 
-def _cut(ids: list[int], capacity: int, end_id: int) -> list[dict]:
+def _cut(ids: list[int], capacity: int, end_id: int, with_ids: bool) -> list[dict]:
     ids.append(end_id)
-    data = np.array(ids, dtype="<u4").tobytes()
+    data = memoryview(np.array(ids, dtype="<u4").tobytes())
     first = (len(ids) - 1) % capacity + 1
-    out = [{"piece": 0, "start": 0, "length": first, "ids": data[: 4 * first]}]
-    for k, at in enumerate(range(first, len(ids), capacity), 1):
-        out.append({"piece": k, "start": at, "length": capacity, "ids": data[4 * at : 4 * (at + capacity)]})
+    out = []
+    for k, (a, b) in enumerate(pairwise([0, *range(first, len(ids) + 1, capacity)])):
+        own = data[4 * a : 4 * b]
+        out.append({"piece": k, "start": a, "length": b - a, "ids_crc32": crc32(own)} | ({"ids": bytes(own)} if with_ids else {}))
     return out
 
 
@@ -255,9 +262,8 @@ def placed(cut: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, salt_
 
 
 def packed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
-    """The pieces of ``docs`` with their places; with ``ids`` or, for less to write, their CRC-32 in its place."""
-    cut = pieces(docs, doc_id, text, capacity, vocabulary).withColumn("ids_crc32", F.crc32("ids"))
-    return placed(durable(cut if with_ids else cut.drop("ids")), capacity)
+    """The pieces of ``docs`` with their places; with their ids, or for less to write without them."""
+    return placed(durable(pieces(docs, doc_id, text, capacity, vocabulary, with_ids=with_ids)), capacity)
 
 
 def sequences(placed_pieces: DataFrame) -> DataFrame:
