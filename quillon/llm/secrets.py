@@ -5,7 +5,8 @@ A candidate of the second kind is a long token near a word such as ``password``
 of common identifiers and the text around it, and as the empty string after the
 same dictionary. The difference are the bytes that the token adds; a token that
 repeats its surroundings or is made of identifiers adds few, a random one nearly
-as many as it has bits. Spans count code points and end before their end.
+as many as it has bits. Other lines are taken without the token, so a secret that
+stands on several lines does not hide itself; its own line is taken as it is. Spans count code points and end before their end.
 
 Null text is an empty one. Very long texts are scanned whole; the dictionary holds
 a bounded neighbourhood of the candidate, which is the method's window and not a
@@ -29,7 +30,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short as a whole holds no longer one
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api_?key|credential|authorization|bearer|private_?key|access_?key|auth_?key|signing_?key", re.IGNORECASE | re.ASCII)
+SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_\x20-]?key|credential|authorization|bearer|private[_\x20-]?key|access[_\x20-]?key|auth[_\x20-]?key|signing[_\x20-]?key", re.IGNORECASE | re.ASCII)
+#: A block of key lines up to its end, or where that is missing as long as lines of key characters follow.
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*(?=-----END )|(?:\\n|[\s\"'+>#*]|[A-Za-z0-9+/=]{16,})*)", re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 #: Common identifiers and words of code that the dictionary starts with.
 IDENTIFIERS = (
@@ -68,12 +71,31 @@ def marginal_bytes(token: str, around: str) -> int:
     return len(squeeze(token.encode())) - len(squeeze(b""))
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """``AROUND`` characters on each side, without what repeats the token on other lines."""
+    token, far = text[start:end], AROUND + end - start
+    line, stop = text.rfind("\n", max(0, start - far), start) + 1, text.find("\n", end, end + far)
+    line, stop = line or max(0, start - far), stop if stop >= 0 else min(len(text), end + far)
+    before = text[max(0, start - far) : line].replace(token, "") + text[line:start]
+    after = text[end:stop] + text[stop : end + far].replace(token, "")
+    return before[-AROUND:] + "\n" + after[:AROUND]
+
+
+def bound(token: str, least_bits: float = LEAST_BITS) -> float:
+    """Marginal bits a character that a token of its alphabet must add; ``least_bits`` is that of 64 characters."""
+    symbols = 16 if _HEX_ONLY.fullmatch(token) else 64
+    return least_bits * math.log2(symbols) / 6
+
+
+_HEX_ONLY = re.compile(r"[0-9A-Fa-f-]+")
+
+
 def novel_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context whose marginal size says that they are random."""
     out = []
     reached = -1
-    for s in SENSITIVE.finditer(text):
-        low, high = max(s.start() - REACH, reached), s.end() + REACH
+    for start, end in contexts(text):
+        low, high = max(start, reached), end
         for m in CANDIDATE.finditer(text, low):
             if m.start() > high:
                 break
@@ -81,12 +103,17 @@ def novel_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[int, in
             token = m[0]
             if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or entropy(token) < LEAST_ENTROPY:
                 continue
-            around = text[max(0, m.start() - AROUND) : m.start()] + "\n" + text[m.end() : m.end() + AROUND]
-            if 8 * marginal_bytes(token, around) >= least_bits * len(token):
+            if 8 * marginal_bytes(token, surroundings(text, m.start(), m.end())) >= bound(token, least_bits) * len(token):
                 out.append((m.start(), m.end(), 3))
     return out
 
 
+def contexts(text: str) -> list[tuple[int, int]]:
+    """Where candidates may start: ``REACH`` characters about sensitive words, and all of a key block."""
+    words = [(max(0, s.start() - REACH), s.end() + REACH) for s in SENSITIVE.finditer(text)]
+    return sorted(words + [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN " in text else words)
+
+
 def entropy(token: str) -> float:
     """Bits a character of the token's own characters: a cheap bound before the compressor."""
     n = len(token)
