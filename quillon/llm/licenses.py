@@ -6,8 +6,9 @@ templates and places of each kept hash. All grams of a document are looked up;
 hits on about the same diagonal of a document and a template make a candidate if
 they are a fair part of the template's fingerprints. A banded alignment of the
 template with the words around finds how many of its words match in order, and from
-where to where. Matches that cover enough are reported, of overlapping ones the one
-with the most matched words.
+where to where. Its words and hits go, and the hits that are left are aligned again
+until no candidate is left. Matches that cover enough are reported, of overlapping
+ones the one with the most matched words.
 
 Spans count code points, ends excluded. Null and empty texts have no matches;
 repeated rows are scanned alike; texts are scanned whole; other columns pass through.
@@ -17,6 +18,7 @@ The index holds the templates only, so its size does not depend on the documents
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 
@@ -31,6 +33,8 @@ GRAM = 3
 WINDOW = 4
 #: Words by which an alignment may leave its diagonal.
 BAND = 8
+#: In place of the number of a word that a match has taken.
+_GONE = -2
 #: Part of a template's fingerprints that a candidate has.
 CANDIDATE = 0.2
 #: Part of a template's words that a reported match has.
@@ -165,22 +169,39 @@ class Index:
                 diagonals[template].append((at - place, place))
         found = []
         for template, of in diagonals.items():
-            name, words = self.templates[template]
             of.sort()
+            found += self._chained(template, of, ids)
+        starts: list[int] = []
+        kept: dict[int, tuple[str, int, int, int, int]] = {}
+        for matched, _, name, first, last, n in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
+            k = bisect_left(starts, first)
+            if (k == len(starts) or last < starts[k]) and (k == 0 or kept[starts[k - 1]][2] < first):
+                starts.insert(k, first)
+                kept[first] = (name, first, last, matched, n)
+        return [kept[first] for first in starts]
+
+    def _chained(self, template: int, of: list[tuple[int, int]], ids: list[int]) -> list[tuple[int, float, str, int, int, int]]:
+        """All matches of a template: a chain of hits is aligned at its median diagonal until nothing more is found there, then the hits on either side of it are chains of their own."""
+        name, words = self.templates[template]
+        found = []
+        free = list(ids)  # words of a match go
+        stack = [of]
+        while stack:
             group: list[tuple[int, int]] = []
-            for diagonal, place in [*of, (1 << 60, 0)]:
+            for diagonal, place in [*stack.pop(), (1 << 60, 0)]:
                 if group and diagonal - group[-1][0] > BAND:
-                    if len({p for _, p in group}) >= CANDIDATE * self.fingerprints[template]:
-                        matched, first, last = align(words, ids, group[len(group) // 2][0])
-                        if matched >= COVERAGE * len(words):
-                            found.append((matched, matched / len(words), name, first, last, len(words)))
+                    middle = group[len(group) // 2][0]
+                    while len({p for _, p in group}) >= CANDIDATE * self.fingerprints[template]:
+                        matched, first, last = align(words, free, middle)
+                        if matched < COVERAGE * len(words):
+                            stack += [side for side in ([h for h in group if h[0] < middle], [h for h in group if h[0] > middle]) if side]
+                            break
+                        found.append((matched, matched / len(words), name, first, last, len(words)))
+                        free[first : last + 1] = [_GONE] * (last + 1 - first)
+                        group = [(d, p) for d, p in group if free[d + p] != _GONE]
                     group = []
                 group.append((diagonal, place))
-        out: list[tuple[str, int, int, int, int]] = []
-        for matched, _, name, first, last, n in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[3])):
-            if all(last < a or b < first for _, a, b, _, _ in out):
-                out.append((name, first, last, matched, n))
-        return sorted(out, key=lambda m: m[1])
+        return found
 
 
 def _grams(ids: np.ndarray, n: int) -> np.ndarray:
