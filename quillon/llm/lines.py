@@ -5,7 +5,8 @@ case. Two lines are similar if the Jaccard index of their token sets is at least
 ``similar`` (a fraction, 4/5 unless told otherwise). Documents are ordered by id,
 lines within them by number; a line is removed if any earlier line of the input is
 similar to it, whether or not that one is removed too. Lines of fewer than
-``min_tokens`` tokens stay and remove nothing.
+``min_tokens`` tokens stay and remove nothing: op10 has all lines of at least one
+token take part, the stage of the pipeline those of three or more.
 
 1. Tokens are counted over the whole corpus in a table of fixed size, by hash, and
    each line's tokens are sorted from rare to frequent. Hash collisions only change
@@ -180,6 +181,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     same = ["set", "n", "bits"]
     firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).select(*same, "place.*", "wide", "prefix"))
     first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
+    # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
+    firsts = firsts.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
     on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
     del described

@@ -130,7 +130,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicated(docs).select(
+    return lines.deduplicated(docs, min_tokens=1).select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_kept"),
         F.size("removed").cast("long").alias("n_removed"),
