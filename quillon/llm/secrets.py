@@ -1,16 +1,25 @@
 """Secret scans: base patterns, and tokens that a primed compressor finds novel.
 
-A candidate of the second kind is a long token near a word such as ``password`` or
-``credential``. It is compressed with Zstandard twice over: after a dictionary made
-of common identifiers and the text around it, and as the empty string after the
-same dictionary. The difference are the bytes that the token adds; a token that
-repeats its surroundings or is made of identifiers adds few, a random one nearly
-as many as it has bits. Other lines are taken without the token, so a secret that
-stands on several lines does not hide itself; its own line is taken as it is. Spans count code points and end before their end.
-
-Null text is an empty one. Very long texts are scanned whole; the dictionary holds
-a bounded neighbourhood of the candidate, which is the method's window and not a
-limit on what is scanned. Other columns pass through.
+A candidate of the second kind is a whole run of token characters, some of which lie
+near a word such as ``password`` or ``credential``. It is compressed with Zstandard
+twice over: after a dictionary made of common identifiers and the text around it, and
+as the empty string after the same dictionary. The difference are the bytes that the
+token adds; a token that repeats its surroundings or is made of identifiers adds few,
+a random one nearly as many as it has bits. Other lines are taken without the token,
+so a secret that stands on several lines does not hide itself; its own line is taken
+as it is. Spans count code points and end before their end.
+
+A compressor finds any unseen word novel, so ``generated`` says which runs it is asked
+about: those that mix digits and both cases as no words do, and those with a part of
+``SHORTEST_PART`` characters that mixes letters and digits, changes case more often
+than names made of words do, or is a single-case word or number too long for one. In
+the tests, planted random tokens of 12 characters or more of alphabets with letters
+and digits, and of 24 of letters or digits alone, are found at a rate of at least 0.95.
+
+Null text is an empty one. Very long texts are scanned whole, in time linear in their
+length; the dictionary holds a bounded neighbourhood of the candidate, which is the
+method's window and not a limit on what is scanned. Other columns pass through; where
+the input has a column of the result's name, the result's gets underscores before it.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import texts
+from quillon.llm.shared import free_name, texts
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run that is too short as a whole holds no longer one
@@ -33,7 +42,7 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"password|passwd|passphrase|secret|token|api[_\x20-]?key|credential|authorization|bearer|private[_\x20-]?key|access[_\x20-]?key|auth[_\x20-]?key|signing[_\x20-]?key", re.IGNORECASE | re.ASCII)
 #: A block of key lines up to its end, or where that is missing as long as lines of key characters follow.
 BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*(?=-----END )|(?:\\n|[\s\"'+>#*]|[A-Za-z0-9+/=]{16,})*)", re.ASCII)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{12,}")
 #: Common identifiers and words of code that the dictionary starts with.
 IDENTIFIERS = (
     "abstract application array attribute authentication authorization boolean buffer builder callback "
@@ -51,6 +60,9 @@ REACH = 96  # characters between the sensitive word and the candidate
 AROUND = 2048  # characters of context on each side in the dictionary
 LEAST_BITS = 4.5  # marginal bits a character
 LEAST_ENTROPY = 2.5  # bits a character of the token alone, below which it is not compressed at all
+SHORTEST_PART = 10  # characters of a candidate's longest part between separators
+WORD_PART = 4  # mean length of the words of a mixed-case run up to which it is no name made of words
+LONG_WORD, LONG_NUMBER = 24, 20  # characters from which a single-case word or a number is a candidate
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -90,28 +102,60 @@ def bound(token: str, least_bits: float = LEAST_BITS) -> float:
 _HEX_ONLY = re.compile(r"[0-9A-Fa-f-]+")
 
 
+def generated(token: str) -> bool:
+    """Whether a run may be no word, name, path, date or version, so that the compressor is asked."""
+    words = _WORDS.findall(token)
+    short = sum(map(len, words)) <= WORD_PART * len(words)
+    if short and any(map(str.isdigit, token)) and any(map(str.islower, token)) and any(map(str.isupper, token)):
+        return True  # separators of paths are signs of an alphabet of 64, too
+    part = max(_SEPARATORS.split(token), key=len)
+    if len(part) < SHORTEST_PART:
+        return False
+    digits, letters = sum(map(str.isdigit, part)), sum(map(str.isalpha, part))
+    if digits and letters:
+        return True
+    if digits:
+        return len(part) >= LONG_NUMBER
+    words = _WORDS.findall(part)
+    return len(part) <= WORD_PART * len(words) or (len(words) == 1 and len(part) >= LONG_WORD)
+
+
+_SEPARATORS = re.compile(r"[._/~+=-]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
 def novel_spans(text: str, least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
     """Candidates in a sensitive context whose marginal size says that they are random."""
     out = []
-    reached = -1
-    for start, end in contexts(text):
-        low, high = max(start, reached), end
-        for m in CANDIDATE.finditer(text, low):
-            if m.start() > high:
-                break
-            reached = max(reached, m.end())
-            token = m[0]
-            if not (re.search("[0-9]", token) and re.search("[A-Za-z]", token)) or entropy(token) < LEAST_ENTROPY:
-                continue
-            if 8 * marginal_bytes(token, surroundings(text, m.start(), m.end())) >= bound(token, least_bits) * len(token):
-                out.append((m.start(), m.end(), 3))
+    near = contexts(text)
+    k = 0
+    for m in CANDIDATE.finditer(text) if near else ():
+        while k < len(near) and near[k][1] <= m.start():
+            k += 1
+        if k == len(near):
+            break
+        if near[k][0] >= m.end():
+            continue
+        token = m[0]
+        if not generated(token) or entropy(token) < LEAST_ENTROPY:
+            continue
+        if 8 * marginal_bytes(token, surroundings(text, m.start(), m.end())) >= bound(token, least_bits) * len(token):
+            out.append((m.start(), m.end(), 3))
     return out
 
 
 def contexts(text: str) -> list[tuple[int, int]]:
-    """Where candidates may start: ``REACH`` characters about sensitive words, and all of a key block."""
-    words = [(max(0, s.start() - REACH), s.end() + REACH) for s in SENSITIVE.finditer(text)]
-    return sorted(words + [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN " in text else words)
+    """Where candidates may lie, as disjoint spans: ``REACH`` characters about sensitive words, and all of a key block."""
+    found = [(max(0, s.start() - REACH), s.end() + REACH) for s in SENSITIVE.finditer(text)]
+    if "-----BEGIN " in text:
+        found += [m.span() for m in BLOCK.finditer(text)]
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(found):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
 def entropy(token: str) -> float:
@@ -125,16 +169,18 @@ def all_spans(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[st
     if not text:
         return []
     base = base_spans(text)
-    added = [x for x in novel_spans(text, least_bits) if not any(b[0] < x[1] and x[0] < b[1] for b in base)] if _may_hold(text) else []
+    added, k, reach = [], 0, 0  # ``reach``: the furthest end of the base spans that begin before a candidate's end
+    for x in novel_spans(text, least_bits):
+        while k < len(base) and base[k][0] < x[1]:
+            reach, k = max(reach, base[k][1]), k + 1
+        if reach <= x[0]:
+            added.append(x)
     return [(KINDS[k], a, b) for a, b, k in sorted({*base, *added}, key=lambda s: (s[0], s[2], s[1]))]
 
 
-def _may_hold(text: str) -> bool:
-    return SENSITIVE.search(text) is not None
-
-
 def secret_spans(docs: DataFrame, text: str = "text", name: str = "secrets", least_bits: float = LEAST_BITS) -> DataFrame:
     """``docs`` with an array of spans (kind, start, end) ordered by start, then kind."""
+    name = free_name(docs, name)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
