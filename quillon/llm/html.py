@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import texts
+from quillon.llm.shared import free_name, texts
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 96, 24, 8, 24
 DIM = PATH_DIM + WORD_DIM + MEASURES
 #: Pages of a batch, and blocks of a batch, that a task labels at once.
 BATCH_PAGES, BATCH_BLOCKS = 128, 16_384
-KNOWN_PATHS = 20_000
+#: Elements and words of earlier pages that a task keeps.
+KNOWN = 20_000
 
 # Fixed values of the HTML standard.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -56,39 +57,145 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
-class Block:
-    """A piece of text, the elements above it, and how many of its characters are in links."""
+class Element:
+    """An open element, its names (tag, classes, ids, role), and the one above it; paths share their upper parts."""
 
-    __slots__ = ("linked", "path", "text")
+    __slots__ = ("above", "names", "vector")
 
-    def __init__(self, text: str, path: tuple[str, ...], linked: int) -> None:
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, names: tuple[str, ...], above: Element | None) -> None:
+        self.names, self.above = names, above
+        self.vector: np.ndarray | None = None
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The blocks of a page in its order, white space made one space."""
+class Block:
+    """A piece of text, the element that it stands in, how many of its characters are in links, and the vector of its path."""
+
+    __slots__ = ("element", "linked", "text", "vector")
+
+    def __init__(self, text: str, element: Element | None, linked: int, vector: np.ndarray) -> None:
+        self.text, self.element, self.linked, self.vector = text, element, linked, vector
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All names from the outermost element to the block's own."""
+        out: list[tuple[str, ...]] = []
+        at = self.element
+        while at is not None:
+            out.append(at.names)
+            at = at.above
+        return tuple(x for names in reversed(out) for x in names)
+
+
+class Path:
+    """The open elements of a page, with the vector of the path kept up to date.
+
+    Opening and closing an element costs what the element itself has, however deep it
+    lies: ``scopes`` counts the open elements by tag between one scoping element and
+    the next, so nothing is searched for that is not there.
+    """
+
+    def __init__(self, known: dict[tuple[str, ...], tuple[tuple[str, int, int], ...]]) -> None:
+        self.known = known
+        self.tags: list[str] = []
+        self.top: Element | None = None
+        self.scopes: list[dict[str, int]] = [{}]
+        self.open: dict[str, int] = {}
+        self.tokens: dict[str, int] = {}
+        self.sums = [0] * PATH_DIM
+        self.nothing = np.zeros(PATH_DIM, dtype=np.float32)
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.top = Element(names, self.top)
+        self.tags.append(tag)
+        if tag in SCOPES:
+            self.scopes.append({})
+        self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if (features := self.known.get(names)) is None:
+            features = self.known[names] = _features(names)
+        for token, at, sign in features:
+            seen = self.tokens.get(token, 0)
+            self.tokens[token] = seen + 1
+            if not seen:  # a path has each of its tokens once
+                self.sums[at] += sign
+
+    def pop(self) -> str:
+        tag, names = self.tags.pop(), self.top.names
+        self.top = self.top.above
+        self.open[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        for token, at, sign in self.known[names]:
+            self.tokens[token] -= 1
+            if not self.tokens[token]:
+                del self.tokens[token]
+                self.sums[at] -= sign
+        return tag
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest element of its name and all in it, if there is one."""
+        if self.open.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def close(self, tag: str) -> None:
+        """What a start tag closes, if it is open in the same scope."""
+        if self.scopes[-1].get(tag):
+            while self.pop() != tag:
+                pass
+
+    def vector(self) -> np.ndarray:
+        """Hashed tokens of the path, and once more the last name of its last element."""
+        if self.top is None:
+            return self.nothing
+        if self.top.vector is None:
+            self.top.vector = np.array(self.sums, dtype=np.float32)
+            at, sign = _place(f"leaf {self.top.names[-1]}")
+            self.top.vector[at] += sign
+        return self.top.vector
+
+
+def _features(names: tuple[str, ...]) -> tuple[tuple[str, int, int], ...]:
+    """The tokens of an element: its names and their parts, each with its place in the vector and its sign."""
+    tokens = set(names)
+    for name in names:
+        tokens.update(p for p in re.split(r"[-_.]+", name) if len(p) > 1)
+    return tuple((t, *_place(t)) for t in sorted(tokens))
+
+
+def _place(token: str) -> tuple[int, int]:
+    h = crc32(token.encode())
+    return h % PATH_DIM, 1 if h >> 31 else -1
+
+
+def blocks(page: str | None, known: dict | None = None) -> list[Block]:
+    """The blocks of a page in its order, white space made one space; ``known`` keeps what elements of earlier pages add to a path."""
     out: list[Block] = []
-    names: list[str] = []  # open elements, and what names each: tag, classes, id, role
-    above: list[tuple[str, ...]] = []
+    known = {} if known is None else known
+    if len(known) > KNOWN:
+        known.clear()
+    path = Path(known)
     held: list[str] = []
     linked = 0
-    path: tuple[str, ...] = ()
+    element, vector = path.top, path.nothing
 
     def end_block() -> None:
         nonlocal linked
         if held:
             text = " ".join(unescape("".join(held)).split())
             if text:
-                out.append(Block(text, path, linked))
+                out.append(Block(text, element, linked, vector))
             held.clear()
         linked = 0
 
     for m in _TOKEN.finditer(page or ""):
         if (text := m["text"]) is not None:
             if not held:
-                path = tuple(x for of in above for x in of)
+                element, vector = path.top, path.vector()
             held.append(text)
-            linked += len(text) if "a" in names else 0
+            linked += len(text) if path.open.get("a") else 0
             continue
         if m["name"] is None:
             continue
@@ -96,52 +203,27 @@ def blocks(page: str | None) -> list[Block]:
         if name not in INLINE:
             end_block()
         if m["end"]:
-            if name in names:
-                at = len(names) - 1 - names[::-1].index(name)
-                del names[at:], above[at:]
+            path.end(name)
         elif name not in VOID:
             for closed in CLOSES.get(name, ()):
-                _close(names, above, closed)
+                path.close(closed)
             rest = m["rest"]
             more = [v for x in _NAMES.findall(rest) for v in "".join(x).lower().split()] if "=" in rest else []
-            names.append(name)
-            above.append((name, *(f".{v}" for v in more)))
+            path.push(name, (name, *(f".{v}" for v in more)))
     end_block()
     return out
 
 
-def _close(names: list[str], above: list[tuple[str, ...]], name: str) -> None:
-    for at in range(len(names) - 1, -1, -1):
-        if names[at] == name:
-            del names[at:], above[at:]
-            return
-        if names[at] in SCOPES:
-            return
-
-
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM, dtype=np.float32)
-    tokens = set(path)
-    for token in path:
-        tokens.update(p for p in re.split(r"[-_.]+", token) if len(p) > 1)
-    tokens.update(f"leaf {x}" for x in path[-1:])
-    for token in tokens:
-        h = crc32(token.encode())
-        out[h % PATH_DIM] += 1.0 if h >> 31 else -1.0
-    return out
-
-
-def vectors(page: list[Block], known: dict[tuple[str, ...], np.ndarray]) -> np.ndarray:
-    """One row a block; ``known`` keeps the vectors of paths, a bounded number of them."""
-    if len(known) > KNOWN_PATHS:
+def vectors(page: list[Block], known: dict[str, int]) -> np.ndarray:
+    """One row a block; ``known`` keeps the places of words."""
+    if len(known) > KNOWN:
         known.clear()
     out = np.zeros((len(page), DIM), dtype=np.float32)
     for k, b in enumerate(page):
-        if (of_path := known.get(b.path)) is None:
-            of_path = known[b.path] = _path_vector(b.path)
         words = b.text.split(" ")
-        out[k, :PATH_DIM] = of_path
-        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount([crc32(w.encode()) % WORD_DIM for w in words], minlength=WORD_DIM) / np.sqrt(len(words)) / 4
+        out[k, :PATH_DIM] = b.vector
+        places = [known[w] if w in known else known.setdefault(w, crc32(w.encode()) % WORD_DIM) for w in words]
+        out[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(places, minlength=WORD_DIM) / np.sqrt(len(words)) / 4
         n = len(b.text)
         out[k, PATH_DIM + WORD_DIM :] = (
             np.log1p(len(words)) / 4,
@@ -412,15 +494,16 @@ _TEXT = pa.struct([("text", pa.string()), ("n_blocks", pa.int32()), ("n_kept", p
 
 def main_text(pages: DataFrame, html: str = "html", name: str = "main") -> DataFrame:
     """``pages`` with a struct column: the article's text, blocks of the page, blocks kept."""
+    name = free_name(pages, name)
     known = pages.sparkSession.sparkContext.broadcast(trained().weights)
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, paths = Labeller(known.value), {}
+        model, elements, places = Labeller(known.value), {}, {}
         for batch in batches:
             rows = []
             for part in texts(batch):
-                found = [blocks(p) for p in part]
-                for page, keep in zip(found, model.labels([vectors(p, paths) for p in found]), strict=True):
+                found = [blocks(p, elements) for p in part]
+                for page, keep in zip(found, model.labels([vectors(p, places) for p in found]), strict=True):
                     rows.append({"text": " ".join(b.text for b, k in zip(page, keep.tolist(), strict=True) if k), "n_blocks": len(page), "n_kept": int(keep.sum())})
             yield pa.array(rows, _TEXT)
 
