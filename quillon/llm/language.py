@@ -1,16 +1,18 @@
 """Language identification with spans of mixed-language texts.
 
 From labelled documents the operator learns how often each language has each
-character gram (hashed) and each script. A word's script leaves the languages that
-use it; its grams give each of these a log probability. A Viterbi path over the
-words of a text, with a penalty for each switch of language, labels spans; the
+character gram (hashed) and each script. The script of a word's first letter leaves
+the languages that use it, and only these are scored: its grams give each of them a
+log probability. A Viterbi path over the words of a text, with a penalty for each switch of language, labels spans; the
 language with the most letters names the text, and its share of them is the score.
 
 The labelled documents may be a bounded sample: about ``sample`` documents of each
 language, chosen by a hash of the id, so the choice depends on nothing else. The
 model has a fixed size. Null texts and texts without letters are ``und`` with score
-0, and so is every text if nothing was learned. Texts are read whole. Other columns
-pass through, and neither labels nor ids reach a prediction.
+0, and so is every text if nothing was learned. Texts are read whole. A row without an
+id is not held out. Other columns pass through (where the input has a column of the
+result's name, the result's gets underscores before it), and neither labels nor ids
+reach a prediction.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import texts
+from quillon.llm.shared import free_name, texts
 
 SAMPLE = 3000
 GRAMS = 1 << 16
@@ -47,7 +49,7 @@ _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def _letters(word: str) -> str:
@@ -70,8 +72,13 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # a word owns the rows of its letters and of the break behind it
     own = stacked[1:].reshape(-1)
     starts = 3 * (begin - 1)
-    script = _SCRIPT[np.searchsorted(_FIRST, c[np.minimum(begin, len(c) - 1)].astype(np.int64), side="right") - 1]
-    return own, starts, script
+    return own, starts, scripts_of(words)
+
+
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The number of the script of each word's first letter."""
+    first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+    return _SCRIPT[np.searchsorted(_FIRST, first, side="right") - 1]
 
 
 def _count(langs: list[str]):
@@ -101,7 +108,7 @@ def _count(langs: list[str]):
 class Model:
     langs: tuple[str, ...]
     grams: np.ndarray  # log probability by gram and language
-    scripts: np.ndarray  # 0 where a language has a script, else a great loss
+    scripts: np.ndarray  # 0 where a language has a script, else the great loss that stands for its score
 
     def parts(self) -> tuple:
         return self.langs, self.grams, self.scripts
@@ -112,10 +119,13 @@ class Model:
         letters = np.fromiter(map(len, plain), np.int64, len(plain))
         out = np.zeros((len(words), len(self.langs)), dtype=np.float32)
         some = np.flatnonzero(letters)
-        if len(some):
-            own, starts, script = features([plain[k] for k in some])
-            sums = np.stack([np.add.reduceat(self.grams[:, k][own], starts) for k in range(len(self.langs))], axis=1)
-            out[some] = sums + self.scripts[script]
+        script = scripts_of([plain[k] for k in some])
+        for of in np.unique(script).tolist():
+            mine = some[script == of]
+            own, starts, _ = features([plain[k] for k in mine])
+            out[mine] = self.scripts[of]
+            for k in np.flatnonzero(self.scripts[of] == 0):
+                out[mine, k] = np.add.reduceat(self.grams[:, k][own], starts)
         return out, letters
 
 
@@ -142,11 +152,12 @@ def learn(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def viterbi(scores: np.ndarray, ids: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best path of each text (``sizes`` words each, ``ids`` into ``scores``), all texts at once, word by word."""
     n_langs = scores.shape[1]
+    kind = np.int8 if n_langs < 128 else np.int32
     order = np.argsort(-sizes, kind="stable")
     sizes, starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
     best = np.zeros((len(sizes), n_langs), dtype=np.float32)
-    came = np.zeros((len(ids), n_langs), dtype=np.int8)
-    lang = np.arange(n_langs, dtype=np.int8)
+    came = np.zeros((len(ids), n_langs), dtype=kind)
+    lang = np.arange(n_langs, dtype=kind)
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # texts with more words than t
     for t in range(longest):
@@ -157,8 +168,8 @@ def viterbi(scores: np.ndarray, ids: np.ndarray, sizes: np.ndarray, penalty: flo
         stay = now >= moved[:, None]
         came[at] = np.where(stay, lang, top[:, None])
         best[:k] = np.where(stay, now, moved[:, None]) + scores[ids[at]]
-    path = np.zeros(len(ids), dtype=np.int8)
-    label = best.argmax(axis=1).astype(np.int8)
+    path = np.zeros(len(ids), dtype=kind)
+    label = best.argmax(axis=1).astype(kind)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         at = starts[:k] + t
@@ -226,6 +237,7 @@ _KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.
 def predicted(docs: DataFrame, model: Model, text: str = "text", name: str = "language") -> DataFrame:
     """``docs`` with a struct column: language, score, spans of words (split at white space)."""
     known = docs.sparkSession.sparkContext.broadcast(model.parts())  # of a fixed size a language
+    name = free_name(docs, name)
 
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         labeller = Labeller(known.value)

@@ -11,7 +11,9 @@ until no candidate is left. Matches that cover enough are reported, of overlappi
 ones the one with the most matched words.
 
 Spans count code points, ends excluded. Null and empty texts have no matches;
-repeated rows are scanned alike; texts are scanned whole; other columns pass through.
+repeated rows are scanned alike; texts are scanned whole; other columns pass through,
+and where the input has a column of the result's name, the result's gets underscores
+before it.
 The index holds the templates only, so its size does not depend on the documents.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.shared import texts
+from quillon.llm.shared import free_name, texts
 
 GRAM = 3
 WINDOW = 4
@@ -250,6 +252,7 @@ def align(template: list[int], ids: list[int], diagonal: int, band: int = BAND)
 
 def license_matches(docs: DataFrame, text: str = "text", name: str = "licenses", templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
     """``docs`` with an array of matches: license, start and end, words matched, words of the template."""
+    name = free_name(docs, name)
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = Index(templates)

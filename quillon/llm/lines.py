@@ -24,7 +24,8 @@ token take part, the stage of the pipeline those of three or more.
 
 Null text has no lines and stays null; an empty table stays empty; rows that share
 a doc_id are taken for one place in the order and do not remove each other's lines
-of the same number. Other columns pass through.
+of the same number. Other columns pass through; where the input has a column of the
+result's name, the result's gets underscores before it.
 """
 
 from __future__ import annotations
@@ -204,6 +205,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", **options) -> DataFrame:
     """``docs`` with the lines removed from ``text`` and their numbers in an array column."""
+    removed = free_name(docs, removed)
     gone = removed_lines(docs, doc_id, text, **options).groupBy("doc").agg(F.sort_array(F.collect_set("line_no")).alias(removed))
     key = free_name(docs, "doc")
     out = docs.join(gone.withColumnRenamed("doc", key), F.col(doc_id).eqNullSafe(F.col(key)), "left").drop(key)

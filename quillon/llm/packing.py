@@ -16,7 +16,9 @@ their length and their rank among pieces of that length; the rank is counted in
 salted groups of bounded size, so a length that many pieces have is no hot spot.
 
 Null text is an empty one: a piece that holds the end id alone. Rows that are
-repeated are packed as often as they come. An empty table gives no pieces.
+repeated are packed as often as they come, rows without an id as well. An empty table
+gives no pieces. A row of the result is a piece, so of the input's columns only the id
+goes on, whatever the others are named.
 """
 
 from __future__ import annotations

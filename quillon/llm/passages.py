@@ -20,8 +20,10 @@ with one minimizer is a segment.
    under the hash of the whole window, so no task gets them all.
 
 Null text is empty. Matches within one document, or between rows with one id, remove
-nothing. Texts shorter than ``length`` keep all bytes. An empty table stays empty.
-Only spans go back to the documents; other columns pass through.
+nothing. Rows without an id keep all bytes and remove none. Texts shorter than
+``length`` keep all bytes. An empty table stays empty. Only spans go back to the
+documents; other columns pass through, and where the input has a column of the
+result's name, the result's gets underscores before it.
 """
 
 from __future__ import annotations
@@ -428,7 +430,7 @@ def _union(blobs: list[bytes] | None) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "spans", **options) -> DataFrame:
     """``docs`` with an array column of the packed spans, null where nothing goes."""
-    key = free_name(docs, "doc")
+    key, name = free_name(docs, "doc"), free_name(docs, name)
     spans = removed_spans(docs, doc_id, text, **options).groupBy("doc").agg(F.collect_list("spans").alias(name)).withColumnRenamed("doc", key)
     return docs.join(spans, F.col(doc_id) == F.col(key), "left").drop(key)
 
@@ -464,6 +466,6 @@ def kept_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", name
     def keep(texts: pa.Array, spans_: pa.Array) -> pa.Array:
         return pa.array([_kept(t or b"", _union(blobs)) for t, blobs in zip(texts.cast(pa.binary()).to_pylist(), spans_.to_pylist(), strict=True)], pa.binary())
 
-    spans = free_name(docs, "spans")
+    spans, name = free_name(docs, "spans"), free_name(docs, name)
     out = with_spans(docs, doc_id, text, spans, **options)
     return out.withColumn(name, F.arrow_udf(keep, "binary")(F.col(text), F.col(spans))).drop(spans)

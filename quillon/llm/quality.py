@@ -6,7 +6,8 @@ rejections per second and stops at the first that rejects. The order decides onl
 the cost: a document is kept if no rule rejects it, whatever the order.
 
 Null text counts as an empty one. Repeated rows and ties are judged alike, an empty
-table gives an empty result, and other columns pass through untouched.
+table gives an empty result, and other columns pass through untouched; where the input
+has a column of the result's name, the result's gets underscores before it.
 """
 
 from __future__ import annotations
@@ -173,7 +174,7 @@ def verdicts(rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, meas
 
 def judged(docs: DataFrame, text: str = "text", name: str = "verdict", **options) -> DataFrame:
     """``docs`` with one more column, a struct of the verdict and the asked measures."""
-    return docs.withColumn(name, verdicts(**options)(F.col(text)))
+    return docs.withColumn(free_name(docs, name), verdicts(**options)(F.col(text)))
 
 
 def kept_documents(docs: DataFrame, text: str = "text", **options) -> DataFrame:

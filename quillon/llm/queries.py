@@ -130,9 +130,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicated(docs, min_tokens=1).select(
+    given = docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)))  # a null text has no lines
+    return lines.deduplicated(given, min_tokens=1).select(
         "doc_id",
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_kept"),
+        (F.col("n_lines") - F.size("removed")).cast("long").alias("n_kept"),
         F.size("removed").cast("long").alias("n_removed"),
         F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),

@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
         for batch in batches:
             yield pa.array(np.array([fingerprint(t, width) for part in byte_texts(batch) for t in part], dtype=np.uint64).view(np.int64), pa.int64())
 
-    return docs.withColumn(name, F.arrow_udf(scan, "bigint")(F.col(text)))
+    return docs.withColumn(free_name(docs, name), F.arrow_udf(scan, "bigint")(F.col(text)))
 
 
 def trie_links(values: np.ndarray, groups: np.ndarray, budget: int, frontier: int = FRONTIER) -> np.ndarray:
