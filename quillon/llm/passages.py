@@ -10,8 +10,9 @@ with one minimizer is a segment.
    and its place, packed into one block for each receiving partition. Of equal
    segments within the task only that of the least document goes on; the others are
    decided, their bytes go.
-2. A receiving task decides equal segments of different tasks in the same way. What
-   is left are differing segments with one minimizer, for each the first document
+2. A receiving task decides equal segments of different tasks in the same way: those
+   whose minimizer, length and 64-bit hash are equal, without comparing their bytes,
+   as those would have to be sent. What is left are differing segments with one minimizer, for each the first document
    that has it; they may share windows all the same. Their texts are fetched.
 3. These texts, dealt by minimizer, are the shards. A shard's suffix array is built by
    induced sorting, with the permuted common prefixes; neighbours that agree in
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.durable import durable
-from quillon.llm.shared import free_name
+from quillon.llm.shared import free_name, stored_bytes
 from quillon.llm.suffix import permuted_lcp, suffix_array
 
 LENGTH = 50
@@ -51,6 +52,8 @@ HELD = 1 << 18
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
 SHARD_BYTES = 1 << 20
+#: Bytes of stored input for each of the partitions, which are read whole; there are two for each shuffle partition at least.
+PART_BYTES = 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -163,13 +166,18 @@ def _shared(p: np.ndarray, side: np.ndarray) -> np.ndarray:
 def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal segments those of the least document, and those of other documents, whose bytes go.
 
-    Equal segments have equal minimizers, so the hash of the segment alone sorts them.
+    Segments count as equal if their minimizers, lengths and 64-bit hashes are; the
+    hash alone sorts them unless two of it differ in the others.
     """
     if not len(places):
         return places, places
     order = np.argsort(places["same"], kind="stable")
-    same, doc = places["same"][order], places["doc"][order]
-    new = np.concatenate(([True], same[1:] != same[:-1]))
+    same, alike = _runs_of_equals(places, order)
+    if (same > alike).any():
+        order = np.lexsort((places["bytes"], places["group"], places["same"]))
+        _, alike = _runs_of_equals(places, order)
+    doc = places["doc"][order]
+    new = np.concatenate(([True], ~alike))
     at = np.flatnonzero(new)
     first = doc == np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(order))))
     kept = places[order[first]]
@@ -178,12 +186,23 @@ def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if again.any():
         some = again | np.append(again[1:], False)
         more = kept[some]
-        more = more[np.lexsort((more["start"], more["same"]))]
-        once = np.concatenate(([True], (more["same"][1:] != more["same"][:-1]) | (more["start"][1:] != more["start"][:-1])))
+        more = more[np.lexsort((more["start"], more["doc"], more["same"]))]
+        once = np.concatenate(([True], (more["same"][1:] != more["same"][:-1]) | (more["doc"][1:] != more["doc"][:-1]) | (more["start"][1:] != more["start"][:-1])))
         kept = np.concatenate((kept[~some], more[once]))
     return kept, places[order[~first]]
 
 
+def _runs_of_equals(places: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each place but the first has the hash of the one before it, and whether it has its minimizer and length as well."""
+    same = places["same"][order]
+    same = same[1:] == same[:-1]
+    alike = same.copy()
+    for field in ("group", "bytes"):
+        x = places[field][order]
+        alike &= x[1:] == x[:-1]
+    return same, alike
+
+
 def _runs(places: np.ndarray) -> np.ndarray:
     """The same bytes as disjoint places, by document and start."""
     if not len(places):
@@ -408,8 +427,7 @@ def _sharder(length: int, parts: int):
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``doc, spans``: packed pairs of byte offsets to remove, in one or more rows a document."""
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // PART_BYTES))
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
     cut = given.mapInArrow(_cutter(length, parts), _BLOCK).repartition(parts, "part")
     decided = durable(cut.mapInArrow(_decider(parts, hot), _BLOCK).repartition(parts, "part").mapInArrow(_collect, _DOC))

@@ -27,6 +27,12 @@ def byte_texts(column: pa.Array, rows: int = SLICE_ROWS) -> Iterator[list[bytes
         yield column.slice(at, rows).cast(pa.binary()).to_pylist()
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """What the optimizer knows of the size of a frame's sources in bytes; 0 where it knows nothing."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores before it if the frame has such a column (names compare without case)."""
     taken = {c.lower() for c in df.columns}

@@ -2,9 +2,11 @@
 
 The scan that induces suffixes from sorted ones is done in blocks: a block ends
 where the first suffix that it induces goes, so all entries of a block are final
-when it is read, and a block is a few array operations. Time is linear in the text
-but for the number of blocks, which is small for bytes and about the square root of
-the length for long names.
+when it is read, and a block is a few array operations. Suffixes that begin with runs
+of one symbol induce each other within their own bucket; where the scan comes to the
+bucket, all of them are placed at once, in the order in which the scan would meet
+them. Time is linear in the text but for the number of blocks, which is small for
+bytes and about the square root of the length for long names.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 _BLOCK = 1 << 16
+#: Pairs of substrings that are compared one by one.
+FEW = 64
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -29,14 +33,16 @@ def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
     s_type = _classify(t)
     lms = np.flatnonzero(s_type & np.concatenate(([False], ~s_type[:-1]))).astype(np.int32)
     ends = np.cumsum(np.bincount(t, minlength=symbols))
-    by_substring = _induce(t, s_type, ends, lms)
+    change = np.concatenate(([True], t[1:] != t[:-1]))
+    run = np.arange(len(t), dtype=np.int32) - np.maximum.accumulate(np.where(change, np.arange(len(t), dtype=np.int32), 0))
+    by_substring = _induce(t, s_type, ends, run, lms)
     leftmost = np.zeros(len(t), dtype=bool)
     leftmost[lms] = True
     order = by_substring[leftmost[by_substring]]
     names, kinds = _names(t, lms, order)
     if kinds < len(lms):
         order = lms[_sorted(names, kinds)]
-    return _induce(t, s_type, ends, order)
+    return _induce(t, s_type, ends, run, order)
 
 
 def _classify(t: np.ndarray) -> np.ndarray:
@@ -47,18 +53,21 @@ def _classify(t: np.ndarray) -> np.ndarray:
     return np.concatenate((step[np.minimum(at, len(step) - 1)] > 0, [True]))
 
 
-def _induce(t: np.ndarray, s_type: np.ndarray, ends: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """All suffixes, in order if ``lms`` is: larger ones from the left, smaller ones from the right."""
+def _induce(t: np.ndarray, s_type: np.ndarray, ends: np.ndarray, run: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """All suffixes, in order if ``lms`` is: larger ones from the left, smaller ones from the right.
+
+    ``run`` holds how many symbols directly before each place equal its own.
+    """
     n = len(t)
     sa = np.full(n, -1, dtype=np.int32)
     of = t[lms]
     rank = _rank_from_end(of)
     sa[ends[of] - 1 - rank] = lms
     heads = np.concatenate(([0], ends[:-1]))
-    _scan(sa, t, ~s_type, heads.copy(), +1)
+    _scan(sa, t, ~s_type, heads, run, +1)
     sa[ends[of] - 1 - rank] = -1  # the leftmost ones, but the end, are induced again from the right
     sa[0] = n - 1
-    _scan(sa, t, s_type, ends.copy(), -1)
+    _scan(sa, t, s_type, ends, run, -1)
     return sa
 
 
@@ -72,20 +81,33 @@ def _rank_from_end(of: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _scan(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, slots: np.ndarray, way: int) -> None:
-    """Places each wanted predecessor of an entry at the next slot of its symbol, scanning in one direction."""
+def _scan(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, edges: np.ndarray, run: np.ndarray, way: int) -> None:
+    """Places each wanted predecessor of an entry at the next slot of its symbol, scanning in one direction.
+
+    ``edges`` are the ends of the buckets that the scan comes to first.
+    """
     n, block = len(sa), 256
+    slots = edges.copy()
+    with_runs = np.unique(t[(run > 0) & wanted])
+    stops = (edges[with_runs] - (way < 0))[::way].tolist()
+    with_runs = with_runs[::way].tolist()
+    k = 0  # of the next bucket whose runs are to be placed
     p = 0 if way > 0 else n - 1
     while 0 <= p < n:
+        if k < len(stops) and p == stops[k]:
+            _place_runs(sa, run, edges, slots, with_runs[k], way)
+            k += 1
         q = min(n, p + block) if way > 0 else max(-1, p - block)
+        if k < len(stops):
+            q = min(q, stops[k]) if way > 0 else max(q, stops[k])
         entries = sa[p:q] if way > 0 else (sa[p:q:-1] if q >= 0 else sa[p::-1])
         at = np.flatnonzero(entries > 0)
         before = entries[at] - 1
-        use = wanted[before]
-        at, before = at[use], before[use]
+        symbol = t[before]
+        use = wanted[before] & (symbol != t[before + 1])
+        at, before, symbol = at[use], before[use], symbol[use]
         used = len(entries)
         if len(at):
-            symbol = t[before]
             order = np.argsort(symbol, kind="stable")
             sorted_ = symbol[order]
             first = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
@@ -103,6 +125,23 @@ def _scan(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, slots: np.ndarray,
         block = min(_BLOCK, max(64, 2 * used))
 
 
+def _place_runs(sa: np.ndarray, run: np.ndarray, edges: np.ndarray, slots: np.ndarray, symbol: int, way: int) -> None:
+    """Places what the entries of a bucket induce in it: the suffixes one symbol longer of all entries, then those two symbols longer, and so on."""
+    entries = sa[edges[symbol] : slots[symbol]] if way > 0 else sa[slots[symbol] : edges[symbol]][::-1]
+    entries = entries[run[entries] > 0]
+    longer = run[entries]
+    total = int(longer.sum())
+    if not total:
+        return
+    more = np.arange(total) - np.repeat(np.cumsum(longer) - longer, longer) + 1
+    found = (np.repeat(entries, longer) - more)[np.argsort(more, kind="stable")]
+    if way > 0:
+        sa[slots[symbol] : slots[symbol] + total] = found
+    else:
+        sa[slots[symbol] - total : slots[symbol]] = found[::-1]
+    slots[symbol] += way * total
+
+
 def _advance(slots: np.ndarray, sorted_: np.ndarray, way: int) -> None:
     start = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
     slots[sorted_[start]] += way * np.diff(np.append(start, len(sorted_)))
@@ -117,6 +156,10 @@ def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> tuple[np.ndarra
     left = np.flatnonzero(equal)
     d = 0
     while len(left):
+        if len(left) <= FEW:  # long ones are few
+            for k in left.tolist():
+                equal[k] = np.array_equal(t[a[k] + d : a[k] + length[a[k]]], t[b[k] + d : b[k] + length[a[k]]])
+            break
         left = left[length[a[left]] > d]
         differ = t[a[left] + d] != t[b[left] + d]
         equal[left[differ]] = False
