@@ -14,8 +14,8 @@ forest of the links goes on. The number of parts grows with the logarithm of the
 classes, so that a bucket of unrelated fingerprints stays small at any size.
 
 Null text and text without words have the fingerprint zero and link like any other.
-Rows with one doc_id are one document if their texts are; an empty table stays
-empty.
+Rows with one doc_id are one document if their texts are; rows without one link as
+well, but name no group unless it has no other rows. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.durable import durable
@@ -42,6 +42,8 @@ BUDGET = 4
 FRONTIER = 1 << 18
 #: Classes of unrelated texts that a bucket may hold on average.
 BUCKET = 64
+#: Rows of a partition of buckets.
+PART_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
@@ -194,7 +196,8 @@ def masks(parts: int, budget: int) -> list[int]:
 
 def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
     """``src, dst``: a spanning forest of the links between distinct fingerprints."""
-    choice = masks(parts_for(classes.count(), budget), budget)
+    n_classes = classes.count()
+    choice = masks(parts_for(n_classes, budget), budget)
 
     def signed(m: int) -> int:
         return m - (1 << 64) if m >> 63 else m
@@ -214,17 +217,31 @@ def links(classes: DataFrame, budget: int = BUDGET) -> DataFrame:
         found = value[trie_links(value, group, budget)].view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["src", "dst"])
 
-    return keyed.repartition("choice", "alike").mapInArrow(join, "src bigint, dst bigint").distinct()
+    # a task reads its partition whole; beyond the session's number there are as many as the classes ask for
+    parts = -(-n_classes * len(choice) // PART_ROWS)
+    dealt = keyed.repartition("choice", "alike") if parts <= int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")) else keyed.repartition(parts, "choice", "alike")
+    return dealt.mapInArrow(join, "src bigint, dst bigint").distinct()
+
+
+def node(least: str = "least", key: str = "fingerprint") -> Column:
+    """A class as a node of the graph: by its least doc_id, so that the least node of a component names it."""
+    return F.struct(F.col(least).isNull().alias("none"), F.col(least).alias("least"), F.col(key).alias("key"))
+
+
+def named_by_least(classes: DataFrame, linked: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """``classes`` (``key, least``) with ``component_id``: the least doc_id that links (``src, dst``, both of ``key``) lead to."""
+    nodes = classes.select(key, node("least", key).alias("node"))
+    ends = [nodes.withColumnsRenamed({key: end, "node": f"{end}_node"}) for end in ("src", "dst")]
+    edges = linked.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    found = components(durable(edges))
+    return nodes.join(found, "node", "left").select(key, F.coalesce("component", "node")["least"].alias("component_id"))
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, budget: int = BUDGET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` (the least doc_id of the group) for each row."""
     marked = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width).drop("text"))
     classes = durable(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    linked = components(durable(links(classes, budget)))
-    named = classes.join(linked.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = durable(named.join(least, "component").select("fingerprint", "component_id"))
+    names = durable(named_by_least(classes, links(classes, budget)))
     return marked.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
