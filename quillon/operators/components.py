@@ -39,8 +39,12 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Of ``u > v`` edges: each node's larger neighbours point to the least of its neighbourhood."""
-    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    """Of ``u > v`` edges: each node's larger neighbours point to the least of its neighbourhood.
+
+    All neighbours of a star's centre meet there in one key of the join. The minima are
+    written first, so that both sides come from a shuffle and a skewed key is split.
+    """
+    least = durable(edges.groupBy("u").agg(F.min("v").alias("least")))
     both = edges.join(least.withColumnsRenamed({"u": "v", "least": "least_of_v"}), "v", "left")
     # v has the larger neighbour u; v's least neighbour, or v itself where it has no smaller one
     return both.select("u", F.coalesce("least_of_v", "v").alias("v")).distinct()
