@@ -140,5 +140,60 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_OP9_SQL = """
+WITH given AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+), blocks AS (
+    SELECT doc_id, b, n, substring(x, 2 * b + 1, 2 * 1049) AS x FROM (SELECT *, unnest(range(0, greatest(n - 49, 0), 1000)) AS b FROM given)
+), windows AS (
+    SELECT doc_id, b + k AS i, substring(x, 2 * k + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(1000, n - 49 - b))) AS k FROM blocks)
+), firsts AS (
+    SELECT s, min(doc_id) AS first FROM windows GROUP BY s HAVING min(doc_id) < max(doc_id)
+), gone AS (
+    SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS new FROM windows JOIN firsts USING (s) WHERE doc_id > first
+), spans AS (
+    SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM gone) GROUP BY doc_id, run
+), parts AS (
+    SELECT doc_id, a, substring(x, 2 * before + 1, 2 * (a - before)) AS part
+    FROM (SELECT doc_id, a, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM (SELECT doc_id, a, e FROM spans UNION ALL SELECT doc_id, n, n FROM given)) JOIN given USING (doc_id)
+), kept AS (
+    SELECT doc_id, sha256(unhex(string_agg(part, '' ORDER BY a))) AS kept_sha256 FROM parts GROUP BY doc_id
+), counts AS (
+    SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM given JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+_OP10_SQL = """
+WITH split AS (
+    SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL
+), lines AS (
+    SELECT doc_id, no, line, list_sort(list_distinct(list_filter(string_split(lower(line), ' '), lambda w: w <> ''))) AS s
+    FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM split)
+), classes AS (
+    SELECT row_number() OVER () AS id, s, len(s) AS n, place FROM (SELECT s, min((doc_id, no)) AS place FROM lines WHERE len(s) > 0 GROUP BY s)
+), tokens AS (
+    SELECT id, n, place, unnest(s) AS w FROM classes
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY c, w) AS i FROM tokens JOIN (SELECT w, count(*) AS c FROM tokens GROUP BY w) USING (w)
+), prefixes AS (
+    SELECT * FROM ranked WHERE i <= n - (4 * n + 4) // 5 + 1
+), pairs AS (
+    SELECT DISTINCT x.id AS x, y.id AS y FROM prefixes x JOIN prefixes y ON x.w = y.w AND y.place < x.place AND 5 * y.n >= 4 * x.n AND 5 * x.n >= 4 * y.n
+), alike AS (
+    SELECT DISTINCT x FROM pairs JOIN classes a ON a.id = x JOIN classes b ON b.id = y WHERE 9 * len(list_intersect(a.s, b.s)) >= 4 * (a.n + b.n)
+), judged AS (
+    SELECT doc_id, no, line, id IS NOT NULL AND ((doc_id, no) <> place OR x IS NOT NULL) AS gone
+    FROM lines LEFT JOIN classes ON classes.s = lines.s LEFT JOIN alike ON alike.x = id
+), kept AS (
+    SELECT doc_id, count(*) FILTER (NOT gone) AS n_kept, count(*) FILTER (gone) AS n_removed,
+        coalesce(string_agg(no, ',' ORDER BY no) FILTER (gone), '') AS removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text
+    FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_kept, 0) AS n_kept, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES = {"op1_main_text": op1_main_text, "op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
-ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL}
+ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
