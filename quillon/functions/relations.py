@@ -12,43 +12,53 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import VARIABLE
 
-# The kinds, and the names that files and models give them.
+# The names that files and models give the kinds, and a line of a relation file, kind and body.
 KINDS = {
     "direct": "Direct",
     "transitive": "Transitive",
     "conditional": "Conditional",
-    "derived": "Derived",
-    "inheritance": "Derived",
     "parallel": "Parallel",
+    "inheritance": "Derived",
+    "derived": "Derived",
 }
-#: A line of a relation file: kind and body (a fixed value).
-LINE = r"^\s*\[([^\]]+)\]\s*(.*?)\s*$"
+LINE = r"^\s*\[([^]]+)]\s*(.*?)\s*$"
 MODEL_ITEM = "struct<type:string,variable:string,variables:array<string>,target:string,source:string,left:string,right:string>"
 RELATION = "struct<kind:string,variables:array<string>>"
 
 
 def canonical_kind(name: Column) -> Column:
     """The kind of any spelling, null if it is unknown."""
-    key = F.lower(F.trim(name))
-    return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in KINDS.items()))
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.lower(F.trim(name)))
 
 
 def relation(kind: Column, variables: Column) -> Column:
     """A canonical relation, or null if the kind is unknown, a name is none, or their number is wrong."""
     names = F.transform(variables, lambda v: F.trim(v))
     names = F.when(kind == "Parallel", F.array_sort(F.array_distinct(names))).otherwise(names)
-    valid = F.forall(names, lambda v: v.isNotNull() & v.rlike(VARIABLE))
+    valid = F.forall(names, lambda v: v.isNotNull() & v.rlike(f"^(?:{VARIABLE})$"))
     size = F.size(names)
     fits = F.when(kind == "Parallel", size >= 2).when(kind == "Derived", size == 2).otherwise(size == 1)
     return F.when(kind.isNotNull() & valid & fits, F.struct(kind.alias("kind"), names.alias("variables")))
 
 
-def parsed_line(line: Column) -> Column:
-    """A relation from a line such as ``[Derived] a <- b``; null if the line is malformed."""
-    kind, body = canonical_kind(F.regexp_extract(line, LINE, 1)), F.regexp_extract(line, LINE, 2)
+def parsed_lines(lines: Column) -> Column:
+    """A relation from each line such as ``[Derived] a <- b``; null for a malformed line.
+
+    Kind and body are looked up once a line and then only referred to.
+    """
+    parts = F.transform(lines, lambda t: F.struct(canonical_kind(F.regexp_extract(t, LINE, 1)).alias("kind"), F.regexp_extract(t, LINE, 2).alias("body")))
+    named = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), _names(p["kind"], p["body"]).alias("names")))
+    return F.transform(named, lambda x: relation(x["kind"], x["names"]))
+
+
+def _names(kind: Column, body: Column) -> Column:
     together = F.regexp_replace(body, r"(?i)\s+work\s+together\s*$", "")
-    names = F.when(kind == "Derived", F.split(body, "<-", 2)).when(kind == "Parallel", F.split(together, r"\s+and\s+")).otherwise(F.array(body))
-    return relation(kind, names)
+    return F.when(kind == "Derived", F.split(body, "<-", 2)).when(kind == "Parallel", F.split(together, r"\s+and\s+")).otherwise(F.array(body))
+
+
+def parsed_line(line: Column) -> Column:
+    """A relation from one line; null if the line is malformed."""
+    return F.get(parsed_lines(F.array(line)), F.lit(0))
 
 
 def parsed_text(text: Column) -> Column:
@@ -56,8 +66,10 @@ def parsed_text(text: Column) -> Column:
 
     A null relation marks a malformed line; strict readers refuse a file with one.
     """
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), parsed_line(t).alias("relation")))
-    return F.filter(lines, lambda x: F.trim(x["text"]) != "")
+    lines = F.split(text, r"\r\n|\n|\r")
+    both = F.zip_with(lines, parsed_lines(lines), lambda t, r: F.struct(t.alias("text"), r.alias("relation")))
+    numbered = F.transform(both, lambda x, i: F.struct((i + 1).alias("line"), x["text"].alias("text"), x["relation"].alias("relation")))
+    return F.filter(numbered, lambda x: F.trim(x["text"]) != "")
 
 
 def static_set(text: Column) -> Column:
@@ -81,10 +93,25 @@ def model_set(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(items, model_item), lambda r: r.isNotNull())))
 
 
+def model_set_strict(items: Column) -> Column:
+    """The relations of a model's answer as a sorted set; raises on the first malformed object."""
+    bad = model_invalid(items)
+    said = F.concat(F.lit("malformed relationship "), F.get(bad, F.lit(0))["index"].cast("string"), F.lit(": "), F.get(bad, F.lit(0))["error"])
+    return F.when(F.when(F.size(bad) > 0, F.raise_error(said)).otherwise(F.lit(True)).cast("boolean"), model_set(items))
+
+
 def model_invalid(items: Column) -> Column:
-    """Its malformed objects with their index from 0."""
-    marked = F.transform(items, lambda x, i: F.struct(i.alias("index"), F.to_json(x).alias("value"), model_item(x).isNull().alias("bad")))
-    return F.transform(F.filter(marked, lambda x: x["bad"]), lambda x: F.struct(x["index"], x["value"]))
+    """Its malformed objects with their index from 0, their JSON, and what is wrong with them."""
+    marked = F.transform(items, lambda x, i: F.struct(i.alias("index"), F.to_json(x).alias("value"), _problem(x).alias("error"), model_item(x).isNull().alias("bad")))
+    return F.transform(F.filter(marked, lambda x: x["bad"]), lambda x: F.struct(x["index"], x["value"], x["error"]))
+
+
+def _problem(item: Column) -> Column:
+    """Why an object that is no relation is none."""
+    kind = canonical_kind(item["type"])
+    unknown = F.concat(F.lit("unknown kind "), F.coalesce(item["type"], F.lit("null")))
+    number = F.when(kind == "Parallel", "two or more different variables are needed").when(kind == "Derived", "a target and a source are needed").otherwise("one variable is needed")
+    return F.when(item.isNull(), "no object").when(kind.isNull(), unknown).otherwise(number)
 
 
 def formatted(relation_: Column) -> Column:

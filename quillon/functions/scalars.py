@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a hash and as a variable.
-HASH = "^[0-9A-Fa-f]{64}$"
-VARIABLE = r"^\$?[A-Za-z_][A-Za-z0-9_]*(\[([0-9]+|\$?[A-Za-z_][A-Za-z0-9_]*)\])*$"
+# What counts as a hash, and as a variable (as a whole).
+HASH = r"^[0-9a-fA-F]{64}$"
+VARIABLE = r"\$?[A-Za-z_][A-Za-z0-9_]*(?:\[(?:\d+|\$?[A-Za-z_][A-Za-z0-9_]*)\])*"
 
 
 def cleaned(value: Column) -> Column:
@@ -34,7 +34,7 @@ def token_estimate(text: Column) -> Column:
 
 def without_node_suffix(text: Column) -> Column:
     """Graph text without the numbers that keep equal node names apart."""
-    return F.trim(F.regexp_replace(text, r"---\d+", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"---\d+", ""), r"^\s+|\s+$", "")
 
 
 def signature_key(signature: Column) -> Column:

@@ -22,7 +22,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 def reached(edges: DataFrame, start: DataFrame, hops: int | None = None, both_ways: bool = False, backward: bool = False, rounds: int = 10_000) -> DataFrame:
     """``node, depth``: the nodes within ``hops`` of ``start`` (any number if None), with the least depth.
 
-    ``start`` has a column ``node``. A node enters the frontier once.
+    ``start`` has a column ``node``. A node enters the frontier once. A walk without
+    ``hops`` that does not end within the rounds is an error.
     """
     step = edges.select(F.col("dst" if backward else "src").alias("node"), F.col("src" if backward else "dst").alias("to"))
     if both_ways:
@@ -34,6 +35,9 @@ def reached(edges: DataFrame, start: DataFrame, hops: int | None = None, both_wa
         if frontier.isEmpty():
             break
         seen = durable(seen.unionByName(frontier)) if depth % 8 == 0 else seen.unionByName(frontier)
+    else:
+        if hops is None:
+            raise RuntimeError(f"the walk does not end within {rounds} rounds")
     return seen
 
 
@@ -90,9 +94,12 @@ def bridged(edges: DataFrame, kept: DataFrame, rounds: int = 10_000) -> DataFram
         if walk.isEmpty():
             break
         seen = durable(walk if seen is None else seen.unionByName(walk))
+    else:
+        raise RuntimeError(f"the paths do not end within {rounds} rounds")
     return found.distinct()
 
 
+# How lines of control-flow statements begin.
 CONTROL = "^(if|goto|return|switch|tableswitch|lookupswitch)"
 
 

@@ -102,3 +102,18 @@ def test_scalars(spark):
     assert one(spark, "ab", S.sha_key) is None
     assert [one(spark, v, S.binary_label) for v in ("1.0", "0", "0.5", "", "nan", None)] == [1, 0, None, None, None, None]
     assert one(spark, "/a/b.c/d.e.dot", S.stem) == "d.e"
+
+
+def test_strict_model_set_and_what_is_wrong(spark):
+    items = '[{"type":"direct","variable":"r1"},{"type":"odd","variable":"r1"},{"type":"Parallel","left":"a","right":"a"},{"type":"Derived","target":"a"}]'
+    df = spark.createDataFrame([(items,)], "v string").select(F.from_json("v", f"array<{R.MODEL_ITEM}>").alias("i"))
+    bad = df.select(R.model_invalid(F.col("i")).alias("b")).first().b
+    assert [(x["index"], x.error) for x in bad] == [(1, "unknown kind odd"), (2, "two or more different variables are needed"), (3, "a target and a source are needed")]
+    with pytest.raises(Exception, match="malformed relationship 1: unknown kind odd"):
+        df.select(R.model_set_strict(F.col("i"))).collect()
+    good = df.select(R.model_set_strict(F.slice("i", 1, 1)).alias("g")).first().g
+    assert [(x.kind, x.variables) for x in good] == [("Direct", ["r1"])]
+
+
+def test_outer_white_space_of_graph_text_goes(spark):
+    assert one(spark, "\n\t a---1\n -> b---2 \n\t", S.without_node_suffix) == "a\n -> b"

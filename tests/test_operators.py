@@ -152,3 +152,13 @@ def test_backward_walk_through_callers(spark):
         slices, edges = slicing.backward(packed, unit, method, calls, roots, hops)
         assert {r.method_id for r in slices.collect()} == reached
     assert pairs(edges.select("src", "dst")) == {("A: g", "A: f"), ("A: h", "A: g")}
+
+
+def test_rounds_that_run_out_are_an_error(spark):
+    chain = edges_of(spark, *[(k, k + 1) for k in range(9)])
+    start = spark.createDataFrame([(0,)], "node long")
+    with pytest.raises(RuntimeError, match="within 3 rounds"):
+        G.reached(chain, start, rounds=3)
+    with pytest.raises(RuntimeError, match="within 3 rounds"):
+        G.bridged(chain, spark.createDataFrame([(0,), (9,)], "node long"), rounds=3)
+    assert pairs(G.reached(chain, start, hops=3)) == {(k, k) for k in range(4)}
