@@ -44,3 +44,15 @@ def durable(df: DataFrame) -> DataFrame:
                 spark.conf.unset(key)
             else:
                 spark.conf.set(key, value)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system that Spark writes to; one that is not there is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path or a pattern of paths has a file or folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))

@@ -51,18 +51,24 @@ def halved(items: DataFrame, group: list[str], order: list[str], name: str = "ha
     return items.withColumn(name, F.when(at <= F.ceil(n / 2), "L").otherwise("R"))
 
 
-def batched_by_budget(items: DataFrame, group: list[str], order: list[str], size: str, budget: int, overhead: int = 0, rounds: int = 40) -> DataFrame:
+def batched_by_budget(items: DataFrame, group: list[str], order: list[str], size: str, budget: int, overhead: int = 0, rounds: int = 40, shared: tuple[str, str] | None = None) -> DataFrame:
     """Halves groups until each batch's sizes, with an overhead, fit the budget; adds ``batch``, a path of L and R.
 
-    Batches in the order of their paths keep the items' order. A batch of one item
-    that does not fit is an error. Each round works on the batches that are still too
+    ``shared`` names a column and another with the size of what each of its values adds
+    once to every batch that has items of it. Batches in the order of their paths keep
+    the items' order. A batch of one item that does not fit is an error. Each round works on the batches that are still too
     large, all others are done.
     """
     done = None
     todo = items.withColumn("batch", F.lit(""))
     for _ in range(rounds):
         w = Window.partitionBy(*group, "batch")
-        marked = durable(todo.withColumns({"__sum": F.sum(size).over(w) + overhead, "__n": F.count("*").over(w)}))
+        whole = F.col(size)
+        if shared is not None:
+            first = F.row_number().over(Window.partitionBy(*group, "batch", shared[0]).orderBy(*order)) == 1
+            todo = todo.withColumn("__more", F.when(first, F.col(shared[1])).otherwise(0))
+            whole = whole + F.col("__more")
+        marked = durable(todo.withColumns({"__sum": F.sum(whole).over(w) + overhead, "__n": F.count("*").over(w)}).drop("__more"))
         fits = marked.where(F.col("__sum") <= budget).drop("__sum", "__n")
         done = fits if done is None else done.unionByName(fits)
         over = marked.where(F.col("__sum") > budget)

@@ -1,8 +1,9 @@
 """Backward slices of methods, and their walk through callers.
 
-A program is given as tables: ``unit`` (method_id, unit_id, ordinal, kind, invoked),
+A program is given as tables: ``unit`` (method_id, unit_id, ordinal, kind, invoked, text),
 ``ref`` (unit_id, role def, use or arg, ordinal, value, is_local, base) and
-``cfg`` (method_id, src, dst, ordinal). Kinds are assign, identity, invoke, if,
+``cfg`` (method_id, src, dst, ordinal), ``method`` (method_id, class, name, signature,
+n_params, has_body) and ``calls`` (src, dst, ordinal). Kinds are assign, identity, invoke, if,
 goto, switch and return. The walk within a method depends on the order of its
 control-flow edges and visits each unit once, so it is done on whole methods, each
 packed into one row; a method has a bounded size.
@@ -11,6 +12,7 @@ packed into one row; a method has a bounded size.
 from __future__ import annotations
 
 import re
+import time
 from collections import deque
 from collections.abc import Iterator
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quillon.durable import durable
 from quillon.functions.scalars import signature_key
+from quillon.operators.ordering import callsite_names, numbered
 
 ELIGIBLE = re.compile(r"\$?[a-z]\d+|parameter\d+")
 BRANCHES = frozenset({"if", "goto", "switch"})
@@ -32,9 +35,10 @@ def is_eligible(name: str) -> bool:
 
 
 class Method:
-    """One method's units, references and control flow."""
+    """One method's units, references and control flow; walks that pass ``deadline`` (of a monotonic clock) are given up."""
 
-    def __init__(self, units, refs, cfg) -> None:
+    def __init__(self, units, refs, cfg, deadline: float = float("inf")) -> None:
+        self.deadline = deadline
         self.kind = {u["unit_id"]: u["kind"] for u in sorted(units, key=lambda u: u["ordinal"])}
         self.refs: dict[str, dict[int, list]] = {"def": {}, "use": {}, "arg": {}}
         for r in sorted(refs, key=lambda r: r["ordinal"]):
@@ -66,6 +70,7 @@ class Method:
         direct: set[str] = set()
         queue, seen = deque([target]), {target}
         while queue:
+            self._in_time()
             unit = queue.popleft()
             if unit == target:
                 names = direct = {n for n in self.named("use", unit) if is_eligible(n)}
@@ -101,11 +106,16 @@ class Method:
                 owners = {d["base"] or d["value"] for d in defined}
                 relations.update(("Derived", (o, used)) for o in owners if o != used)
 
+    def _in_time(self) -> None:
+        if time.monotonic() > self.deadline:
+            raise TimeoutError("the time for a method is over")
+
     def slice_of(self, target: int, live: dict[int, set[str]]) -> list[int]:
-        """The target and the units before it that define or use a live name, or branch; exact names here."""
+        """The units before the target that define or use a live name, or branch, last visited first, and the target; exact names here."""
         kept = [target]
         queue, seen = deque(self.before.get(target, ())), {target}
         while queue:
+            self._in_time()
             unit = queue.popleft()
             seen.add(unit)
             names = set().union(*(live.get(s, ()) for s in self.after.get(unit, ())))
@@ -122,7 +132,37 @@ class Method:
                 if p not in seen:
                     seen.add(p)
                     queue.append(p)
-        return kept
+        return kept[::-1]
+
+    def slice_graph(self, kept: list[int]) -> list[tuple[int, int]]:
+        """Pairs of kept units that a path through units that are not kept joins."""
+        within, edges = set(kept), []
+        for unit in kept:
+            queue, seen = deque(self.after.get(unit, ())), set()
+            while queue:
+                self._in_time()
+                at = queue.popleft()
+                if at in seen:
+                    continue
+                seen.add(at)
+                if at in within:
+                    edges.append((unit, at))
+                else:
+                    queue.extend(self.after.get(at, ()))
+        return edges
+
+    def blocks(self) -> tuple[list[list[int]], list[tuple[int, int]]]:
+        """Runs of units that control enters at the first and leaves at the last, and the edges between their numbers."""
+        out: list[list[int]] = []
+        of: dict[int, int] = {}
+        for unit in self.kind:
+            before = self.before.get(unit, ())
+            if out and list(before) == [out[-1][-1]] and len(self.after[out[-1][-1]]) == 1:
+                out[-1].append(unit)
+            else:
+                out.append([unit])
+            of[unit] = len(out) - 1
+        return out, [(k, of[u]) for k, block in enumerate(out) for u in self.after.get(block[-1], ()) if u in of]
 
     @property
     def head(self) -> int | None:
@@ -138,60 +178,117 @@ def packed_methods(unit: DataFrame, ref: DataFrame, cfg: DataFrame) -> DataFrame
     return units.join(refs, "method_id", "left").join(flow, "method_id", "left")
 
 
-_SLICED = "method_id long, target long, relations array<struct<kind:string,variables:array<string>>>, slice array<long>, open boolean"
+_SLICED = "method_id long, target long, relations array<struct<kind:string,variables:array<string>>>, slice array<long>, graph array<struct<src:long,dst:long>>, open boolean, seconds double, error string"
 
 
-def sliced(methods: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (method_id, target): its relations, its slice, and whether the method's head has live names."""
+def sliced(methods: DataFrame, targets: DataFrame, timeout: float | None = None) -> DataFrame:
+    """For each target (method_id, target): its relations, slice and slice graph, and whether the method's head has live names.
+
+    A method that is malformed, or takes more than ``timeout`` seconds, has an
+    ``error`` in place of a slice. ``seconds`` is the time that it took.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                m = Method(r.units, r.refs if r.refs is not None else (), r.cfg if r.cfg is not None else ())
-                live, relations = m.flowing(r.target)
-                found = [{"kind": k, "variables": list(v)} for k, v in sorted(relations)]
-                is_open = m.kind.get(m.head) == "identity" and bool(live.get(m.head))
-                rows.append((r.method_id, r.target, found, m.slice_of(r.target, live), is_open))
-            yield pd.DataFrame(rows, columns=["method_id", "target", "relations", "slice", "open"])
+                began = time.monotonic()
+                try:
+                    m = Method(r.units, r.refs if r.refs is not None else (), r.cfg if r.cfg is not None else (), began + timeout if timeout else float("inf"))
+                    live, relations = m.flowing(r.target)
+                    found = [{"kind": k, "variables": list(v)} for k, v in sorted(relations)]
+                    kept = m.slice_of(r.target, live)
+                    edges = [{"src": a, "dst": b} for a, b in m.slice_graph(kept)]
+                    is_open = m.kind.get(m.head) == "identity" and bool(live.get(m.head))
+                    rows.append((r.method_id, r.target, found, kept, edges, is_open, time.monotonic() - began, None))
+                except Exception as e:
+                    rows.append((r.method_id, r.target, [], [], [], False, time.monotonic() - began, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["method_id", "target", "relations", "slice", "graph", "open", "seconds", "error"])
 
     return targets.select("method_id", "target").join(methods, "method_id").mapInPandas(run, _SLICED)
 
 
+def block_graphs(methods: DataFrame) -> DataFrame:
+    """``method_id, blocks, edges``: the basic blocks of each method, as arrays of units, and the edges between their numbers."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                blocks, edges = Method(r.units, (), r.cfg if r.cfg is not None else ()).blocks()
+                rows.append((r.method_id, blocks, [{"src": a, "dst": b} for a, b in edges]))
+            yield pd.DataFrame(rows, columns=["method_id", "blocks", "edges"])
+
+    return methods.select("method_id", "units", "cfg").mapInPandas(run, "method_id long, blocks array<array<long>>, edges array<struct<src:int,dst:int>>")
+
+
 def callsites(unit: DataFrame, searched: DataFrame) -> DataFrame:
     """``method_id, target, signature``: units that invoke a searched signature, overloads apart."""
     return unit.select("method_id", F.col("unit_id").alias("target"), F.col("invoked").alias("signature")).join(searched.select("signature"), "signature", "left_semi")
 
 
-def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame, roots: DataFrame, hops: int = 1, rounds: int = 1000) -> tuple[DataFrame, DataFrame]:
+def interface_roots(features: DataFrame, method: DataFrame, unit: DataFrame, calls: DataFrame, by: tuple[str, ...] = ("sha256",)) -> DataFrame:
+    """Where slices of listed interfaces begin: ``*by, api_index, instance, method_id, signature``.
+
+    ``features``: api_index, class, name. Of the methods of that class and name, the
+    target of the first call (by ``ordinal``) is searched; callers of any overload
+    are looked at if they have a body whose text holds the name. Those that call the
+    searched one are instances, numbered from 0 without gaps within an application
+    (``by``, columns of ``method``) and interface.
+    """
+    key = [*by, "api_index"]
+    target = method.select(*by, F.col("method_id").alias("dst"), "class", "name", "signature").join(features.select("api_index", "class", "name"), ["class", "name"])
+    found = calls.select("src", "dst", "ordinal").join(target, "dst")
+    first = found.groupBy(*key).agg(F.min(F.struct("ordinal", "dst", "src", "signature")).alias("f")).select(*key, F.col("f.signature").alias("signature"))
+    bodies = method.where("has_body").select(F.col("method_id").alias("src"))
+    callers = found.select(*key, "name", "src").distinct().join(bodies, "src", "left_semi")
+    called = unit.select(F.col("method_id").alias("src"), "text", F.col("invoked").alias("signature"))
+    named = callers.join(called.select("src", "text"), "src").where(F.contains("text", "name")).select(*key, "src").distinct()
+    successful = named.join(first, key).join(called.where("signature IS NOT NULL").select("src", "signature").distinct(), ["src", "signature"], "left_semi")
+    return numbered(successful, key, ["src"], "instance", first=0).select(*key, "instance", F.col("src").alias("method_id"), "signature")
+
+
+def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame, roots: DataFrame, hops: int = 1, rounds: int = 1000, timeout: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Slices of the roots' call sites and of their callers' ones.
 
     ``roots``: instance, method_id, signature (searched). While a method has
     parameters and its head has live names, its callers are resolved at no cost;
     otherwise a hop is spent, and resolving ends. A method enters an instance's call
-    graph once. Gives slices (instance, method_id, target, relations, slice) and
-    call-graph edges (instance, src, dst) by signature without parameters. The walk is
-    by rounds over sets, so where several paths lead to a method the shortest counts.
+    graph, under its signature without parameters, if it has a call site of the
+    searched method, and does so once; the edge to the method that it calls is drawn
+    then, and also if it is in the graph already. Gives slices (instance, method_id,
+    key, target, name, relations, slice, graph, seconds, error), named by their method
+    and, if it has several, the number of the call site; and call-graph edges
+    (instance, src, dst). The walk is by rounds over sets, so where several paths lead
+    to a method the one with the most hops left counts.
     """
-    info = method.select("method_id", "signature", F.col("n_params").alias("n_params"), "has_body")
-    frontier = durable(roots.select("instance", "method_id", F.col("signature").alias("searched"), F.lit(hops).alias("hops"), F.lit(True).alias("resolving")))
-    entered = frontier.select("instance", "method_id").distinct()
-    slices, edges = None, None
-    for _ in range(rounds):
-        at = frontier.join(unit.select("method_id", F.col("unit_id").alias("target"), F.col("invoked").alias("searched")), ["method_id", "searched"])
-        done = durable(at.join(sliced(methods, at.select("method_id", "target").distinct()), ["method_id", "target"]))
-        found = done.select("instance", "method_id", "target", "relations", "slice")
+    info = method.select("method_id", "signature", signature_key(F.col("signature")).alias("key"), "n_params", "has_body")
+    called = unit.where("invoked IS NOT NULL").select("method_id", F.col("unit_id").alias("target"), F.col("ordinal").alias("at"), F.col("invoked").alias("searched"))
+    callers = calls.select(F.col("src").alias("caller"), F.col("dst").alias("method_id")).distinct()
+    caller = info.where("has_body").select(F.col("method_id").alias("caller"), F.col("key").alias("caller_key"))
+    frontier = durable(roots.select("instance", "method_id", F.col("signature").alias("searched"), F.lit(hops).alias("hops"), F.lit(True).alias("resolving")).distinct().join(info.select("method_id", "key"), "method_id"))
+    slices = edges = nodes = None
+    for step in range(rounds):
+        sites = frontier.join(called, ["method_id", "searched"])
+        best = F.max(F.struct("resolving", "hops", "searched", "method_id"))
+        taken = durable(sites.groupBy("instance", "key").agg(best.alias("t")).select("instance", "key", "t.method_id", "t.searched"))
+        named = callsite_names(sites.join(taken, ["instance", "key", "method_id", "searched"], "left_semi"), ["instance", "method_id"], ["at", "target"], "key", "name")
+        done = durable(named.join(sliced(methods, named.select("method_id", "target").distinct(), timeout), ["method_id", "target"]))
+        found = done.select("instance", "method_id", "key", "target", "name", "relations", "slice", "graph", "seconds", "error")
         slices = found if slices is None else slices.unionByName(found)
+        entered = taken.select("instance", "key")
+        if step:  # the roots call what is searched, which is no node
+            drawn = frontier.join(entered, ["instance", "key"], "left_semi").select("instance", F.col("key").alias("src"), signature_key(F.col("searched")).alias("dst"))
+            edges = edges.unionByName(drawn)
+        nodes = durable(entered if nodes is None else nodes.unionByName(entered))
         state = done.groupBy("instance", "method_id", "hops", "resolving").agg(F.max("open").alias("open")).join(info, "method_id")
         free = F.col("resolving") & F.col("open") & (F.col("n_params") > 0)
         onward = state.withColumn("resolving", free).withColumn("hops", F.when(free, F.col("hops")).otherwise(F.col("hops") - 1)).where("hops >= 0")
-        callers = calls.select(F.col("src").alias("caller"), F.col("dst").alias("method_id")).distinct()
-        up = onward.join(callers, "method_id").join(info.select(F.col("method_id").alias("caller"), F.col("signature").alias("caller_signature"), F.col("has_body").alias("caller_body")), "caller").where("caller_body")
-        drawn = up.select("instance", signature_key(F.col("caller_signature")).alias("src"), signature_key(F.col("signature")).alias("dst"))
-        edges = drawn if edges is None else edges.unionByName(drawn)
-        new = up.select("instance", F.col("caller").alias("method_id"), F.col("signature").alias("searched"), "hops", "resolving").join(entered, ["instance", "method_id"], "left_anti")
-        frontier = durable(new.groupBy("instance", "method_id", "searched").agg(F.max(F.struct("resolving", "hops")).alias("s")).select("instance", "method_id", "searched", "s.hops", "s.resolving"))
+        up = durable(onward.join(callers, "method_id").join(caller, "caller").select("instance", F.col("caller").alias("method_id"), F.col("caller_key").alias("key"), F.col("signature").alias("searched"), "hops", "resolving"))
+        known = up.join(nodes, ["instance", "key"], "left_semi").select("instance", F.col("key").alias("src"), signature_key(F.col("searched")).alias("dst"))
+        edges = known if edges is None else edges.unionByName(known)
+        new = up.join(nodes, ["instance", "key"], "left_anti")
+        frontier = durable(new.groupBy("instance", "method_id", "key", "searched").agg(F.max(F.struct("resolving", "hops")).alias("s")).select("instance", "method_id", "key", "searched", "s.hops", "s.resolving"))
         if frontier.isEmpty():
             return slices, edges.distinct()
-        entered = durable(entered.unionByName(frontier.select("instance", "method_id")).distinct())
     raise RuntimeError("the callers do not end within the rounds")

@@ -8,6 +8,7 @@ asked once. Rows that fail keep the error instead of ending the job.
 
 from __future__ import annotations
 
+import concurrent.futures
 import json
 import random
 import time
@@ -44,6 +45,8 @@ class Settings:
     least_wait: float = 1.0
     most_wait: float = 60.0
     interval: float = 0.0
+    timeout: float | None = 120.0  # seconds of one request
+    concurrency: int | None = 5  # tasks that ask at a time, one request each
 
     def __post_init__(self) -> None:
         if not 0 <= self.threshold <= 1:
@@ -52,6 +55,8 @@ class Settings:
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.budget < 1 or self.attempts < 1 or self.interval < 0 or not 0 <= self.least_wait <= self.most_wait:
             raise ValueError("budget and attempts are positive, waits are in order")
+        if (self.timeout is not None and self.timeout <= 0) or (self.concurrency is not None and self.concurrency < 1):
+            raise ValueError("timeout and concurrency are positive")
 
 
 class RuleModel:
@@ -70,42 +75,78 @@ class RuleModel:
         return json.dumps({"prediction": label, "malware_type": "listed calls" if hits else None, "application_purpose": "unknown", "key_findings": [f"{len(hits)} listed calls", f"{len(prompt)} characters seen"], "conclusion": label.lower()})
 
 
+#: Changes with the wording of the prompts, so that results of another wording are not taken for these.
+PROMPT_VERSION = "relations-2"
+USAGE = "struct<input:bigint,output:bigint>"
+
+
 def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Model], settings: Settings = Settings(), json_mode: bool = False) -> DataFrame:
-    """``df`` with the model's answer to each prompt, and ``<answer>_error`` where there is none.
+    """``df`` with the model's answer to each prompt, ``<answer>_error`` where there is none, and ``<answer>_usage``.
 
     Null prompts are not asked. A prompt over the budget is not sent. Transient errors
-    are tried again after a random, growing wait; an empty answer is an error. The
-    calls of one task are one after another, so the number of tasks bounds how many
-    run at a time.
+    and requests that take too long are tried again after a random, growing wait; an
+    empty answer is an error. The calls of one task are one after another, so the
+    number of tasks bounds how many run at a time. The usage is what the model says of
+    its last call (``usage``: tokens in and out), else an estimate.
     """
-    error = f"{answer}_error"
+    error, usage = f"{answer}_error", f"{answer}_usage"
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
         for frame in frames:
             said = [_ask(model, p, json_mode, settings) for p in frame["prompt"]]
-            yield pd.DataFrame({"prompt": frame["prompt"], answer: [s[0] for s in said], error: [s[1] for s in said]})
+            yield pd.DataFrame({"prompt": frame["prompt"], answer: [s[0] for s in said], error: [s[1] for s in said], "input": [s[2] for s in said], "output": [s[3] for s in said]})
 
     asked = df.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct()
-    within = asked.where(token_estimate(F.col("prompt")) <= settings.budget).mapInPandas(ask, f"prompt string, `{answer}` string, `{error}` string")
-    over = asked.where(token_estimate(F.col("prompt")) > settings.budget).select("prompt", F.lit(None).cast("string").alias(answer), F.lit("prompt exceeds the budget").alias(error))
+    sent = asked.where(token_estimate(F.col("prompt")) <= settings.budget)
+    if settings.concurrency:
+        sent = sent.repartition(settings.concurrency)
+    within = sent.mapInPandas(ask, f"prompt string, `{answer}` string, `{error}` string, input long, output long")
+    used = F.struct(F.coalesce("input", token_estimate(F.col("prompt"))).alias("input"), F.coalesce("output", token_estimate(F.col(answer)), F.lit(0)).cast("bigint").alias("output"))
+    within = within.select("prompt", answer, error, F.when(F.col(answer).isNotNull(), used).cast(USAGE).alias(usage))
+    over = asked.where(token_estimate(F.col("prompt")) > settings.budget).select("prompt", F.lit(None).cast("string").alias(answer), F.lit("prompt exceeds the budget").alias(error), F.lit(None).cast(USAGE).alias(usage))
     return df.join(within.unionByName(over).withColumnRenamed("prompt", "__asked"), F.col(prompt) == F.col("__asked"), "left").drop("__asked")
 
 
-def _ask(model: Model, prompt: str, json_mode: bool, settings: Settings) -> tuple[str | None, str | None]:
+def _ask(model: Model, prompt: str, json_mode: bool, settings: Settings) -> tuple[str | None, str | None, int | None, int | None]:
     for attempt in range(settings.attempts):
         try:
             time.sleep(settings.interval)
-            if text := model.complete(prompt, json_mode):
-                return text, None
-            return None, "empty answer"
-        except TransientError as e:
+            if text := _timely(lambda: model.complete(prompt, json_mode), settings.timeout):
+                tokens = getattr(model, "usage", None) or (None, None)
+                return text, None, *tokens
+            return None, "empty answer", None, None
+        except (TransientError, TimeoutError) as e:
             if attempt + 1 == settings.attempts:
-                return None, str(e)
+                return None, str(e) or type(e).__name__, None, None
             time.sleep(random.uniform(0, min(settings.most_wait, settings.least_wait * 2**attempt)))
         except Exception as e:
-            return None, f"{type(e).__name__}: {e}"
-    return None, "no attempt"
+            return None, f"{type(e).__name__}: {e}", None, None
+    return None, "no attempt", None, None
+
+
+def _timely(call: Callable[[], str], seconds: float | None) -> str:
+    """What ``call`` gives, or TimeoutError; a call that is given up ends by itself."""
+    if seconds is None:
+        return call()
+    pool = concurrent.futures.ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(seconds)
+    except concurrent.futures.TimeoutError as e:
+        raise TimeoutError(f"no answer in {seconds} seconds") from e
+    finally:
+        pool.shutdown(wait=False)
+
+
+def summed_usage(*parts: Column) -> Column:
+    """The sum of usages, of which some may be null."""
+    none = F.lit(0).cast("bigint")
+    return F.struct(*(sum((F.coalesce(u[f], none) for u in parts), none).alias(f) for f in ("input", "output"))).cast(USAGE)
+
+
+def _total_usage(usage: str) -> Column:
+    """The same as an aggregate."""
+    return F.struct(*(F.coalesce(F.sum(F.col(usage)[f]), F.lit(0).cast("bigint")).alias(f) for f in ("input", "output"))).cast(USAGE)
 
 
 def function_prompt(graph: Column, signature: Column) -> Column:
@@ -134,7 +175,7 @@ def functions_tier(slices: DataFrame, factory: Callable[[], Model], settings: Se
     graph, signature = F.col("graph"), F.col("signature")
     if settings.mode == "no-verification":
         out = answered(slices.withColumn("__p", summary_prompt(graph, signature)), "__p", "summary", factory, settings)
-        return out.withColumn("status", F.lit("disabled")).withColumn("error", F.col("summary_error")).drop("__p", "summary_error")
+        return out.withColumn("status", F.lit("disabled")).withColumn("error", F.col("summary_error")).withColumn("usage", summed_usage(F.col("summary_usage"))).drop("__p", "summary_error", "summary_usage")
     first = answered(slices.withColumn("__p", function_prompt(graph, signature)), "__p", "__a", factory, settings, json_mode=True)
     text = unfenced(F.col("__a"))
     parsed = first.withColumn("__json", F.try_parse_json(text)).withColumn("__j", F.from_json(text, _ANSWER)).withColumn("__one", F.from_json(text, _SINGLE))
@@ -164,13 +205,21 @@ def functions_tier(slices: DataFrame, factory: Callable[[], Model], settings: Se
     asked = checked.withColumn("__r", F.when(F.col("status") == "revised", revision_prompt(graph, signature, F.coalesce("__summary", F.lit("")), F.col("expected"))))
     revised = answered(asked, "__r", "__v", factory, settings)
     error = F.coalesce("__a_error", "__f_error", "__v_error", F.when(F.col("__summary").isNull(), F.lit("the answer lacks its purpose or its control flow")))
-    return revised.select(*slices.columns, F.trim(F.coalesce("__v", "__summary")).alias("summary"), "selected", "invalid", "metrics", "status", error.alias("error"))
+    return revised.select(*slices.columns, F.trim(F.coalesce("__v", "__summary")).alias("summary"), "selected", "invalid", "metrics", "status", summed_usage(*(F.col(f"__{k}_usage") for k in "afv")).alias("usage"), error.alias("error"))
 
 
 def with_cache(slices: DataFrame, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame], settings: Settings = Settings(), model_name: str = "rule") -> DataFrame:
-    """Results from the cache by a fingerprint of all that decides them; the rest is computed. Append what is new to keep it."""
+    """Results from the cache by a fingerprint of all that decides them; the rest is computed. Append what is new to keep it.
+
+    That is the slice's name and interface, its first prompt and the version of all of
+    them, its relations, the model, the mode and the threshold. An entry without a
+    summary is none.
+    """
     expected = F.coalesce(R.file_text(F.col("expected")), F.lit("none"))
-    keyed = slices.withColumn("fingerprint", fingerprint(F.col("graph"), F.col("signature"), expected, F.lit(model_name), F.lit(settings.mode), F.lit(settings.threshold)))
+    graph, signature = F.col("graph"), F.col("signature")
+    prompt = summary_prompt(graph, signature) if settings.mode == "no-verification" else function_prompt(graph, signature)
+    place = F.concat_ws("/", *(F.col(c).cast("string") for c in ("api_index", "instance", "name") if c in slices.columns))
+    keyed = slices.withColumn("fingerprint", fingerprint(place, signature, prompt, F.lit(PROMPT_VERSION), expected, F.lit(model_name), F.lit(settings.mode), F.lit(settings.threshold)))
     if cache is None:
         return compute(keyed).withColumn("cached", F.lit(False))
     known = cache.where("summary IS NOT NULL").dropDuplicates(["fingerprint"])
@@ -183,17 +232,29 @@ def with_cache(slices: DataFrame, cache: DataFrame | None, compute: Callable[[Da
 def interfaces_tier(functions: DataFrame, factory: Callable[[], Model], settings: Settings = Settings(), overhead: int = 200) -> DataFrame:
     """One analysis for each application and interface, in batches that fit the budget, joined in order.
 
-    ``functions``: sha256, api_index, signature, ordinal, summary. A hot interface is
+    ``functions``: sha256, api_index, signature, ordinal, summary, and where known name,
+    permissions, instance and its call_graph. A batch shows the call graph of each
+    instance that it has functions of, with these functions below it. A hot interface is
     split into batches like any other; its summaries meet as one answer a batch.
     """
     group = ["sha256", "api_index"]
-    sized = functions.withColumn("__size", token_estimate(F.coalesce("summary", F.lit(""))) + 8)
-    batched = batched_by_budget(sized, group, ["ordinal"], "__size", settings.budget, overhead).drop("__size")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "summary"))), lambda x: F.concat(F.lit("#"), x["ordinal"].cast("string"), F.lit("\n"), x["summary"])), "\n\n")
-    prompts = batched.groupBy(*group, "signature", "batch").agg(F.concat(F.lit("TASK: interface\nCALL: "), F.first("signature"), F.lit("\nFUNCTIONS:\n"), body).alias("__p"))
-    said = answered(prompts, "__p", "__a", factory, settings)
-    numbered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "__a"))), lambda x, i: F.concat(F.lit("== Batch "), (i + 1).cast("string"), F.lit(" ==\n"), F.trim(x["__a"]))), "\n\n")
-    return said.groupBy(*group, "signature").agg(numbered.alias("analysis"), F.count("*").alias("batches"), F.max("__a_error").alias("error"))
+    given = functions.columns
+    instance = F.col("instance").cast("string") if "instance" in given else F.lit("")
+    calls = F.coalesce("call_graph", F.lit("")) if "call_graph" in given else F.lit("")
+    name = F.coalesce(F.col("name"), F.lit("")) if "name" in given else F.lit("")
+    permissions = F.coalesce(F.array_join("permissions", ", "), F.lit("")) if "permissions" in given else F.lit("")
+    plain = functions.select(*group, "signature", permissions.alias("__needs"), instance.alias("__instance"), calls.alias("__calls"), name.alias("__name"), "ordinal", F.coalesce("summary", F.lit("")).alias("summary"), "usage" if "usage" in given else F.lit(None).cast(USAGE).alias("usage"))
+    sized = plain.withColumn("__size", token_estimate(F.concat("__name", "summary")) + 8).withColumn("__shared", F.when(F.col("__calls") != "", token_estimate(F.col("__calls")) + 8).otherwise(0))
+    batched = batched_by_budget(sized, group, ["ordinal"], "__size", settings.budget, overhead, shared=("__instance", "__shared"))
+    function = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "__name", "summary"))), lambda x: F.concat(F.lit("#"), x["ordinal"].cast("string"), F.lit(" "), x["__name"], F.lit("\n"), x["summary"]))
+    sections = batched.groupBy(*group, "signature", "__needs", "batch", "__instance").agg(F.min("ordinal").alias("first"), F.first("__calls").alias("calls"), F.array_join(function, "\n\n").alias("text"), _total_usage("usage").alias("usage"))
+    shown = F.transform(F.array_sort(F.collect_list(F.struct("first", "calls", "text"))), lambda x, i: F.concat(F.when(x["calls"] != "", F.concat(F.lit("-- Context "), (i + 1).cast("string"), F.lit("\nCALL GRAPH:\n"), x["calls"], F.lit("\n"))).otherwise(""), F.lit("FUNCTIONS:\n"), x["text"]))
+    needs = F.when(F.col("__needs") != "", F.concat(F.lit("PERMISSIONS: "), F.col("__needs"), F.lit("\n"))).otherwise("")
+    prompt = F.concat(F.lit("TASK: interface\nCALL: "), F.col("signature"), F.lit("\n"), needs, F.col("shown"))
+    prompts = sections.groupBy(*group, "signature", "__needs", "batch").agg(F.array_join(shown, "\n\n").alias("shown"), _total_usage("usage").alias("before")).withColumn("__p", prompt)
+    said = answered(prompts, "__p", "__a", factory, settings).withColumn("usage", summed_usage(F.col("before"), F.col("__a_usage")))
+    analyses = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "__a"))), lambda x, i: F.concat(F.lit("== Batch "), (i + 1).cast("string"), F.lit(" ==\n"), F.trim(x["__a"]))), "\n\n")
+    return said.groupBy(*group, "signature").agg(analyses.alias("analysis"), F.count("*").alias("batches"), _total_usage("usage").alias("usage"), F.max("__a_error").alias("error"))
 
 
 _FINAL = "prediction string, malware_type string, application_purpose string, key_findings array<string>, conclusion string"
@@ -226,15 +287,29 @@ def validated_final(df: DataFrame, answer: str) -> DataFrame:
 def applications_tier(interfaces: DataFrame, factory: Callable[[], Model], settings: Settings = Settings()) -> DataFrame:
     """One verdict an application; a prompt over the budget fails it, as there are no batches here."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("api_index", "signature", "analysis"))), lambda x: F.concat(F.lit("## "), x["signature"], F.lit("\n"), x["analysis"])), "\n\n")
-    prompts = interfaces.groupBy("sha256").agg(F.concat(F.lit("TASK: application\nANALYSES:\n"), body).alias("__p"), F.max("error").alias("error"))
-    return validated_final(answered(prompts, "__p", "__a", factory, settings, json_mode=True).withColumn("error", F.coalesce("error", "__a_error")), "__a").drop("__p", "__a", "__a_error")
+    given = interfaces if "usage" in interfaces.columns else interfaces.withColumn("usage", F.lit(None).cast(USAGE))
+    prompts = given.groupBy("sha256").agg(F.concat(F.lit("TASK: application\nANALYSES:\n"), body).alias("__p"), _total_usage("usage").alias("before"), F.max("error").alias("error"))
+    said = answered(prompts, "__p", "__a", factory, settings, json_mode=True).withColumn("error", F.coalesce("error", "__a_error")).withColumn("usage", summed_usage(F.col("before"), F.col("__a_usage")))
+    return validated_final(said, "__a").drop("__p", "__a", "__a_error", "__a_usage", "before")
 
 
 def flat(contexts: DataFrame, factory: Callable[[], Model], settings: Settings = Settings()) -> DataFrame:
-    """The verdict from raw graphs in one prompt, without tiers: ``sha256, api_index, signature, graph``."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("api_index", "signature", "graph"))), lambda x: F.concat(F.lit("## "), x["signature"], F.lit("\n"), x["graph"])), "\n\n")
-    prompts = contexts.groupBy("sha256").agg(F.concat(F.lit("TASK: application\nGRAPHS:\n"), body).alias("__p"))
-    return validated_final(answered(prompts, "__p", "__a", factory, settings, json_mode=True).withColumn("error", F.col("__a_error")), "__a").drop("__p", "__a", "__a_error")
+    """The verdict from raw graphs in one prompt, without tiers.
+
+    ``contexts``: sha256, api_index, signature, graph, and where known permissions,
+    instance and its call_graph, which stands once before the slices of its instance.
+    """
+    given = contexts.columns
+    instance = F.col("instance").cast("string") if "instance" in given else F.lit("")
+    calls = F.coalesce("call_graph", F.lit("")) if "call_graph" in given else F.lit("")
+    permissions = F.coalesce(F.array_join("permissions", ", "), F.lit("")) if "permissions" in given else F.lit("")
+    key = ["sha256", "api_index", "signature", "__needs", "__instance"]
+    sections = contexts.select("sha256", "api_index", "signature", permissions.alias("__needs"), instance.alias("__instance"), calls.alias("__calls"), "graph").groupBy(*key).agg(F.first("__calls").alias("calls"), F.array_join(F.array_sort(F.collect_list("graph")), "\n\n").alias("graphs"))
+    one = F.concat(F.lit("## "), F.col("signature"), F.when(F.col("__needs") != "", F.concat(F.lit("\nPERMISSIONS: "), F.col("__needs"))).otherwise(""), F.when(F.col("calls") != "", F.concat(F.lit("\nCALL GRAPH:\n"), F.col("calls"))).otherwise(""), F.lit("\n"), F.col("graphs"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("api_index", "__instance", "section"))), lambda x: x["section"]), "\n\n")
+    prompts = sections.withColumn("section", one).groupBy("sha256").agg(F.concat(F.lit("TASK: application\nGRAPHS:\n"), body).alias("__p"))
+    said = answered(prompts, "__p", "__a", factory, settings, json_mode=True).withColumn("error", F.col("__a_error")).withColumn("usage", summed_usage(F.col("__a_usage")))
+    return validated_final(said, "__a").drop("__p", "__a", "__a_error", "__a_usage")
 
 
 def dead_letters(results: DataFrame, key: str = "sha256") -> DataFrame:

@@ -80,9 +80,23 @@ def half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id", "half").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE turn AS (SELECT conv_id, turn, role, greatest(1, (octet_length(encode(coalesce(text, ''))) + 2) // 3)::BIGINT AS tokens FROM conversations),
+    placed AS (SELECT *, row_number() OVER w AS i, sum(tokens) OVER w AS upto FROM turn WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING)),
+    budget AS (SELECT max(tokens) + 50 AS most FROM turn),
+    part(conv_id, batch, lo, hi, total) AS (
+        SELECT conv_id, '', 1::BIGINT, count(*), sum(tokens) FROM placed GROUP BY conv_id
+        UNION ALL
+        SELECT p.conv_id, p.batch || side, CASE WHEN side = 'L' THEN lo ELSE m + 1 END, CASE WHEN side = 'L' THEN m ELSE hi END,
+            CASE WHEN side = 'L' THEN middle.upto - first.upto + first.tokens ELSE p.total - (middle.upto - first.upto + first.tokens) END
+        FROM (SELECT *, lo + (hi - lo + 2) // 2 - 1 AS m FROM part, budget WHERE total + 50 > most) p
+        JOIN placed first ON first.conv_id = p.conv_id AND first.i = lo JOIN placed middle ON middle.conv_id = p.conv_id AND middle.i = m CROSS JOIN (VALUES ('L'), ('R')) sides(side)
+    )
+    SELECT placed.conv_id, placed.turn, placed.role, placed.tokens, part.batch
+    FROM part, budget, placed WHERE part.total + 50 <= most AND placed.conv_id = part.conv_id AND placed.i BETWEEN lo AND hi
+""")
 def batch_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole recursion, which has no SQL here; tested against a recursive function."""
+    """Conversations halved until each part fits; also tested against a recursive function."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", token_estimate(F.coalesce("text", F.lit(""))).alias("tokens"))
     budget = turns.agg(F.max("tokens")).first()[0] or 1
     return batched_by_budget(turns, ["conv_id"], ["turn", "role"], "tokens", int(budget) + 50, overhead=50)

@@ -72,10 +72,10 @@ def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged_labels(labels.where("sha256 % 3 <> 0"), flipped.where("sha256 % 3 <> 2"))
 
 
-@query("SELECT sha256 FROM (SELECT source AS sha256, min(doc_id) AS first FROM documents GROUP BY source ORDER BY first LIMIT 25)")
+@query("SELECT o_custkey FROM (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey ORDER BY first, o_custkey LIMIT 25)")
 def target_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limit is the operator: the first 25 distinct keys in their order."""
-    return ordered_distinct(table(spark, sf_dir, "documents").select(F.col("source").alias("sha256"), "doc_id"), "sha256", ["doc_id"], limit=25)
+    """The limit is the operator: the first 25 of many distinct keys in their order."""
+    return ordered_distinct(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], limit=25)
 
 
 @query("SELECT doc_id, m[-1] AS said FROM (SELECT doc_id, regexp_extract_all(text, '([a-z]+)\\.', 1) AS m FROM documents) WHERE len(m) > 0")

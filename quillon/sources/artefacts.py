@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.durable import exists
 from quillon.functions.scalars import stem, without_node_suffix
 
+TABLE = "api_index int, instance string, kind string, name string, stem string, path string, content string, sha256 string"
 PATH = r"/([0-9A-Fa-f]{64})/([^/]+)/([^/]+)/(CallGraph|SliceGraph|cfg|Relation|code)/([^/]+)$"
 
 
 def read_artefacts(spark: SparkSession, root: str) -> DataFrame:
     """``sha256, api_index, instance, kind, name, stem, path, content`` of all files of a tree.
 
-    Files are read whole; ``api_index`` is null where the folder is no number.
-    Where the tree has a partitioned copy, read that one: this form lists all files.
+    Files are read whole; ``api_index`` is null where the folder is no number. Where
+    ``root`` holds the tables that ``slice`` writes, partitioned by application, these
+    are read in place of single files.
     """
+    if exists(spark, f"{root.rstrip('/')}/sha256=*"):
+        return spark.read.schema(TABLE).parquet(root).select("sha256", *(f.split()[0] for f in TABLE.split(", ")[:-1]))
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
     part = [F.regexp_extract("path", PATH, k) for k in range(1, 6)]
     return raw.where(F.col("path").rlike(PATH)).select(

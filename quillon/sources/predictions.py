@@ -23,6 +23,8 @@ def read_results(spark: SparkSession, folder: str, strict: bool = True) -> DataF
     )
     if strict and (bad := checked.where("problem IS NOT NULL").head(3)):
         raise ValueError(f"{folder}: {[(b['sha256'], b['problem']) for b in bad]}")
+    if strict and (again := checked.groupBy("sha256").count().where("count > 1").head(3)):
+        raise ValueError(f"{folder}: {[(b['sha256'], 'repeated hash') for b in again]}")
     return checked.where("problem IS NULL").drop("problem")
 
 

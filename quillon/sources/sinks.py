@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.durable import exists, remove
+
 from quillon.functions.relations import formatted
 from quillon.operators.ordering import first_wins, last_wins
 
@@ -15,7 +17,41 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def append_cache(results: DataFrame, path: str) -> None:
-    results.where("NOT cached").drop("cached").write.mode("append").parquet(path)
+    """Keeps what was computed; entries with an error are computed again another time."""
+    results.where("NOT cached AND error IS NULL").drop("cached").write.mode("append").parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
+    """What was kept, without files that cannot be read; None before the first time."""
+    return spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", False).parquet(path) if exists(spark, f"{path}/*.parquet") else None
+
+
+def write_artefacts(files: DataFrame, report: DataFrame, root: str) -> None:
+    """Files as a table partitioned by application; samples of the report that have none now lose what they had."""
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sha256").parquet(root)
+    for row in report.where("status IN ('zero-slice', 'error')").select("sha256").toLocalIterator():
+        remove(files.sparkSession, f"{root.rstrip('/')}/sha256={row.sha256}")
+
+
+def export_tree(files: DataFrame, root: str) -> int:
+    """Writes each row as a file of its own, for tools that read a tree, and gives their number; a graph that is there stays.
+
+    The driver writes one file after another on any file system that Spark writes to.
+    """
+    spark = files.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    for row in files.select("path", "kind", "content").toLocalIterator():
+        at = paths(paths(root), row.path.replace(":", "_"))
+        system = at.getFileSystem(conf)
+        if row.kind in ("CallGraph", "SliceGraph") and system.exists(at):
+            continue
+        out = system.create(at, True)
+        out.write(bytearray(row.content.encode()))
+        out.close()
+        n += 1
+    return n
 
 
 def write_dead_letters(failed: DataFrame, path: str) -> None:

@@ -15,7 +15,8 @@ SPLIT_NAMES = ("train.csv", "test_1.csv", "test_2.csv", "test_3.csv", "test_ood*
 def table_of(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
     """A CSV file with a header, all cells as trimmed text; names and cells lose outer spaces and a byte-order mark.
 
-    A row with more cells than the header keeps them in ``_extra``; missing ones are empty.
+    A row with more cells than the header keeps them in ``_extra``; missing ones are
+    empty. ``_ordinal`` is the row's place, whatever tasks read the file in parts.
     """
     lines = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False)
     raw = lines.csv(path)
@@ -24,8 +25,9 @@ def table_of(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
         raise ValueError(f"{path} lacks the columns {sorted(missing)}; it has {sorted(names)}")
     schema = ", ".join(f"`{c}` string" for c in [*names, "_extra"])
     rows = spark.read.option("header", True).option("enforceSchema", True).option("columnPruning", False).option("columnNameOfCorruptRecord", "_extra").schema(schema).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     cells = F.regexp_count(F.regexp_replace("_extra", '"[^"]*"', ""), F.lit(",")) + 1  # short rows are kept as well
-    return rows.select(*(cleaned(F.col(f"`{c}`")).alias(c) for c in names), F.when(cells > len(names), F.col("_extra")).alias("_extra"))
+    return rows.select(*(cleaned(F.col(f"`{c}`")).alias(c) for c in names), F.when(cells > len(names), F.col("_extra")).alias("_extra"), place.alias("_ordinal"))
 
 
 def split_violations(rows: DataFrame) -> DataFrame:
@@ -36,13 +38,14 @@ def split_violations(rows: DataFrame) -> DataFrame:
     return rows.select("sha256", problem.alias("problem")).where("problem IS NOT NULL").unionByName(repeated)
 
 
-def read_split(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """``sha256, label, family, date, vt_scan_date`` of a split; dates stay text."""
+def read_split(spark: SparkSession, path: str, strict: bool = True, ordinal: str | None = None) -> DataFrame:
+    """``sha256, label, family, date, vt_scan_date`` of a split; dates stay text. ``ordinal`` names a column with the place in the file."""
     rows = table_of(spark, path, {"sha256", "label"})
     if strict and (bad := split_violations(rows).head(3)):
         raise ValueError(f"{path}: {[tuple(b) for b in bad]}")
     text = [(F.col(c) if c in rows.columns else F.lit("")).alias(c) for c in ("family", "date", "vt_scan_date")]
-    return rows.select(sha_key(F.col("sha256")).alias("sha256"), binary_label(F.col("label")).alias("label"), *text)
+    place = [F.col("_ordinal").alias(ordinal)] if ordinal else []
+    return rows.select(sha_key(F.col("sha256")).alias("sha256"), binary_label(F.col("label")).alias("label"), *text, *place)
 
 
 def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
