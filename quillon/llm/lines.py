@@ -13,13 +13,15 @@ token take part, the stage of the pipeline those of three or more.
    that order, which any fixed order of tokens may have.
 2. Lines with one token set form a class that its first line stands for, so copies
    are never compared.
-3. Classes that share a token of their prefixes are candidates if they pass the
-   length, the positional and a bitmap filter. A class is compared first with the
-   earliest class of each token, and of these with the one that shares most; only a
-   class that this leaves open is joined with all others. A large group of near copies
-   so costs about as many comparisons as it has lines. Lines that are near each other
-   but not similar stay open, and pass the filters in part.
-4. Candidates are verified on the tokens of their lines, of a line the one that shares
+3. A class is compared first with the earliest class of each of a few tokens of its
+   prefix, chosen by hash, and of these with the one that it shares most with. A large
+   group of near copies so costs about as many comparisons as it has lines.
+4. Only classes that this leaves open are joined with all others: two classes are
+   candidates if a token of the larger one's prefix is in that of the smaller one,
+   which need be only as long as for a class of its own size, and if they pass the
+   length, the positional and a bitmap filter. Lines that are near each other but not
+   similar stay open, and pass the filters in part.
+5. Candidates are verified on the tokens of their lines, of a line the one that shares
    most first, and the others only where that is not similar.
 
 Null text has no lines and stays null; an empty table stays empty; rows that share
@@ -40,10 +42,12 @@ from quillon.llm.shared import free_name
 MIN_TOKENS = 3
 SIMILAR = (4, 5)
 #: Counters of token frequency; the table is of this size whatever the corpus.
-BUCKETS = 1 << 19
-#: Tokens from which a line has a bitmap of 256 bits, as 64 tell long lines apart badly.
+BUCKETS = 1 << 18
+#: Tokens from which a line has a bitmap of 128 bits, as 64 tell long lines apart badly.
 WIDE = 80
-_HASH_BITS = 52
+#: Tokens of a prefix by which a class looks for an earlier one that settles it.
+FEW = 2
+_HASH_BITS = 56
 
 
 def _split(line: Column) -> Column:
@@ -55,12 +59,14 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.ndarray:
-    """For each hash bucket, a class that grows with the logarithm of its tokens' count."""
+    """For each hash bucket, a class that grows with the logarithm of its tokens' count.
+
+    The empty token, which stands between two separators, is counted as well: no line
+    has it, so it only adds to its bucket's count.
+    """
+    tokens = docs.select(F.explode(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("t"))
     counted = (
-        docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
-        .select(F.explode(F.split(F.lower("line"), " ")).alias("t"))
-        .where("t != ''")
-        .groupBy(F.expr(f"cast(xxhash64(t) & {buckets - 1} as int)").alias("bucket"))
+        tokens.groupBy(F.expr(f"cast(xxhash64(t) & {buckets - 1} as int)").alias("bucket"))
         .count()
         .select("bucket", F.least(F.floor(6 * F.log2("count")), F.lit(127)).cast("int").alias("class"))
         .toArrow()
@@ -71,34 +77,35 @@ def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nd
 
 
 def _keys(line: Column, classes: np.ndarray) -> Column:
-    """Distinct token keys in ascending order: rarity class above, hash below."""
+    """A key for each distinct token, in ascending order: rarity class above, 56 bits of the hash below."""
     ranks = F.from_json(F.lit("[" + ",".join(map(str, classes.tolist())) + "]"), "array<tinyint>")
-    mask, low = len(classes) - 1, (1 << _HASH_BITS) - 1
+    nothing = F.lit(0).cast("tinyint")  # no element is null, so that arrays of them are sorted as plain numbers
+
+    def key(h: Column) -> Column:
+        rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(len(classes) - 1)).cast("int")), nothing)
+        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    def key(t: Column) -> Column:
-        h = F.xxhash64(t)
-        rank = F.get(ranks, h.bitwiseAND(F.lit(mask)).cast("int"))
-        return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit(low)))
+    hashes = F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
-    return F.sort_array(F.array_distinct(F.transform(_split(line), key)))
+
+def prefix_size(n: Column, num: int, den: int) -> Column:
+    """Tokens of a set of ``n`` of which one at least is in any set with which it has ``num / den`` of its own in common."""
+    return n - F.floor((n * num + den - 1) / den).cast("int") + 1
 
 
 def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, similar: tuple[int, int]) -> DataFrame:
-    """Each line's place, the hash of its token set, its size, bitmap and prefix; lines without tokens as well.
+    """Each line's place, the hash of its token set, its size, bitmaps and prefix; lines without tokens as well.
 
     Nothing is filtered here, as a filter would go below the projection and sort the
     tokens a second time.
     """
-    num, den = similar
     keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys"))
     bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
     n = F.size("keys")
-    parts = [F.aggregate("keys", F.lit(0).cast("long"), _word(w)).alias(f"w{w}") for w in range(3)]
-    wide = F.when(n >= WIDE, F.struct(*parts))  # with the bitmap, which is the sum of four, 256 bits
-    size = F.least(n, n - F.floor((n * num + den - 1) / den).cast("int") + 1)
-    # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
-    prefix = F.transform(F.slice("keys", F.lit(1), size), lambda k: F.hash(k))
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), wide.alias("wide"), prefix.alias("prefix"))
+    half = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
+    prefix = F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar)))
+    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
 
 
 def _bit(k: Column) -> Column:
@@ -106,28 +113,23 @@ def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _word(w: int):
-    """Sums the bits of the tokens that fall to one of four words."""
-    return lambda s, k: F.when(F.shiftright(k, 6).bitwiseAND(F.lit(3)) == w, s.bitwiseXOR(_bit(k))).otherwise(s)
-
-
-def _similar_candidates(similar: tuple[int, int], widely: bool = True) -> str:
-    """The length, positional and bitmap filters, and that y comes first.
+def _bits_allow(similar: tuple[int, int]) -> str:
+    """Whether the bitmaps of x and y differ in no more bits than similar sets have tokens in one of them alone.
 
     Sets of nx and ny tokens reach the index num/den only if they have at least
     num * (nx + ny) / (num + den) tokens in common, so at most
-    (den - num) * (nx + ny) / (num + den) in one of them alone.
+    (den - num) * (nx + ny) / (num + den) in one of them alone. ``half`` is the part of
+    a long line's bitmap that half of its tokens make, the rest is made by the others.
     """
     num, den = similar
-    three = [f"x.wide.w{k} ^ y.wide.w{k}" for k in range(3)]
-    wide = " + ".join(f"bit_count({w})" for w in [*three, " ^ ".join(["x.bits ^ y.bits", *three])])
-    return (
-        f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
-        f" AND {num + den} * (1 + least(x.n - x.i, y.n - y.i)) >= {num} * (x.n + y.n)"
-        f" AND {num + den} * bit_count(x.bits ^ y.bits) <= {den - num} * (x.n + y.n)"
-        + (f" AND (x.wide IS NULL OR y.wide IS NULL OR {num + den} * ({wide}) <= {den - num} * (x.n + y.n))" if widely else "")
-        + " AND struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
-    )
+    most = f"{den - num} * (x.n + y.n)"
+    halves = f"{num + den} * (bit_count(x.half ^ y.half) + bit_count(x.half ^ y.half ^ x.bits ^ y.bits)) <= {most}"
+    return f"{num + den} * bit_count(x.bits ^ y.bits) <= {most} AND coalesce({halves}, true)"
+
+
+def _lengths_allow(similar: tuple[int, int]) -> str:
+    num, den = similar
+    return f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
 
 
 def _tokens(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -165,22 +167,52 @@ def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(other, on, how).drop(*(f"{k}_2" for k in keys))
 
 
-def _prefix_rows(firsts: DataFrame, *more: str) -> DataFrame:
-    return firsts.select("doc", "line_no", "n", "bits", *more, F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + 1)
+_FIRST = "struct(y.doc, y.line_no) < struct(x.doc, x.line_no)"
 
 
-def _near(x: DataFrame, y: DataFrame, similar: tuple[int, int], also: str = "true") -> DataFrame:
-    """Pairs that share a token of their prefixes and pass the filters, and how many they share."""
-    pairs = x.alias("x").join(y.alias("y"), F.col("x.token") == F.col("y.token")).where(F.expr(f"{also} AND {_similar_candidates(similar, 'wide' in x.columns)}"))
-    named = pairs.select(F.col("x.doc").alias("x_doc"), F.col("x.line_no").alias("x_line"), F.col("y.doc").alias("y_doc"), F.col("y.line_no").alias("y_line"))
+def _shared(pairs: DataFrame, later: str = "x", earlier: str = "y") -> DataFrame:
+    """Each pair of lines once, with the number of tokens that brought it together."""
+    named = pairs.select(*(F.expr(f"{side}.{c}").alias(f"{name}_{short}") for side, name in ((later, "x"), (earlier, "y")) for c, short in (("doc", "doc"), ("line_no", "line"))))
     return named.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.count("*").alias("shared"))
 
 
+def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """One candidate for each class: the earliest one of some of its tokens, the least by hash of its prefix."""
+    least = F.slice(F.array_sort(F.transform("prefix", lambda k: F.hash(k))), 1, FEW)
+    rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(least).alias("token"))
+    first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
+    # written first, so that both sides of the join come from a shuffle and a skewed token is split
+    earliest = durable(rows.groupBy("token").agg(first, F.count("*").alias("classes")).where("classes > 1").select("token", "p.*"))
+    pairs = rows.alias("x").join(earliest.alias("y"), "token").where(F.expr(f"{_lengths_allow(similar)} AND {_bits_allow(similar)} AND {_FIRST}"))
+    return _best(_shared(pairs))
+
+
+def _candidates(marked: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs of classes of which the later one is open, the larger one being x.
+
+    A set of m tokens that is similar to one of n >= m has at least
+    2 * num / (num + den) of its own tokens in common with it, which is more than the
+    index asks for, so its prefix is shorter.
+    """
+    num, den = similar
+    place = ["doc", "line_no", "n", "bits", "half", "open"]
+    x = marked.select(*place, F.posexplode("prefix").alias("i", "token")).alias("x")
+    small = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), prefix_size(F.col("n"), 2 * num, num + den)))
+    y = marked.select(*place, F.posexplode(small).alias("i", "token")).alias("y")
+    positions = f"{num + den} * least(x.n - x.i, y.n - y.i) >= {num} * (x.n + y.n)"  # from 0; this token is the first in common
+    size = f"x.n >= y.n AND {den} * y.n >= {num} * x.n"
+    open_ = f"IF({_FIRST}, x.open, IF(x.n = y.n, 0, y.open)) = 1"  # of two that are as large the later one is x
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(F.expr(f"{size} AND {positions} AND {_bits_allow(similar)} AND {open_}"))
+    swapped = F.expr(_FIRST)
+    sides = [F.when(swapped, F.struct("x.doc", "x.line_no")).otherwise(F.struct("y.doc", "y.line_no")).alias("later"), F.when(swapped, F.struct("y.doc", "y.line_no")).otherwise(F.struct("x.doc", "x.line_no")).alias("earlier")]
+    return _shared(pairs.select(*sides), "later", "earlier")
+
+
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row for each line to remove: doc, line_no (from 0)."""
     described = durable(_described(docs, doc_id, text, rarity(docs, text), similar)).where(F.col("n") >= min_tokens)
     same = ["set", "n", "bits"]
-    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix")).select(*same, "place.*", "wide", "prefix"))
+    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "half", "prefix"))
     first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
     firsts = firsts.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
@@ -188,15 +220,11 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
     del described
 
-    rows = _prefix_rows(firsts)  # without wide bitmaps: this round only has to find one candidate a line
-    earliest = rows.groupBy("token").agg(F.min(F.struct("doc", "line_no", "n", "bits", "i")).alias("p"), F.count("*").alias("classes")).where("classes > 1").select("token", "p.*")
-    near = durable(_best(_near(rows, earliest, similar)))
+    near = durable(_settling(firsts, similar))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    marked = _joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0)))
-    rows = _prefix_rows(marked, "wide", "open")
-    # the condition names both sides in one term, so none of it goes below the shuffle and both sides read the same one
-    pairs = durable(_near(rows, rows, similar, also="IF(x.open = 1, y.n + y.open, -1) > 0"))
-    del firsts, marked, rows, earliest, near
+    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", *same[:1]))
+    pairs = durable(_candidates(marked, similar))
+    del firsts, marked, near
     tokens = _tokens(pairs, docs, doc_id, text)
     more = durable(_verified(_best(pairs), tokens, similar))
     rest = _joined(pairs, more.selectExpr("doc AS x_doc", "line_no AS x_line"), ["x_doc", "x_line"], "left_anti")
