@@ -56,3 +56,11 @@ def exists(spark: SparkSession, pattern: str) -> bool:
     """Whether a path or a pattern of paths has a file or folder."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def release(frame: DataFrame) -> None:
+    """Deletes the files behind a frame that ``durable`` gave, once nothing reads it any more."""
+    plan = frame._jdf.queryExecution().analyzed()
+    file = plan.rdd().getCheckpointFile() if plan.nodeName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        remove(frame.sparkSession, file.get())
