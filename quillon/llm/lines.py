@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.durable import durable
+from quillon.durable import durable, release
 from quillon.llm.shared import free_name
 
 MIN_TOKENS = 3
@@ -104,7 +104,8 @@ def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, sim
     bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
     n = F.size("keys")
     half = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
-    prefix = F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar)))
+    # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
+    prefix = F.transform(F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar))), lambda k: F.hash(k))
     return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
 
 
@@ -210,21 +211,23 @@ def _candidates(marked: DataFrame, similar: tuple[int, int]) -> DataFrame:
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_tokens: int = MIN_TOKENS, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """One row for each line to remove: doc, line_no (from 0)."""
-    described = durable(_described(docs, doc_id, text, rarity(docs, text), similar)).where(F.col("n") >= min_tokens)
+    every = durable(_described(docs, doc_id, text, rarity(docs, text), similar))
+    described = every.where(F.col("n") >= min_tokens)
     same = ["set", "n", "bits"]
-    firsts = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "half", "prefix"))
-    first = firsts.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
+    classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "half", "prefix"))
+    first = classes.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
-    firsts = firsts.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
+    firsts = classes.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
     on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
-    del described
+    release(every)
 
     near = durable(_settling(firsts, similar))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", *same[:1]))
+    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set"))
+    release(classes)
     pairs = durable(_candidates(marked, similar))
-    del firsts, marked, near
+    release(marked)
     tokens = _tokens(pairs, docs, doc_id, text)
     more = durable(_verified(_best(pairs), tokens, similar))
     rest = _joined(pairs, more.selectExpr("doc AS x_doc", "line_no AS x_line"), ["x_doc", "x_line"], "left_anti")
