@@ -21,8 +21,7 @@ token take part, the stage of the pipeline those of three or more.
    which need be only as long as for a class of its own size, and if they pass the
    length, the positional and a bitmap filter. Lines that are near each other but not
    similar stay open, and pass the filters in part.
-5. Candidates are verified on the tokens of their lines, of a line the one that shares
-   most first, and the others only where that is not similar.
+5. Candidates are verified on the tokens of their lines.
 
 Null text has no lines and stays null; an empty table stays empty; rows that share
 a doc_id are taken for one place in the order and do not remove each other's lines
@@ -179,7 +178,7 @@ def _shared(pairs: DataFrame, later: str = "x", earlier: str = "y") -> DataFrame
 
 def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """One candidate for each class: the earliest one of some of its tokens, the least by hash of its prefix."""
-    least = F.slice(F.array_sort(F.transform("prefix", lambda k: F.hash(k))), 1, FEW)
+    least = F.slice(F.sort_array("prefix"), 1, FEW)
     rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(least).alias("token"))
     first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
     # written first, so that both sides of the join come from a shuffle and a skewed token is split
@@ -228,10 +227,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     release(classes)
     pairs = durable(_candidates(marked, similar))
     release(marked)
-    tokens = _tokens(pairs, docs, doc_id, text)
-    more = durable(_verified(_best(pairs), tokens, similar))
-    rest = _joined(pairs, more.selectExpr("doc AS x_doc", "line_no AS x_line"), ["x_doc", "x_line"], "left_anti")
-    return repeats.unionByName(done).unionByName(more).unionByName(durable(_verified(rest, tokens, similar)))
+    more = durable(_verified(pairs, _tokens(pairs, docs, doc_id, text), similar))
+    return repeats.unionByName(done).unionByName(more)
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed", **options) -> DataFrame:
