@@ -45,7 +45,7 @@ BUCKETS = 1 << 18
 #: Tokens from which a line has a bitmap of 128 bits, as 64 tell long lines apart badly.
 WIDE = 80
 #: Tokens of a prefix by which a class looks for an earlier one that settles it.
-FEW = 2
+FEW = 4
 _HASH_BITS = 56
 
 
