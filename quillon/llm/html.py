@@ -9,9 +9,9 @@ context of all the others, whether it belongs to the article.
 The labeller is trained here, on pages that ``synthetic_pages`` makes up from a seed:
 articles in many kinds of markup between menus, notices, adverts, forms, sidebars,
 footers and comments, of invented words, each block labelled by what made it. No
-page of the input is used, so the same input always gives the same text. Training
-takes some seconds and runs once a process, on the driver; the weights are of a
-fixed size.
+page of the input is used, so the same input always gives the same text. The weights
+that training gives are of a fixed size and stored beside this module;
+``np.savez_compressed(WEIGHTS, **train().weights)`` makes them again in some seconds.
 
 A null page has the empty text and no blocks, as have pages without text. Pages are
 read whole, however long; broken markup is read as far as it goes. Repeated rows give
@@ -20,6 +20,7 @@ equal results; other columns pass through.
 
 from __future__ import annotations
 
+import pathlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -336,8 +337,20 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+#: The weights that ``train`` gives by its defaults, so that they need not be found again at each start.
+WEIGHTS = pathlib.Path(__file__).with_name("html_weights.npz")
+
+
 @lru_cache(1)
-def trained(n_pages: int = 600, epochs: int = 14, seed: int = 1) -> Labeller:
+def trained() -> Labeller:
+    """The labeller with the stored weights, or trained anew where they are not there."""
+    if not WEIGHTS.exists():
+        return train()
+    with np.load(WEIGHTS) as stored:
+        return Labeller(dict(stored))
+
+
+def train(n_pages: int = 600, epochs: int = 14, seed: int = 1) -> Labeller:
     """A labeller trained by Adam on ``n_pages`` synthetic pages."""
     rng = np.random.default_rng(seed)
     known: dict = {}

@@ -79,3 +79,12 @@ def test_result_beside_a_column_of_its_name(spark):
     pages = spark.createDataFrame([(1, "<article><p>a text of the article that is long enough to be one.</p></article>", "x")], "id int, html string, Main string")
     out = html.main_text(pages)
     assert out.columns == ["id", "html", "Main", "_main"] and out.first().Main == "x"
+
+
+def test_stored_weights_are_those_of_the_training():
+    import numpy as np
+
+    made = list(html.synthetic_pages(60, 5))
+    pages = [html.vectors(found, {}) for found, _ in made]
+    stored, fresh = html.trained().labels(pages), html.train().labels(pages)
+    assert np.mean(np.concatenate([a == b for a, b in zip(stored, fresh, strict=True)])) > 0.999  # up to rounding on another machine
