@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontam, html, language, licenses, lines, packing, passages, quality, secrets, simhash
+from quillon.llm import decontam, html, language, licenses, lines, negatives, packing, passages, quality, secrets, simhash, warc
 from quillon.llm.shared import table
 
 _BASE_MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -196,5 +196,42 @@ SELECT doc_id, coalesce(n_kept, 0) AS n_kept, coalesce(n_removed, 0) AS n_remove
 FROM documents LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_main_text": op1_main_text, "op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup}
-ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_line_dedup": _OP10_SQL}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    store = warc.Store.made(pages)
+    wanted = pages.select(warc.surt(warc.uri_of(F.col("url"))).alias("surt"), "page_id")
+    return store.captures(wanted, on=("surt", "page_id"), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP11_SQL = """
+WITH stored AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT payload_digest, min(page_id) AS first FROM stored WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM stored LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(spark, table(spark, sf_dir, "embeddings"))
+
+
+_OP12_SQL = """
+WITH usable AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST(list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS DOUBLE[]) AS q
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
+    FROM usable a JOIN usable r ON a.vec_id % 100 = 0 AND r.vec_id <> a.vec_id
+), positives AS (
+    SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+"""
+
+QUERIES = {"op1_main_text": op1_main_text, "op2_simhash": op2_simhash, "op3_language_id": op3_language_id, "op4_license_scan": op4_license_scan, "op5_secret_scan": op5_secret_scan, "op6_decontamination": op6_decontamination, "op7_quality_rules": op7_quality_rules, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_dedup": op9_suffix_dedup, "op10_line_dedup": op10_line_dedup, "op11_warc": op11_warc, "op12_hard_negatives": op12_hard_negatives}
+ORACLES = {"op6_decontamination": _OP6_SQL, "op7_quality_rules": _OP7_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_line_dedup": _OP10_SQL, "op11_warc": _OP11_SQL, "op12_hard_negatives": _OP12_SQL}
