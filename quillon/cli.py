@@ -12,12 +12,14 @@ import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.durable import durable, exists
-from quillon.functions.relations import static_set
+from quillon.functions.relations import RELATION, parsed_text, set_of_lines, static_problem
 from quillon.functions.scalars import percent
 from quillon.operators import verdict as V
 from quillon.operators.coverage import status_counts
@@ -125,7 +127,17 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
             for k, v in config.items():
                 done = done.where(F.col(k) == v)
         keys = durable(predictions.to_do(keys, done, config, a.overwrite))
-    found = artefacts.contexts(files.join(keys, "sha256", "left_semi"), splits.read_catalog(spark, a.catalog)).withColumn("expected", F.when(F.col("relations").isNotNull(), static_set(F.col("relations"))))
+    files, catalog = files.join(keys, "sha256", "left_semi"), splits.read_catalog(spark, a.catalog)
+    found = artefacts.contexts(files, catalog, strict=False)
+    broken = None
+    if a.mode == "full":  # other modes read no relations
+        found = found.withColumn("__lines", F.when(F.col("relations").isNotNull(), parsed_text(F.col("relations"))))
+        broken = found.select("sha256", static_problem(F.col("__lines")).alias("problem"))
+        found = found.withColumn("expected", set_of_lines(F.col("__lines"))).drop("__lines")
+    else:
+        found = found.withColumn("expected", F.lit(None).cast(f"array<{RELATION}>"))
+    unfit = durable(artefacts.unfit(files, catalog, broken))
+    found = found.join(unfit, "sha256", "left_anti")
     if a.mode == "flat":
         verdicts = V.flat(found, model, settings)
         by_status = None
@@ -146,7 +158,8 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     total = F.struct(F.col("usage.input").alias("input_tokens"), F.col("usage.output").alias("output_tokens"), (F.col("usage.input") + F.col("usage.output")).alias("total_tokens"))
     verdicts = durable(verdicts.withColumn("token_usage", total).drop("usage").withColumns({"schema_version": F.lit(1), **{k: F.lit(v) for k, v in config.items()}}))
     none = keys.join(verdicts.select("sha256"), "sha256", "left_anti").withColumn("error", F.lit("no contexts that could be analyzed"))
-    failed = V.dead_letters(verdicts).unionByName(none)
+    none = none.join(unfit, "sha256", "left_anti")
+    failed = V.dead_letters(verdicts).unionByName(unfit).unionByName(none)
     run = {"started_at": F.lit(started.isoformat()), "duration_seconds": F.lit(round(time.monotonic() - began, 3))}  # of the run, in which all applications are judged together
     sinks.write_results(verdicts.where("error IS NULL").drop("error").withColumns(run), results)
     sinks.write_dead_letters(failed, f"{a.output}/failures")
@@ -220,8 +233,11 @@ def main(argv: list[str] | None = None) -> int:
     verb = {"analyze": analyze, "slice": slice_, "inspect": inspect, "evaluate": evaluate}[a.verb]
     try:
         return verb(session("quillon"), a)
-    except ValueError as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, RuntimeError, PySparkException) as e:  # an input that cannot be read, or a job that failed
+        print(f"error: {str(e).strip().splitlines()[0]}", file=sys.stderr)
+        return 2
+    except Py4JJavaError as e:
+        print(f"error: {str(e.java_exception.getMessage()).strip().splitlines()[0]}", file=sys.stderr)
         return 2
 
 

@@ -72,12 +72,23 @@ def parsed_text(text: Column) -> Column:
     return F.filter(numbered, lambda x: F.trim(x["text"]) != "")
 
 
+def static_problem(lines: Column) -> Column:
+    """What is wrong with the lines of a relation file, of ``parsed_text``: its first malformed one, or null."""
+    bad = F.filter(lines, lambda x: x["relation"].isNull())
+    return F.when(F.size(bad) > 0, F.concat(F.lit("malformed relation at line "), F.get(bad, F.lit(0))["line"].cast("string")))
+
+
+def set_of_lines(lines: Column) -> Column:
+    """The relations of well-formed lines, of ``parsed_text``, as a sorted set."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(lines, lambda x: x["relation"].isNotNull()), lambda x: x["relation"])))
+
+
 def static_set(text: Column) -> Column:
     """The relations of a file as a sorted set; raises on a malformed line."""
     lines = parsed_text(text)
-    bad = F.filter(lines, lambda x: x["relation"].isNull())
-    checked = F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("malformed relation at line "), F.get(bad, F.lit(0))["line"].cast("string")))).otherwise(F.lit(True))
-    return F.when(checked.cast("boolean"), F.array_sort(F.array_distinct(F.transform(lines, lambda x: x["relation"]))))
+    problem = static_problem(lines)
+    checked = F.when(problem.isNotNull(), F.raise_error(problem)).otherwise(F.lit(True))
+    return F.when(checked.cast("boolean"), set_of_lines(lines))
 
 
 def model_item(item: Column) -> Column:

@@ -51,13 +51,14 @@ def halved(items: DataFrame, group: list[str], order: list[str], name: str = "ha
     return items.withColumn(name, F.when(at <= F.ceil(n / 2), "L").otherwise("R"))
 
 
-def batched_by_budget(items: DataFrame, group: list[str], order: list[str], size: str, budget: int, overhead: int = 0, rounds: int = 40, shared: tuple[str, str] | None = None) -> DataFrame:
+def batched_by_budget(items: DataFrame, group: list[str], order: list[str], size: str, budget: int, overhead: int = 0, rounds: int = 40, shared: tuple[str, str] | None = None, oversize: str | None = None) -> DataFrame:
     """Halves groups until each batch's sizes, with an overhead, fit the budget; adds ``batch``, a path of L and R.
 
     ``shared`` names a column and another with the size of what each of its values adds
     once to every batch that has items of it. Batches in the order of their paths keep
-    the items' order. A batch of one item that does not fit is an error. Each round works on the batches that are still too
-    large, all others are done.
+    the items' order. A batch of one item that does not fit is an error or, where
+    ``oversize`` names a column, is marked there and left as it is. Each round works on
+    the batches that are still too large, all others are done.
     """
     done = None
     todo = items.withColumn("batch", F.lit(""))
@@ -69,11 +70,16 @@ def batched_by_budget(items: DataFrame, group: list[str], order: list[str], size
             todo = todo.withColumn("__more", F.when(first, F.col(shared[1])).otherwise(0))
             whole = whole + F.col("__more")
         marked = durable(todo.withColumns({"__sum": F.sum(whole).over(w) + overhead, "__n": F.count("*").over(w)}).drop("__more"))
-        fits = marked.where(F.col("__sum") <= budget).drop("__sum", "__n")
-        done = fits if done is None else done.unionByName(fits)
         over = marked.where(F.col("__sum") > budget)
-        if over.where("__n < 2").limit(1).count():
-            raise ValueError("one item alone exceeds the budget")
+        if oversize is not None:
+            ended = marked.where((F.col("__sum") <= budget) | (F.col("__n") < 2)).withColumn(oversize, F.col("__sum") > budget)
+            over = over.where("__n > 1")
+        else:
+            ended = marked.where(F.col("__sum") <= budget)
+            if over.where("__n < 2").limit(1).count():
+                raise ValueError("one item alone exceeds the budget")
+        ended = ended.drop("__sum", "__n")
+        done = ended if done is None else done.unionByName(ended)
         if not over.limit(1).count():
             return done
         todo = halved(over.drop("__sum", "__n"), [*group, "batch"], order, "__half").withColumn("batch", F.concat("batch", "__half")).drop("__half")

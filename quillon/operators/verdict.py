@@ -163,6 +163,8 @@ def revision_prompt(graph: Column, signature: Column, summary: Column, expected:
 
 _ANSWER = f"functionPurpose string, function_purpose string, controlFlowAnalysis string, control_flow_analysis string, relationships array<{R.MODEL_ITEM}>"
 _SINGLE = f"relationships {R.MODEL_ITEM}"
+_INVALID = "array<struct<index:int,value:string,error:string>>"
+_METRICS = "struct<matches:bigint,selected:bigint,expected:bigint,drc:double,recall:double,f1:double>"
 
 
 def functions_tier(slices: DataFrame, factory: Callable[[], Model], settings: Settings = Settings()) -> DataFrame:
@@ -170,12 +172,15 @@ def functions_tier(slices: DataFrame, factory: Callable[[], Model], settings: Se
 
     Of an answer that is no JSON the fallback summary is revised if relations are
     known; other answers are verified, and revised once below the threshold or with
-    malformed relations. Metrics are those before a revision.
+    malformed relations. Metrics are those before a revision. Without verification there
+    are neither relations nor metrics.
     """
     graph, signature = F.col("graph"), F.col("signature")
     if settings.mode == "no-verification":
         out = answered(slices.withColumn("__p", summary_prompt(graph, signature)), "__p", "summary", factory, settings)
-        return out.withColumn("status", F.lit("disabled")).withColumn("error", F.col("summary_error")).withColumn("usage", summed_usage(F.col("summary_usage"))).drop("__p", "summary_error", "summary_usage")
+        none = {"selected": f"array<{R.RELATION}>", "invalid": _INVALID, "metrics": _METRICS}
+        out = out.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"status": F.lit("disabled"), "error": F.col("summary_error"), "usage": summed_usage(F.col("summary_usage"))})
+        return out.select(*slices.columns, "summary", *none, "status", "usage", "error")
     first = answered(slices.withColumn("__p", function_prompt(graph, signature)), "__p", "__a", factory, settings, json_mode=True)
     text = unfenced(F.col("__a"))
     parsed = first.withColumn("__json", F.try_parse_json(text)).withColumn("__j", F.from_json(text, _ANSWER)).withColumn("__one", F.from_json(text, _SINGLE))
@@ -235,7 +240,9 @@ def interfaces_tier(functions: DataFrame, factory: Callable[[], Model], settings
     ``functions``: sha256, api_index, signature, ordinal, summary, and where known name,
     permissions, instance and its call_graph. A batch shows the call graph of each
     instance that it has functions of, with these functions below it. A hot interface is
-    split into batches like any other; its summaries meet as one answer a batch.
+    split into batches like any other; its summaries meet as one answer a batch. One
+    function that is too large alone, with its call graph, is not asked about and is an
+    error of its interface.
     """
     group = ["sha256", "api_index"]
     given = functions.columns
@@ -245,15 +252,16 @@ def interfaces_tier(functions: DataFrame, factory: Callable[[], Model], settings
     permissions = F.coalesce(F.array_join("permissions", ", "), F.lit("")) if "permissions" in given else F.lit("")
     plain = functions.select(*group, "signature", permissions.alias("__needs"), instance.alias("__instance"), calls.alias("__calls"), name.alias("__name"), "ordinal", F.coalesce("summary", F.lit("")).alias("summary"), "usage" if "usage" in given else F.lit(None).cast(USAGE).alias("usage"))
     sized = plain.withColumn("__size", token_estimate(F.concat("__name", "summary")) + 8).withColumn("__shared", F.when(F.col("__calls") != "", token_estimate(F.col("__calls")) + 8).otherwise(0))
-    batched = batched_by_budget(sized, group, ["ordinal"], "__size", settings.budget, overhead, shared=("__instance", "__shared"))
+    batched = batched_by_budget(sized, group, ["ordinal"], "__size", settings.budget, overhead, shared=("__instance", "__shared"), oversize="__oversize")
     function = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "__name", "summary"))), lambda x: F.concat(F.lit("#"), x["ordinal"].cast("string"), F.lit(" "), x["__name"], F.lit("\n"), x["summary"]))
-    sections = batched.groupBy(*group, "signature", "__needs", "batch", "__instance").agg(F.min("ordinal").alias("first"), F.first("__calls").alias("calls"), F.array_join(function, "\n\n").alias("text"), _total_usage("usage").alias("usage"))
+    sections = batched.groupBy(*group, "signature", "__needs", "batch", "__instance").agg(F.min("ordinal").alias("first"), F.first("__calls").alias("calls"), F.array_join(function, "\n\n").alias("text"), F.bool_or("__oversize").alias("oversize"), _total_usage("usage").alias("usage"))
     shown = F.transform(F.array_sort(F.collect_list(F.struct("first", "calls", "text"))), lambda x, i: F.concat(F.when(x["calls"] != "", F.concat(F.lit("-- Context "), (i + 1).cast("string"), F.lit("\nCALL GRAPH:\n"), x["calls"], F.lit("\n"))).otherwise(""), F.lit("FUNCTIONS:\n"), x["text"]))
     needs = F.when(F.col("__needs") != "", F.concat(F.lit("PERMISSIONS: "), F.col("__needs"), F.lit("\n"))).otherwise("")
     prompt = F.concat(F.lit("TASK: interface\nCALL: "), F.col("signature"), F.lit("\n"), needs, F.col("shown"))
-    prompts = sections.groupBy(*group, "signature", "__needs", "batch").agg(F.array_join(shown, "\n\n").alias("shown"), _total_usage("usage").alias("before")).withColumn("__p", prompt)
+    prompts = sections.groupBy(*group, "signature", "__needs", "batch").agg(F.array_join(shown, "\n\n").alias("shown"), F.bool_or("oversize").alias("oversize"), _total_usage("usage").alias("before")).withColumn("__p", F.when(~F.col("oversize"), prompt))
     said = answered(prompts, "__p", "__a", factory, settings).withColumn("usage", summed_usage(F.col("before"), F.col("__a_usage")))
-    analyses = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "__a"))), lambda x, i: F.concat(F.lit("== Batch "), (i + 1).cast("string"), F.lit(" ==\n"), F.trim(x["__a"]))), "\n\n")
+    said = said.withColumn("__a_error", F.when(F.col("oversize"), "one function alone exceeds the budget").otherwise(F.col("__a_error")))
+    analyses = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("batch", "__a"))), lambda x, i: F.concat(F.lit("== Batch "), (i + 1).cast("string"), F.lit(" ==\n"), F.trim(F.coalesce(x["__a"], F.lit(""))))), "\n\n")
     return said.groupBy(*group, "signature").agg(analyses.alias("analysis"), F.count("*").alias("batches"), _total_usage("usage").alias("usage"), F.max("__a_error").alias("error"))
 
 
@@ -285,10 +293,11 @@ def validated_final(df: DataFrame, answer: str) -> DataFrame:
 
 
 def applications_tier(interfaces: DataFrame, factory: Callable[[], Model], settings: Settings = Settings()) -> DataFrame:
-    """One verdict an application; a prompt over the budget fails it, as there are no batches here."""
+    """One verdict an application; a prompt over the budget fails it, as there are no batches here, and so does an interface with an error."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("api_index", "signature", "analysis"))), lambda x: F.concat(F.lit("## "), x["signature"], F.lit("\n"), x["analysis"])), "\n\n")
     given = interfaces if "usage" in interfaces.columns else interfaces.withColumn("usage", F.lit(None).cast(USAGE))
-    prompts = given.groupBy("sha256").agg(F.concat(F.lit("TASK: application\nANALYSES:\n"), body).alias("__p"), _total_usage("usage").alias("before"), F.max("error").alias("error"))
+    prompts = given.groupBy("sha256").agg(F.concat(F.lit("TASK: application\nANALYSES:\n"), body).alias("__p"), _total_usage("usage").alias("before"), F.max("error").alias("error") if "error" in given.columns else F.lit(None).cast("string").alias("error"))
+    prompts = prompts.withColumn("__p", F.when(F.col("error").isNull(), F.col("__p")))
     said = answered(prompts, "__p", "__a", factory, settings, json_mode=True).withColumn("error", F.coalesce("error", "__a_error")).withColumn("usage", summed_usage(F.col("before"), F.col("__a_usage")))
     return validated_final(said, "__a").drop("__p", "__a", "__a_error", "__a_usage", "before")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.durable import exists
 from quillon.functions.scalars import HASH, last_match, stem
 
 #: How logs state a verdict (a fixed value).
@@ -12,9 +13,18 @@ LEGACY = r"(?i)Final Prediction:\s*(?:\*\*)?(MALWARE|BENIGN)(?:\*\*)?"
 
 
 def read_results(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """``sha256, prediction`` (0 or 1) of the JSON results of a folder, not of folders below it."""
-    raw = spark.read.option("multiLine", True).schema("prediction string, sha256 string").json(f"{folder.rstrip('/')}/*.json")
-    named = raw.select("*", F.upper(stem(F.col("_metadata.file_name"))).alias("stem"))
+    """``sha256, prediction`` (0 or 1) of the results of a folder.
+
+    A folder that ``analyze`` writes is partitioned by application, and the partition
+    says whose result it is. Other folders hold a JSON file an application, named by
+    its hash; folders below them are not read.
+    """
+    root = folder.rstrip("/")
+    if exists(spark, f"{root}/sha256=*"):
+        named = spark.read.schema("prediction string, sha256 string").json(root).withColumn("stem", F.upper("sha256"))
+    else:
+        raw = spark.read.option("multiLine", True).schema("prediction string, sha256 string").json(f"{root}/*.json")
+        named = raw.select("*", F.upper(stem(F.col("_metadata.file_name"))).alias("stem"))
     key, said = F.upper(F.coalesce("sha256", "stem")), F.upper(F.coalesce("prediction", F.lit("")))
     checked = named.select(
         key.alias("sha256"),
