@@ -50,11 +50,13 @@ CLOSES = {
 }
 SCOPES = frozenset("article aside blockquote body button div fieldset footer form header main nav ol section table td th ul".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:"[^"<]*"|'[^'<]*'|[^<>"'])*|[^<>]*)>|(?P<text>[^<]+|<)""",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Text, and the tag behind it if that is a plain one: no quoted value has an angle bracket.
+_PAIR = re.compile(r"""([^<]*+)(?:<(/?)([a-zA-Z][^\s/<>]*+)([^<>"']*+(?:"[^"<>]*+"[^<>"']*+)*+)>)?""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+#: What ends a tag, or begins a quoted value in it.
+_SPECIAL = re.compile(r"""[<>]|=\s*+["']""")
+#: Elements whose content is no text of the page, and where they end.
+RAW = {n: re.compile(rf"</{n}(?=[\s/>])", re.IGNORECASE) for n in ("script", "style", "noscript", "template", "svg", "iframe", "object")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
@@ -171,6 +173,72 @@ def _place(token: str) -> tuple[int, int]:
     return h % PATH_DIM, 1 if h >> 31 else -1
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, end, name, rest) for each text and each tag, in time linear in the page; comments, declarations and raw elements are skipped.
+
+    A quoted value runs to its closing quote, whatever it holds. A tag that meets another
+    ``<`` before its end, or whose quote is never closed, ends at the next ``>`` before
+    any ``<``; where there is none, its ``<`` is text. One that the page ends in is skipped.
+    """
+    at, n, last = 0, len(page), page.rfind(">")
+    dead: set[int] = set()  # quotes from which no tag comes to its end
+    while at < n:
+        m = _PAIR.match(page, at)
+        text, end, name, rest = m.groups()
+        if text:
+            yield text, "", "", ""
+        begin, at = m.end(1), m.end()
+        if name is None:
+            if begin == n:
+                return
+            if page.startswith("<!--", begin):
+                stop = page.find("-->", begin + 2)
+                at = n if stop < 0 else stop + 3
+                continue
+            if (m := _NAME.match(page, begin)) is None:
+                declared = page.startswith(("<!", "<?", "</"), begin)
+                stop = page.find(">", begin) if declared and begin < last else -1
+            else:
+                end, name = m.groups()
+                stop = _tag_end(page, m.end(), dead)
+            if stop < 0:
+                if begin > last and (m is not None or declared) and page.find("<", begin + 1) < 0:
+                    return
+                yield "<", "", "", ""
+                at = begin + 1
+                continue
+            at = stop + 1
+            if m is None:
+                continue
+            rest = page[m.end() : stop]
+        name = name.lower()
+        if not end and name in RAW:
+            if name == "svg" and rest.endswith("/"):
+                continue
+            close = RAW[name].search(page, at)
+            stop = page.find(">", close.end()) if close else -1
+            at = n if stop < 0 else stop + 1
+            continue
+        yield "", end, name, rest
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag's ``>`` stands, or -1; every quote that fails is looked at once."""
+    begin, seen = at, []
+    while (m := _SPECIAL.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        quote = m.end() - 1
+        if m[0] == "<" or quote in dead or (closing := page.find(page[quote], quote + 1)) < 0:
+            seen.append(quote)
+            break
+        seen.append(quote)
+        at = closing + 1
+    dead.update(seen)
+    other = page.find("<", begin)
+    return page.find(">", begin, other) if other >= 0 else page.find(">", begin)
+
+
 def blocks(page: str | None, known: dict | None = None) -> list[Block]:
     """The blocks of a page in its order, white space made one space; ``known`` keeps what elements of earlier pages add to a path."""
     out: list[Block] = []
@@ -191,24 +259,20 @@ def blocks(page: str | None, known: dict | None = None) -> list[Block]:
             held.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page or ""):
-        if (text := m["text"]) is not None:
+    for text, end, name, rest in tokens(page or ""):
+        if text:
             if not held:
                 element, vector = path.top, path.vector()
             held.append(text)
             linked += len(text) if path.open.get("a") else 0
             continue
-        if m["name"] is None:
-            continue
-        name = m["name"].lower()
         if name not in INLINE:
             end_block()
-        if m["end"]:
+        if end:
             path.end(name)
         elif name not in VOID:
             for closed in CLOSES.get(name, ()):
                 path.close(closed)
-            rest = m["rest"]
             more = [v for x in _NAMES.findall(rest) for v in "".join(x).lower().split()] if "=" in rest else []
             path.push(name, (name, *(f".{v}" for v in more)))
     end_block()
