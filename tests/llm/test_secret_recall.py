@@ -21,6 +21,8 @@ ALPHABETS = {
     "lower letters": (string.ascii_lowercase, (24, 40)),
     "digits": (string.digits, (24, 40)),
 }
+#: Of these fewer have to be found.
+SHORT = {"lower letters": (string.ascii_lowercase, (12, 14, 16, 20, 23)), "upper letters": (string.ascii_uppercase, (12, 14, 16, 20, 23)), "digits": (string.digits, (12, 14, 16, 20, 23)), "letters": (string.ascii_letters, (12, 16, 20)), "upper hex": ("0123456789ABCDEF", (12, 16, 20))}
 
 
 @pytest.mark.parametrize("alphabet,n", [(a, n) for a, (_, sizes) in ALPHABETS.items() for n in sizes])
@@ -36,6 +38,31 @@ def test_recall_of_planted_secrets(alphabet, n):
     assert found >= 0.95 * TRIALS
 
 
+@pytest.mark.parametrize("alphabet,n", [(a, n) for a, (_, sizes) in SHORT.items() for n in sizes])
+def test_recall_of_short_secrets_of_one_kind_of_characters(alphabet, n):
+    rng = random.Random(f"short {alphabet} {n}")
+    found = 0
+    for _ in range(TRIALS):
+        token = "".join(rng.choice(SHORT[alphabet][0]) for _ in range(n))
+        before = " ".join(rng.choice(WORDS) for _ in range(40))
+        text = f"{before} curl -H 'Authorization: Bearer {token}' a || curl -H 'Authorization: Bearer {token}' b"
+        found += sum(k == "novel" and text[a:b] == token for k, a, b in secrets.all_spans(text)) == 2
+    assert found >= 0.9 * TRIALS
+
+
+def test_few_names_of_code_are_reported():
+    """Names of this language's own library, none of which the letter model has seen as such."""
+    import argparse, ast, asyncio, collections, decimal, email.message, http.client, inspect, logging.handlers, os, socket, ssl, subprocess, tarfile, typing, unittest, urllib.request, zipfile  # noqa: E401
+
+    names: set[str] = set()
+    for module in (argparse, ast, asyncio, collections, decimal, email.message, http.client, inspect, logging.handlers, os, socket, ssl, subprocess, tarfile, typing, unittest, urllib.request, zipfile):
+        for key, value in vars(module).items():
+            names |= {key, *(vars(value) if isinstance(value, type) else ())}
+    names = sorted(n for n in names if len(n) >= 12)
+    reported = [n for n in names if secrets.all_spans(f"the token {n} is a name")]
+    assert len(names) > 1000 and len(reported) <= 0.06 * len(names)
+
+
 @pytest.mark.parametrize(
     "text",
     [
