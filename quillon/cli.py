@@ -51,7 +51,7 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--threshold", type=float, default=0.5)
     analyze.add_argument("--budget", type=int, default=120_000, help="tokens of a prompt")
     analyze.add_argument("--concurrency", type=int, default=5, help="requests at a time")
-    analyze.add_argument("--interval", type=float, default=0.0, help="seconds before each request")
+    analyze.add_argument("--interval", type=float, default=0.0, help="seconds between the starts of any two requests")
     analyze.add_argument("--timeout", type=float, default=120.0, help="seconds of a request")
     analyze.add_argument("--overwrite", action="store_true", help="compute again what has a result of this configuration")
     analyze.add_argument("--refuse-others", action="store_true", help="end with an error if a target has a result of another configuration, in place of replacing it")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import concurrent.futures
 import json
+import math
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ class Settings:
     attempts: int = 6
     least_wait: float = 1.0
     most_wait: float = 60.0
-    interval: float = 0.0
+    interval: float = 0.0  # seconds between the starts of any two requests, whichever task makes them
     timeout: float | None = 120.0  # seconds of one request
     concurrency: int | None = 5  # tasks that ask at a time, one request each
 
@@ -55,6 +57,8 @@ class Settings:
             raise ValueError(f"unknown mode {self.mode!r}")
         if self.budget < 1 or self.attempts < 1 or self.interval < 0 or not 0 <= self.least_wait <= self.most_wait:
             raise ValueError("budget and attempts are positive, waits are in order")
+        if self.interval and not self.concurrency:
+            raise ValueError("an interval between requests needs a number of tasks")
         if (self.timeout is not None and self.timeout <= 0) or (self.concurrency is not None and self.concurrency < 1):
             raise ValueError("timeout and concurrency are positive")
 
@@ -86,15 +90,19 @@ def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Mode
     Null prompts are not asked. A prompt over the budget is not sent. Transient errors
     and requests that take too long are tried again after a random, growing wait; an
     empty answer is an error. The calls of one task are one after another, so the
-    number of tasks bounds how many run at a time. The usage is what the model says of
-    its last call (``usage``: tokens in and out), else an estimate.
+    number of tasks bounds how many run at a time. With an interval, time is divided
+    into slots of that length, of which each task has every n-th: so any two requests
+    start an interval apart without the tasks knowing of each other, as long as their
+    clocks agree. The usage is what the model says of its last call (``usage``: tokens
+    in and out), else an estimate.
     """
     error, usage = f"{answer}_error", f"{answer}_usage"
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
+        pace = Pace(settings.interval, TaskContext.get().partitionId(), settings.concurrency or 1)
         for frame in frames:
-            said = [_ask(model, p, json_mode, settings) for p in frame["prompt"]]
+            said = [_ask(model, p, json_mode, settings, pace) for p in frame["prompt"]]
             yield pd.DataFrame({"prompt": frame["prompt"], answer: [s[0] for s in said], error: [s[1] for s in said], "input": [s[2] for s in said], "output": [s[3] for s in said]})
 
     asked = df.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct()
@@ -108,10 +116,27 @@ def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Mode
     return df.join(within.unionByName(over).withColumnRenamed("prompt", "__asked"), F.col(prompt) == F.col("__asked"), "left").drop("__asked")
 
 
-def _ask(model: Model, prompt: str, json_mode: bool, settings: Settings) -> tuple[str | None, str | None, int | None, int | None]:
+class Pace:
+    """Lets a task start a request in its own slots only: those whose number has the task's remainder."""
+
+    def __init__(self, interval: float, task: int, tasks: int) -> None:
+        self.interval, self.task, self.tasks, self.last = interval, task % tasks, tasks, -1
+
+    def next_slot(self, now: float) -> int:
+        """The first own slot that has not begun before ``now`` and not been used."""
+        slot = max(math.ceil(now / self.interval), self.last + 1)
+        return slot + (self.task - slot) % self.tasks
+
+    def wait(self) -> None:
+        if self.interval:
+            self.last = self.next_slot(time.time())
+            time.sleep(max(0.0, self.last * self.interval - time.time()))
+
+
+def _ask(model: Model, prompt: str, json_mode: bool, settings: Settings, pace: Pace) -> tuple[str | None, str | None, int | None, int | None]:
     for attempt in range(settings.attempts):
         try:
-            time.sleep(settings.interval)
+            pace.wait()
             if text := _timely(lambda: model.complete(prompt, json_mode), settings.timeout):
                 tokens = getattr(model, "usage", None) or (None, None)
                 return text, None, *tokens
