@@ -63,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
     _targets(walk)
     walk.add_argument("--hops", "--k", type=int, default=1, help="callers' callers after all variables are resolved")
     walk.add_argument("--timeout", type=float, default=900.0, help="seconds of a method")
+    walk.add_argument("--neighbourhoods", action="store_true", help="with --api-list: the call graphs within so many hops of each interface in place of slices")
     walk.add_argument("--export", help="a folder for the files of the slices, one by one")
     walk.add_argument("--overwrite", action="store_true")
 
@@ -169,11 +170,14 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
 def slice_(spark: SparkSession, a: argparse.Namespace) -> int:
     """1 if a sample failed; the report says which, and what became of the others."""
     from quillon.operators import contexts, slicing
+    from quillon.operators.neighbourhoods import neighbourhood_files
 
     if a.hops < 0:
         raise ValueError("hops are not negative")
     if a.timeout <= 0:
         raise ValueError("the timeout is positive")
+    if a.neighbourhoods and not a.api_list:
+        raise ValueError("neighbourhoods need a list of interfaces")
     names = ["method", "unit", "ref", "cfg", "calls", *([] if a.api_list else ["roots"])]
     t = {n: spark.read.parquet(f"{a.program}/{n}") for n in names}
     if not a.api_list:
@@ -187,6 +191,12 @@ def slice_(spark: SparkSession, a: argparse.Namespace) -> int:
     done = artefacts.read_artefacts(spark, root).select("sha256").distinct() if exists(spark, f"{root}/sha256=*") else keys.limit(0)
     wanted = durable(predictions.to_do(keys, done, overwrite=a.overwrite))
     features = splits.read_api_list(spark, a.api_list).withColumnsRenamed({"method": "name"})
+    if a.neighbourhoods:
+        made = neighbourhood_files(method.join(keys, "sha256", "left_semi"), t["unit"], t["calls"], features, a.hops)
+        made.files.write.mode("overwrite").partitionBy("sha256").parquet(f"{a.output}/neighbourhoods")
+        sinks.write_report(made.report.withColumnRenamed("sha256", "apk"), f"{a.output}/slicing-report")
+        print(json.dumps({r["status"]: r["count"] for r in made.report.groupBy("status").count().collect()}, sort_keys=True))
+        return 0
     made = contexts.contexts(method.join(wanted, "sha256", "left_semi"), t["unit"], t["ref"], t["cfg"], t["calls"], features, a.hops, a.timeout)
     skipped = keys.join(wanted, "sha256", "left_anti").withColumns({"status": F.lit("skipped"), "slice_count": F.lit(None).cast("long"), "duration_seconds": F.lit(0.0), "error": F.lit("there is a result")})
     missing = wanted.join(method.select("sha256"), "sha256", "left_anti").withColumns({"status": F.lit("error"), "slice_count": F.lit(None).cast("long"), "duration_seconds": F.lit(0.0), "error": F.lit("no such program")})

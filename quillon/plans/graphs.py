@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillon.operators import graph as G
 from quillon.operators.components import components
+from quillon.operators.neighbourhoods import neighbourhoods
 from quillon.plans.registry import query
 from quillon.plans.scoring import table
 
@@ -104,3 +105,36 @@ def chain_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridge_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, edges = _chain(spark, sf_dir)
     return G.bridged(edges, events.where("event_type <> 'view'").select(F.col("event_id").alias("node")))
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A graph for each user: an event leads to the next one and, after a click, to the third next; the first event of each type is searched."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    ahead = events.select("user_id", "event_type", F.col("event_id").alias("src"), F.lead("event_id", 1).over(w).alias("one"), F.lead("event_id", 3).over(w).alias("three"))
+    next_ = ahead.select("user_id", "src", F.col("one").alias("dst")).unionByName(ahead.where("event_type = 'click'").select("user_id", "src", F.col("three").alias("dst")))
+    first = events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("user_id", "event_type", F.col("f.event_id").alias("node"))
+    return next_.where("dst IS NOT NULL"), first, events.where("event_type = 'view'").select("user_id", F.col("event_id").alias("node"))
+
+
+@query("""
+    WITH RECURSIVE ahead AS (SELECT user_id AS g, event_type AS t, event_id AS src, lead(event_id, 1) OVER w AS one, lead(event_id, 3) OVER w AS three FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    edges AS (SELECT g, src, one AS dst FROM ahead WHERE one IS NOT NULL UNION SELECT g, src, three FROM ahead WHERE t = 'click' AND three IS NOT NULL),
+    ways AS (SELECT g, src AS a, dst AS b FROM edges UNION SELECT g, dst, src FROM edges),
+    roots AS (SELECT user_id AS g, event_type AS key, first(event_id ORDER BY ts, event_id) AS root FROM events GROUP BY user_id, event_type),
+    hood(g, key, node, depth) AS (SELECT g, key, root, 0 FROM roots UNION SELECT h.g, h.key, b, depth + 1 FROM hood h JOIN ways w ON w.g = h.g AND w.a = h.node WHERE depth < 3),
+    nodes AS (SELECT DISTINCT g, key, node FROM hood),
+    kept AS (
+        SELECT s.g, s.key, e.src, e.dst FROM edges e JOIN nodes s ON s.g = e.g AND s.node = e.src JOIN nodes d ON d.g = e.g AND d.key = s.key AND d.node = e.dst
+        JOIN roots r ON r.g = s.g AND r.key = s.key WHERE e.dst = r.root OR e.src NOT IN (SELECT event_id FROM events WHERE event_type = 'view')),
+    ends AS (SELECT g, key, src AS node FROM kept UNION SELECT g, key, dst FROM kept),
+    paths AS (SELECT g, key, src AS a, dst AS b FROM kept UNION SELECT g, key, dst, src FROM kept),
+    reach(g, key, node) AS (SELECT g, key, root FROM roots JOIN ends USING (g, key) WHERE node = root UNION SELECT r.g, r.key, b FROM reach r JOIN paths x ON x.g = r.g AND x.key = r.key AND x.a = r.node),
+    whole AS (SELECT g, key FROM (SELECT g, key, count(*) AS n FROM ends GROUP BY g, key) JOIN (SELECT g, key, count(*) AS m FROM reach GROUP BY g, key) USING (g, key) WHERE n = m)
+    SELECT g AS user_id, key AS event_type, src, dst FROM kept JOIN whole USING (g, key)
+""")
+def keyed_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pruned and connected neighbourhoods of all users and types at once."""
+    edges, roots, third = _sessions(spark, sf_dir)
+    found = neighbourhoods(edges, roots, third, k=2, graph=["user_id"], key=["user_id", "event_type"])
+    return found.select("user_id", "event_type", "src", "dst")
