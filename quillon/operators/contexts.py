@@ -16,6 +16,7 @@ from quillon.durable import durable
 from quillon.functions.relations import file_text
 from quillon.operators import graph as G
 from quillon.operators import slicing
+from quillon.operators.blocks import basic_blocks
 
 KEY = ["sha256", "api_index", "instance"]
 
@@ -32,15 +33,18 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
 
 
-def dot_files(nodes: DataFrame, edges: DataFrame, by: list[str], title: str) -> DataFrame:
+def dot_files(nodes: DataFrame, edges: DataFrame, by: list[str], title: str, isolated: bool = False) -> DataFrame:
     """``*by, content``: graphs as DOT text from ``*by, node, label`` and ``*by, src, dst`` (of nodes).
 
-    Nodes without an edge are not drawn in a graph of several nodes. A graph is that
-    of one method or one call graph, so its lines are few.
+    Nodes without an edge are not drawn in a graph of several nodes, unless they are
+    asked for with ``isolated``. A graph is that of one method or one call graph, so its
+    lines are few.
     """
-    count = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
-    ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("joined", F.lit(True))
-    drawn = nodes.join(count, by).join(ends, [*by, "node"], "left").where("joined OR n_nodes = 1")
+    drawn = nodes
+    if not isolated:
+        count = nodes.groupBy(*by).agg(F.count("*").alias("n_nodes"))
+        ends = edges.select(*by, F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("joined", F.lit(True))
+        drawn = nodes.join(count, by).join(ends, [*by, "node"], "left").where("joined OR n_nodes = 1")
     label = nodes.select(*by, "node", _quoted(F.col("label")).alias("label"))
     arrows = edges.join(label.withColumnsRenamed({"node": "src", "label": "s"}), [*by, "src"]).join(label.withColumnsRenamed({"node": "dst", "label": "d"}), [*by, "dst"])
     lines = drawn.select(*by, F.lit(0).alias("o"), F.concat(_quoted(F.col("label")), F.lit(";")).alias("line"))
@@ -75,7 +79,7 @@ def contexts(method: DataFrame, unit: DataFrame, ref: DataFrame, cfg: DataFrame,
     good = found.join(report.where("status = 'ok'").select("sha256"), "sha256", "left_semi")
 
     texts = unit.select(F.col("unit_id").alias("unit"), "text")
-    files = [_slice_graphs(good, texts), _call_graphs(good, edges.select(*key, "src", "dst"), features), _relations(good), *_methods(good, packed, unit, texts)]
+    files = [_slice_graphs(good, texts), _call_graphs(good, edges.select(*key, "src", "dst"), features), _relations(good), *_methods(good, unit, cfg)]
     rows = None
     for f in files:
         rows = f if rows is None else rows.unionByName(f)
@@ -114,15 +118,14 @@ def _relations(good: DataFrame) -> DataFrame:
     return _file(good.withColumn("content", F.when(lines == "", lines).otherwise(F.concat(lines, F.lit("\n")))), "Relation", F.concat("name", F.lit(".txt")))
 
 
-def _methods(good: DataFrame, packed: DataFrame, unit: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The control flow of each sliced method as a graph of its blocks, and its text."""
+def _methods(good: DataFrame, unit: DataFrame, cfg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The control flow of each sliced method as a graph of all its blocks, and its text."""
     where = good.select(*KEY, "method_id", "method_key").distinct()
-    wanted = packed.join(where.select("method_id").distinct(), "method_id", "left_semi")
-    found = durable(slicing.block_graphs(wanted))
-    blocks = found.select("method_id", F.posexplode("blocks").alias("node", "units")).select("method_id", "node", F.posexplode("units").alias("at", "unit")).join(texts, "unit")
+    wanted = durable(where.select("method_id").distinct())
+    placed, edges = basic_blocks(unit.join(wanted, "method_id", "left_semi").select("method_id", "unit_id", "ordinal", "text"), cfg.join(wanted, "method_id", "left_semi"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
-    nodes = blocks.groupBy("method_id", "node").agg(text.alias("text")).select("method_id", "node", _labelled(F.col("text"), F.col("node")).alias("label"))
-    drawn = dot_files(nodes, found.select("method_id", F.explode("edges").alias("e")).select("method_id", "e.*").distinct(), ["method_id"], "cfg")
+    nodes = placed.groupBy("method_id", F.col("block").alias("node")).agg(text.alias("text")).select("method_id", "node", _labelled(F.col("text"), F.col("node")).alias("label"))
+    drawn = dot_files(nodes, edges, ["method_id"], "cfg", isolated=True)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "unit_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "\n")
     bodies = unit.join(where.select("method_id").distinct(), "method_id", "left_semi").groupBy("method_id").agg(lines.alias("content"))
     return _file(where.join(drawn, "method_id"), "cfg", F.concat("method_key", F.lit(".dot"))), _file(where.join(bodies, "method_id"), "code", F.concat("method_key", F.lit(".jimple")))

@@ -151,19 +151,6 @@ class Method:
                     queue.extend(self.after.get(at, ()))
         return edges
 
-    def blocks(self) -> tuple[list[list[int]], list[tuple[int, int]]]:
-        """Runs of units that control enters at the first and leaves at the last, and the edges between their numbers."""
-        out: list[list[int]] = []
-        of: dict[int, int] = {}
-        for unit in self.kind:
-            before = self.before.get(unit, ())
-            if out and list(before) == [out[-1][-1]] and len(self.after[out[-1][-1]]) == 1:
-                out[-1].append(unit)
-            else:
-                out.append([unit])
-            of[unit] = len(out) - 1
-        return out, [(k, of[u]) for k, block in enumerate(out) for u in self.after.get(block[-1], ()) if u in of]
-
     @property
     def head(self) -> int | None:
         return next(iter(self.kind), None)
@@ -208,20 +195,6 @@ def sliced(methods: DataFrame, targets: DataFrame, timeout: float | None = None)
     return targets.select("method_id", "target").join(methods, "method_id").mapInPandas(run, _SLICED)
 
 
-def block_graphs(methods: DataFrame) -> DataFrame:
-    """``method_id, blocks, edges``: the basic blocks of each method, as arrays of units, and the edges between their numbers."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
-                blocks, edges = Method(r.units, (), r.cfg if r.cfg is not None else ()).blocks()
-                rows.append((r.method_id, blocks, [{"src": a, "dst": b} for a, b in edges]))
-            yield pd.DataFrame(rows, columns=["method_id", "blocks", "edges"])
-
-    return methods.select("method_id", "units", "cfg").mapInPandas(run, "method_id long, blocks array<array<long>>, edges array<struct<src:int,dst:int>>")
-
-
 def callsites(unit: DataFrame, searched: DataFrame) -> DataFrame:
     """``method_id, target, signature``: units that invoke a searched signature, overloads apart."""
     return unit.select("method_id", F.col("unit_id").alias("target"), F.col("invoked").alias("signature")).join(searched.select("signature"), "signature", "left_semi")

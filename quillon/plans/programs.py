@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quillon.functions.relations import formatted
 from quillon.operators import slicing
+from quillon.operators.blocks import basic_blocks
 from quillon.operators.verdict import RuleModel, Settings, applications_tier, functions_tier, interfaces_tier
 from quillon.plans.graphs import _EDGES, _edges
 from quillon.plans.registry import query
@@ -149,3 +150,33 @@ def tiers_to_the_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     interfaces = interfaces_tier(functions_tier(docs, model, settings), model, settings)
     return applications_tier(interfaces, model, settings).select("sha256", "prediction", F.get("key_findings", F.lit(0)).alias("finding"))
+
+
+@query(f"""
+    WITH u AS (SELECT l_orderkey AS m, row_number() OVER w AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, l_quantity > 45 AS jumps, l_returnflag = 'R' AS ends, l_linenumber % 3 = 0 AS loops FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ORDER})),
+    flow AS (
+        SELECT m, i AS src, i + 1 AS dst FROM u WHERE i < n AND NOT ends UNION ALL SELECT m, i, i + 2 FROM u WHERE i + 2 <= n AND jumps UNION ALL SELECT m, i, 1 FROM u WHERE loops AND i > 1),
+    led AS (
+        SELECT m, i, CASE WHEN (SELECT count(*) FROM flow f WHERE f.m = u.m AND f.dst = u.i) = 1 AND (SELECT min(src) FROM flow f WHERE f.m = u.m AND f.dst = u.i) = i - 1
+            AND (SELECT count(*) FROM flow f WHERE f.m = u.m AND f.src = u.i - 1) = 1 THEN 0 ELSE 1 END AS leads FROM u),
+    placed AS (SELECT m, i, sum(leads) OVER (PARTITION BY m ORDER BY i) - 1 AS block FROM led),
+    units AS (SELECT m, block, string_agg(i, ',' ORDER BY i) AS units, max(i) AS last FROM placed GROUP BY m, block),
+    onward AS (SELECT DISTINCT units.m, units.block, d.block AS dst FROM units JOIN flow ON flow.m = units.m AND flow.src = units.last JOIN placed d ON d.m = flow.m AND d.i = flow.dst)
+    SELECT units.m AS o_orderkey, CAST(units.block AS INTEGER) AS block, units, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM onward o WHERE o.m = units.m AND o.block = units.block), '') AS successors FROM units
+""")
+def block_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a method with jumps, ends and loops: its blocks, those that nothing reaches among them."""
+    w = Window.partitionBy("l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
+    at = line.select(F.col("l_orderkey").alias("method_id"), F.row_number().over(w.orderBy(*_ORDER.split(", "))).cast("long").alias("unit_id"), F.count("*").over(w).alias("n"), (F.col("l_quantity") > 45).alias("jumps"), (F.col("l_returnflag") == "R").alias("ends"), (F.col("l_linenumber") % 3 == 0).alias("loops"))
+    i = F.col("unit_id")
+    ways = F.array(F.when((i < F.col("n")) & ~F.col("ends"), i + 1), F.when((i + 2 <= F.col("n")) & F.col("jumps"), i + 2), F.when(F.col("loops") & (i > 1), F.lit(1).cast("long")))
+    flow = at.select("method_id", i.alias("src"), F.explode(F.filter(ways, lambda x: x.isNotNull())).alias("dst"))
+    placed, edges = basic_blocks(at.select("method_id", "unit_id", i.alias("ordinal")), flow)
+
+    def joined(c: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x.cast("string")), ",")
+
+    units = placed.groupBy("method_id", "block").agg(joined("unit_id").alias("units"))
+    onward = edges.groupBy("method_id", F.col("src").alias("block")).agg(joined("dst").alias("successors"))
+    return units.join(onward, ["method_id", "block"], "left").select(F.col("method_id").alias("o_orderkey"), "block", "units", F.coalesce("successors", F.lit("")).alias("successors"))

@@ -8,6 +8,7 @@ from test_sources import A, B, write
 
 from quillon import cli
 from quillon.operators import contexts, slicing
+from quillon.operators.blocks import basic_blocks
 from quillon.sources import artefacts
 
 METHOD = "method_id long, sha256 string, class string, name string, signature string, n_params int, has_body boolean"
@@ -97,9 +98,27 @@ def test_a_method_that_takes_too_long_has_an_error(spark):
 
 
 def test_blocks(spark):
-    units = [{"unit_id": u, "ordinal": u, "kind": "if" if u == 2 else "assign"} for u in range(1, 7)]
-    m = slicing.Method(units, (), [{"src": a, "dst": b, "ordinal": k} for k, (a, b) in enumerate([(1, 2), (2, 3), (2, 5), (3, 4), (4, 6), (5, 6)])])
-    assert m.blocks() == ([[1, 2], [3, 4], [5], [6]], [(0, 1), (0, 2), (1, 3), (2, 3)])
+    unit = [(m, u, u) for m in (1, 2) for u in range(1, 7)] + [(3, 1, 0), (3, 9, 1)]
+    flow = [(m, a, b) for m in (1, 2) for a, b in [(1, 2), (2, 3), (2, 5), (3, 4), (4, 6), (5, 6)]] + [(2, 6, 1), (2, 1, 99), (3, 1, 9), (3, 1, 9)]
+    placed, edges = basic_blocks(spark.createDataFrame(unit, "method_id long, unit_id long, ordinal int"), spark.createDataFrame(flow, "method_id long, src long, dst long"))
+    blocks = {}
+    for r in placed.orderBy("method_id", "block", "at").collect():
+        blocks.setdefault(r.method_id, {}).setdefault(r.block, []).append(r.unit_id)
+    assert blocks[1] == {0: [1, 2], 1: [3, 4], 2: [5], 3: [6]}
+    assert blocks[2] == {0: [1], 1: [2], 2: [3, 4], 3: [5], 4: [6]}  # an edge out of the method parts units 1 and 2
+    assert blocks[3] == {0: [1], 1: [9]}  # two edges between them
+    got = {(r.method_id, r.src, r.dst) for r in edges.collect()}
+    assert got == {(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3), (2, 0, 1), (2, 1, 2), (2, 1, 3), (2, 2, 4), (2, 3, 4), (2, 4, 0), (3, 0, 1)}
+
+
+def test_a_block_that_nothing_reaches_is_drawn(spark):
+    p = program(spark)
+    p["unit"][0].append((1, 16, 6, "return", None, "return late"))
+    t = frames(spark, p)
+    features = spark.createDataFrame([(3, "os.Sms", "send")], "api_index int, class string, name string")
+    made = contexts.contexts(t["method"], t["unit"], t["ref"], t["cfg"], t["calls"], features)
+    (r,) = made.files.where("kind = 'cfg' AND instance = '0' AND name LIKE '%void f%'").collect()
+    assert '"return late---3"' in r.content and r.content.count("->") == 3
 
 
 def walked(methods, calls, sites, root, hops):
