@@ -13,14 +13,16 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.durable import durable
+from quillon.durable import durable, ensure_checkpoint_dir, remove
 from quillon.functions.scalars import signature_key
 from quillon.operators.ordering import callsite_names, numbered
 
@@ -221,6 +223,51 @@ def interface_roots(features: DataFrame, method: DataFrame, unit: DataFrame, cal
     return numbered(successful, key, ["src"], "instance", first=0).select(*key, "instance", F.col("src").alias("method_id"), "signature")
 
 
+@dataclass
+class Program:
+    """A program laid out for the walk: both tables bucketed by ``method_id``, so that a round shuffles its frontier alone.
+
+    ``methods``: a method's packed parts, its call sites (target, at, searched), signature,
+    key, n_params. ``callers``: for each called method its callers with a body, and their keys.
+    """
+
+    methods: DataFrame
+    callers: DataFrame
+    folder: str
+    names: tuple[str, str]
+
+    def gone(self) -> None:
+        """Forgets the tables and deletes their files, once nothing reads them."""
+        spark = self.methods.sparkSession
+        for name in self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, self.folder)
+
+
+def stored_program(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame) -> Program:
+    """Writes the program once, in as many buckets as shuffles have partitions; the tables' names are unique."""
+    spark = methods.sparkSession
+    ident = uuid.uuid4().hex
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/program-{ident}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sites = unit.where("invoked IS NOT NULL").groupBy("method_id").agg(F.collect_list(F.struct(F.col("unit_id").alias("target"), F.col("ordinal").alias("at"), F.col("invoked").alias("searched"))).alias("sites"))
+    info = method.select("method_id", "signature", signature_key(F.col("signature")).alias("key"), "n_params")
+    whole = info.join(methods, "method_id", "left").join(sites, "method_id", "left")
+    caller = method.where("has_body").select(F.col("method_id").alias("caller"), signature_key(F.col("signature")).alias("caller_key"))
+    callers = calls.select(F.col("src").alias("caller"), F.col("dst").alias("method_id")).distinct().join(caller, "caller")
+    names = (f"program_methods_{ident}", f"program_callers_{ident}")
+    for name, rows in zip(names, (whole, callers), strict=True):
+        rows.repartition(buckets, "method_id").write.format("parquet").bucketBy(buckets, "method_id").sortBy("method_id").option("path", f"{folder}/{name}").saveAsTable(name)
+    return Program(spark.table(names[0]), spark.table(names[1]), folder, names)
+
+
+def call_sites(program: Program, frontier: DataFrame) -> DataFrame:
+    """The rows of the frontier (method_id, searched) with each call site (target, at) of what is searched."""
+    here = frontier.join(program.methods.select("method_id", "sites"), "method_id")
+    site = F.explode(F.filter("sites", lambda s: s["searched"] == F.col("searched")))
+    return here.withColumn("__site", site).select(*frontier.columns, "__site.target", "__site.at")
+
+
 def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame, roots: DataFrame, hops: int = 1, rounds: int = 1000, timeout: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Slices of the roots' call sites and of their callers' ones.
 
@@ -235,18 +282,24 @@ def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: Data
     (instance, src, dst). The walk is by rounds over sets, so where several paths lead
     to a method the one with the most hops left counts.
     """
-    info = method.select("method_id", "signature", signature_key(F.col("signature")).alias("key"), "n_params", "has_body")
-    called = unit.where("invoked IS NOT NULL").select("method_id", F.col("unit_id").alias("target"), F.col("ordinal").alias("at"), F.col("invoked").alias("searched"))
-    callers = calls.select(F.col("src").alias("caller"), F.col("dst").alias("method_id")).distinct()
-    caller = info.where("has_body").select(F.col("method_id").alias("caller"), F.col("key").alias("caller_key"))
+    program = stored_program(methods, unit, method, calls)
+    try:
+        return _walk(program, roots, hops, rounds, timeout)
+    finally:
+        program.gone()  # slices and edges are in durable frames
+
+
+def _walk(program: Program, roots: DataFrame, hops: int, rounds: int, timeout: float | None) -> tuple[DataFrame, DataFrame]:
+    info = program.methods.select("method_id", "signature", "key", "n_params")
+    packed = program.methods.select("method_id", "units", "refs", "cfg")
     frontier = durable(roots.select("instance", "method_id", F.col("signature").alias("searched"), F.lit(hops).alias("hops"), F.lit(True).alias("resolving")).distinct().join(info.select("method_id", "key"), "method_id"))
     slices = edges = nodes = None
     for step in range(rounds):
-        sites = frontier.join(called, ["method_id", "searched"])
+        sites = durable(call_sites(program, frontier))
         best = F.max(F.struct("resolving", "hops", "searched", "method_id"))
         taken = durable(sites.groupBy("instance", "key").agg(best.alias("t")).select("instance", "key", "t.method_id", "t.searched"))
         named = callsite_names(sites.join(taken, ["instance", "key", "method_id", "searched"], "left_semi"), ["instance", "method_id"], ["at", "target"], "key", "name")
-        done = durable(named.join(sliced(methods, named.select("method_id", "target").distinct(), timeout), ["method_id", "target"]))
+        done = durable(named.join(sliced(packed, named.select("method_id", "target").distinct(), timeout), ["method_id", "target"]))
         found = done.select("instance", "method_id", "key", "target", "name", "relations", "slice", "graph", "seconds", "error")
         slices = found if slices is None else slices.unionByName(found)
         entered = taken.select("instance", "key")
@@ -257,7 +310,7 @@ def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: Data
         state = done.groupBy("instance", "method_id", "hops", "resolving").agg(F.max("open").alias("open")).join(info, "method_id")
         free = F.col("resolving") & F.col("open") & (F.col("n_params") > 0)
         onward = state.withColumn("resolving", free).withColumn("hops", F.when(free, F.col("hops")).otherwise(F.col("hops") - 1)).where("hops >= 0")
-        up = durable(onward.join(callers, "method_id").join(caller, "caller").select("instance", F.col("caller").alias("method_id"), F.col("caller_key").alias("key"), F.col("signature").alias("searched"), "hops", "resolving"))
+        up = durable(onward.join(program.callers, "method_id").select("instance", F.col("caller").alias("method_id"), F.col("caller_key").alias("key"), F.col("signature").alias("searched"), "hops", "resolving"))
         known = up.join(nodes, ["instance", "key"], "left_semi").select("instance", F.col("key").alias("src"), signature_key(F.col("searched")).alias("dst"))
         edges = known if edges is None else edges.unionByName(known)
         new = up.join(nodes, ["instance", "key"], "left_anti")
