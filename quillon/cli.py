@@ -62,7 +62,7 @@ def parser() -> argparse.ArgumentParser:
     walk.add_argument("--api-list", help="a list of interfaces, one class;->name a line: slices of all their callers, as the tables that analyze reads")
     _targets(walk)
     walk.add_argument("--hops", "--k", type=int, default=1, help="callers' callers after all variables are resolved")
-    walk.add_argument("--timeout", type=float, default=900.0, help="seconds of a method")
+    walk.add_argument("--timeout", type=float, default=900.0, help="seconds of a sample")
     walk.add_argument("--neighbourhoods", action="store_true", help="with --api-list: the call graphs within so many hops of each interface in place of slices")
     walk.add_argument("--export", help="a folder for the files of the slices, one by one")
     walk.add_argument("--overwrite", action="store_true")

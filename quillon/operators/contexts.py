@@ -62,17 +62,19 @@ def contexts(method: DataFrame, unit: DataFrame, ref: DataFrame, cfg: DataFrame,
 
     A sample without slices has no files. One with an error has none either, and the
     error in its report: ``sha256, status`` (ok, zero-slice, error), ``slice_count`` (instances
-    over all interfaces), ``duration_seconds, error``.
+    over all interfaces), ``duration_seconds, error``. ``timeout`` bounds the seconds that all
+    slices of a sample take; a sample that needs more has an error, others go on.
     """
     roots = durable(slicing.interface_roots(features, method, unit, calls))
     named = roots.withColumn("instance_id", F.concat_ws("/", *KEY))
     packed = slicing.packed_methods(unit, ref, cfg)
-    slices, edges = slicing.backward(packed, unit, method, calls, named.select(F.col("instance_id").alias("instance"), "method_id", "signature"), hops, timeout=timeout)
+    slices, edges = slicing.backward(packed, unit, method, calls, named.select(F.col("instance_id").alias("instance"), "method_id", "signature"), hops, timeout=timeout, owner=F.substring_index("instance", "/", 1))
     part = F.split("instance", "/")
     key = [part[0].alias("sha256"), part[1].cast("int").alias("api_index"), part[2].alias("instance")]
     found = durable(slices.select(*key, "method_id", F.col("key").alias("method_key"), "name", "relations", "slice", "graph", "seconds", "error"))
 
-    totals = found.groupBy("sha256").agg(F.countDistinct("api_index", "instance").alias("slice_count"), F.round(F.sum("seconds"), 3).alias("duration_seconds"), F.max("error").alias("error"))
+    over = F.when(F.sum("seconds") > timeout, "the time of the sample is over") if timeout else F.lit(None).cast("string")
+    totals = found.groupBy("sha256").agg(F.countDistinct("api_index", "instance").alias("slice_count"), F.round(F.sum("seconds"), 3).alias("duration_seconds"), F.coalesce(F.max("error"), over).alias("error"))
     status = F.when(F.col("error").isNotNull(), "error").when(F.coalesce("slice_count", F.lit(0)) == 0, "zero-slice").otherwise("ok")
     report = method.select("sha256").distinct().join(totals, "sha256", "left").withColumn("status", status)
     report = durable(report.select("sha256", "status", F.when(F.col("status") != "error", F.coalesce("slice_count", F.lit(0))).alias("slice_count"), F.coalesce("duration_seconds", F.lit(0.0)).alias("duration_seconds"), "error"))

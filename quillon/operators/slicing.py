@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.durable import durable, ensure_checkpoint_dir, remove
@@ -268,7 +268,7 @@ def call_sites(program: Program, frontier: DataFrame) -> DataFrame:
     return here.withColumn("__site", site).select(*frontier.columns, "__site.target", "__site.at")
 
 
-def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame, roots: DataFrame, hops: int = 1, rounds: int = 1000, timeout: float | None = None) -> tuple[DataFrame, DataFrame]:
+def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: DataFrame, roots: DataFrame, hops: int = 1, rounds: int = 1000, timeout: float | None = None, owner: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Slices of the roots' call sites and of their callers' ones.
 
     ``roots``: instance, method_id, signature (searched). While a method has
@@ -279,21 +279,23 @@ def backward(methods: DataFrame, unit: DataFrame, method: DataFrame, calls: Data
     then, and also if it is in the graph already. Gives slices (instance, method_id,
     key, target, name, relations, slice, graph, seconds, error), named by their method
     and, if it has several, the number of the call site; and call-graph edges
-    (instance, src, dst). The walk is by rounds over sets, so where several paths lead
+    (instance, src, dst). ``timeout`` bounds the seconds of a method and, where ``owner``
+    says whose an instance is, those of all the owner's slices: an owner that has used
+    them up goes no further, others do. The walk is by rounds over sets, so where several paths lead
     to a method the one with the most hops left counts.
     """
     program = stored_program(methods, unit, method, calls)
     try:
-        return _walk(program, roots, hops, rounds, timeout)
+        return _walk(program, roots, hops, rounds, timeout, owner)
     finally:
         program.gone()  # slices and edges are in durable frames
 
 
-def _walk(program: Program, roots: DataFrame, hops: int, rounds: int, timeout: float | None) -> tuple[DataFrame, DataFrame]:
+def _walk(program: Program, roots: DataFrame, hops: int, rounds: int, timeout: float | None, owner: Column | None) -> tuple[DataFrame, DataFrame]:
     info = program.methods.select("method_id", "signature", "key", "n_params")
     packed = program.methods.select("method_id", "units", "refs", "cfg")
     frontier = durable(roots.select("instance", "method_id", F.col("signature").alias("searched"), F.lit(hops).alias("hops"), F.lit(True).alias("resolving")).distinct().join(info.select("method_id", "key"), "method_id"))
-    slices = edges = nodes = None
+    slices = edges = nodes = spent = None
     for step in range(rounds):
         sites = durable(call_sites(program, frontier))
         best = F.max(F.struct("resolving", "hops", "searched", "method_id"))
@@ -314,6 +316,10 @@ def _walk(program: Program, roots: DataFrame, hops: int, rounds: int, timeout: f
         known = up.join(nodes, ["instance", "key"], "left_semi").select("instance", F.col("key").alias("src"), signature_key(F.col("searched")).alias("dst"))
         edges = known if edges is None else edges.unionByName(known)
         new = up.join(nodes, ["instance", "key"], "left_anti")
+        if timeout and owner is not None:
+            used = done.select(owner.alias("owner"), "seconds")
+            spent = durable((used if spent is None else spent.unionByName(used)).groupBy("owner").agg(F.sum("seconds").alias("seconds")))
+            new = new.withColumn("owner", owner).join(spent.where(F.col("seconds") > timeout).select("owner"), "owner", "left_anti").drop("owner")
         frontier = durable(new.groupBy("instance", "method_id", "key", "searched").agg(F.max(F.struct("resolving", "hops")).alias("s")).select("instance", "method_id", "key", "searched", "s.hops", "s.resolving"))
         if frontier.isEmpty():
             return slices, edges.distinct()

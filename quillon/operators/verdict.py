@@ -32,6 +32,22 @@ class Model(Protocol):
     def complete(self, prompt: str, json_mode: bool) -> str: ...
 
 
+@dataclass(frozen=True)
+class Recorded:
+    """Answers that were recorded, in place of a model: ``fingerprint`` (of the prompt, by ``prompt_key``), ``answer`` and, where known, ``input`` and ``output`` tokens.
+
+    They are joined, so a run on them needs no Python and no network, and a rerun of a
+    study gives the same results at any size. Of several answers to a prompt the least counts.
+    """
+
+    answers: DataFrame
+
+
+def prompt_key(prompt: Column, json_mode: bool = False) -> Column:
+    """What a recorded answer is found by: the prompt and whether JSON is asked for."""
+    return fingerprint(prompt, F.lit("json" if json_mode else "text"))
+
+
 class TransientError(Exception):
     """What a model raises for an error that may pass."""
 
@@ -84,10 +100,10 @@ PROMPT_VERSION = "relations-2"
 USAGE = "struct<input:bigint,output:bigint>"
 
 
-def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Model], settings: Settings = Settings(), json_mode: bool = False) -> DataFrame:
+def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Model] | Recorded, settings: Settings = Settings(), json_mode: bool = False) -> DataFrame:
     """``df`` with the model's answer to each prompt, ``<answer>_error`` where there is none, and ``<answer>_usage``.
 
-    Null prompts are not asked. A prompt over the budget is not sent. Transient errors
+    A ``factory`` makes a model for each task, or is a table of recorded answers. Null prompts are not asked. A prompt over the budget is not sent. Transient errors
     and requests that take too long are tried again after a random, growing wait; an
     empty answer is an error. The calls of one task are one after another, so the
     number of tasks bounds how many run at a time. With an interval, time is divided
@@ -107,15 +123,28 @@ def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Mode
 
     asked = df.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct()
     sent = asked.where(token_estimate(F.col("prompt")) <= settings.budget)
-    if settings.concurrency:
-        sent = sent.repartition(settings.concurrency)
-    within = sent.mapInPandas(ask, f"prompt string, `{answer}` string, `{error}` string, input long, output long")
+    if isinstance(factory, Recorded):
+        within = _recalled(sent, answer, error, factory.answers, json_mode)
+    else:
+        if settings.concurrency:
+            sent = sent.repartition(settings.concurrency)
+        within = sent.mapInPandas(ask, f"prompt string, `{answer}` string, `{error}` string, input long, output long")
     used = F.struct(F.coalesce("input", token_estimate(F.col("prompt"))).alias("input"), F.coalesce("output", token_estimate(F.col(answer)), F.lit(0)).cast("bigint").alias("output"))
     within = within.select("prompt", answer, error, F.when(F.col(answer).isNotNull(), used).cast(USAGE).alias(usage))
     over = asked.where(token_estimate(F.col("prompt")) > settings.budget).select("prompt", F.lit(None).cast("string").alias(answer), F.lit("prompt exceeds the budget").alias(error), F.lit(None).cast(USAGE).alias(usage))
     return df.join(within.unionByName(over).withColumnRenamed("prompt", "__asked"), F.col(prompt) == F.col("__asked"), "left").drop("__asked")
 
 
+def _recalled(sent: DataFrame, answer: str, error: str, answers: DataFrame, json_mode: bool) -> DataFrame:
+    """Prompts with their recorded answers; a prompt without one, or with an empty one, has an error."""
+    tokens = [(F.col(c) if c in answers.columns else F.lit(None)).cast("long").alias(c) for c in ("input", "output")]
+    known = answers.select("fingerprint", F.struct(F.col("answer"), *tokens).alias("a")).groupBy("fingerprint").agg(F.min("a").alias("a"))
+    found = sent.withColumn("fingerprint", prompt_key(F.col("prompt"), json_mode)).join(known, "fingerprint", "left")
+    text = F.nullif(F.col("a.answer"), F.lit(""))
+    said = F.when(F.col("a").isNull(), "no recorded answer").when(text.isNull(), "empty answer")
+    return found.select("prompt", text.alias(answer), said.alias(error), "a.input", "a.output")
+
+
 class Pace:
     """Lets a task start a request in its own slots only: those whose number has the task's remainder."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import ratio, token_estimate
 from quillon.operators.ordering import batched_by_budget, callsite_names, first_wins, halved, last_wins, numbered
-from quillon.operators.verdict import RuleModel, answered
+from quillon.operators.verdict import Recorded, RuleModel, Settings, answered, function_prompt, functions_tier, prompt_key, revision_prompt, summary_prompt
 from quillon.plans.registry import query
 from quillon.plans.scoring import table
 from quillon.sources.predictions import to_do
@@ -132,3 +132,36 @@ def tiered_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = ratio(F.count_if("hit"), F.count("*"))
     verdict = interfaces.groupBy("lang").agg(F.sum("functions").alias("functions"), F.count("*").alias("interfaces"), F.count_if("hit").alias("hits"), share.alias("share"))
     return verdict.select("lang", "functions", "interfaces", "hits", F.when(F.col("share") >= 0.5, "MALWARE").otherwise("BENIGN").alias("prediction"))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 10 THEN 9 ELSE doc_id % 7 END AS k FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN 'passed' WHEN 3 THEN 'unavailable' WHEN 5 THEN 'unavailable' WHEN 9 THEN 'disabled' WHEN 6 THEN 'unavailable' ELSE 'revised' END AS status,
+        CASE WHEN k = 6 THEN NULL WHEN k = 9 THEN 'short ' || doc_id WHEN k = 5 THEN 'short ' || doc_id WHEN k IN (0, 3) THEN 'purpose ' || doc_id || chr(10) || chr(10) || 'flow' ELSE 'revised ' || doc_id END AS summary,
+        CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 4 THEN 0.0 END AS drc, CASE k WHEN 2 THEN 1 WHEN 9 THEN NULL ELSE 0 END AS n_invalid, CASE WHEN k = 6 THEN 'no recorded answer' END AS error
+    FROM d
+""")
+def recorded_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as functions whose answers are recorded: every way through verification and revision, without a model."""
+    k = F.col("doc_id") % 7
+    ident = F.col("doc_id").cast("string")
+    one = F.array(F.struct(F.lit("Direct").alias("kind"), F.array(F.lit("r1")).alias("variables")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("graph"), F.concat_ws(".", "source", ident).alias("signature"), F.when(~k.isin(3, 5, 6), one).alias("expected"))
+    off = F.col("doc_id") % 11 == 10
+    graph, signature = F.col("graph"), F.col("signature")
+    purpose, flow = F.concat(F.lit("purpose "), ident), F.lit("flow")
+    item = F.when(k == 1, '{"type":"Direct","variable":"r9"}').when(k == 2, '{"type":"Direct","variable":"r1"},{"type":"Direct","variable":"1"}').otherwise('{"type":"Direct","variable":"r1"}')
+    whole = F.concat(F.lit('{"functionPurpose":"'), purpose, F.lit('","controlFlowAnalysis":"flow","relationships":['), item, F.lit("]}"))
+    short = F.concat(F.lit("short "), ident)
+    summary = F.when(k == 4, short).otherwise(F.concat(purpose, F.lit("\n\n"), flow))
+
+    def recorded(prompt, answer, json_mode: bool = False):
+        return F.struct(prompt_key(prompt, json_mode).alias("fingerprint"), answer.alias("answer"))
+
+    first = F.when(k != 6, recorded(function_prompt(graph, signature), F.when(k.isin(4, 5), F.lit('{"functionPurpose": "cut')).otherwise(whole), json_mode=True))
+    fallen = F.when(k.isin(4, 5) | off, recorded(summary_prompt(graph, signature), short))
+    again = F.when(k.isin(1, 2, 4), recorded(revision_prompt(graph, signature, summary, F.col("expected")), F.concat(F.lit("revised "), ident)))
+    answers = Recorded(docs.select(F.explode(F.array(first, fallen, again)).alias("r")).where("r IS NOT NULL").select("r.*"))
+    settings = Settings(budget=1 << 40, timeout=None)
+    said = functions_tier(docs.where(~off), answers, settings).unionByName(functions_tier(docs.where(off), answers, Settings(mode="no-verification", budget=1 << 40, timeout=None)))
+    return said.select("doc_id", "status", "summary", F.col("metrics.drc").alias("drc"), F.size("invalid").alias("n_invalid"), "error")

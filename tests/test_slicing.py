@@ -2,15 +2,20 @@
 
 import json
 import random
+import sys
+import time
 
 import pytest
 from test_sources import A, B, write
 
+from pyspark import cloudpickle
+
 from quillon import cli
 from quillon.operators import contexts, slicing
 from quillon.operators.blocks import basic_blocks
 from quillon.sources import artefacts
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the slow walk below runs in tasks
 METHOD = "method_id long, sha256 string, class string, name string, signature string, n_params int, has_body boolean"
 UNIT = "method_id long, unit_id long, ordinal int, kind string, invoked string, text string"
 REF = "unit_id long, role string, ordinal int, value string, is_local boolean, base string"
@@ -111,6 +116,22 @@ def test_blocks(spark):
     assert got == {(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3), (2, 0, 1), (2, 1, 2), (2, 1, 3), (2, 2, 4), (2, 3, 4), (2, 4, 0), (3, 0, 1)}
 
 
+def slow_flowing(self, target, plain=slicing.Method.flowing):
+    if target > 10_000:  # of the second sample
+        time.sleep(0.6)
+    return plain(self, target)
+
+
+def test_a_slow_sample_ends_and_the_others_go_on(spark, monkeypatch):
+    monkeypatch.setattr(slicing.Method, "flowing", slow_flowing)
+    t = frames(spark, program(spark), program(spark, "c" * 64, 100))
+    features = spark.createDataFrame([(3, "os.Sms", "send")], "api_index int, class string, name string")
+    made = contexts.contexts(t["method"], t["unit"], t["ref"], t["cfg"], t["calls"], features, timeout=1.0)
+    report = {r.sha256: (r.status, r.slice_count, r.error) for r in made.report.collect()}
+    assert report == {A: ("ok", 2, None), "c" * 64: ("error", None, "the time of the sample is over")}
+    assert {r.sha256 for r in made.files.select("sha256").distinct().collect()} == {A}
+
+
 def test_a_block_that_nothing_reaches_is_drawn(spark):
     p = program(spark)
     p["unit"][0].append((1, 16, 6, "return", None, "return late"))
