@@ -5,14 +5,15 @@ case. Two lines are similar if the Jaccard index of their token sets is at least
 ``similar`` (a fraction, 4/5 unless told otherwise). Documents are ordered by id,
 lines within them by number; a line is removed if any earlier line of the input is
 similar to it, whether or not that one is removed too. Lines of fewer than
-``min_tokens`` tokens stay and remove nothing: op10 has all lines of at least one
-token take part, the stage of the pipeline those of three or more.
+``min_tokens`` tokens stay and remove nothing; unless told otherwise, these are lines
+without any.
 
 1. Tokens are counted over the whole corpus in a table of fixed size, by hash, and
    each line's tokens are sorted from rare to frequent. Hash collisions only change
    that order, which any fixed order of tokens may have.
 2. Lines with one token set form a class that its first line stands for, so copies
-   are never compared.
+   are never compared. Sets are told apart by a digest of 128 bits over the hashes of
+   their tokens (56 bits each), their size and a bitmap; tokens are not looked at again.
 3. A class is compared first with the earliest class of each of a few tokens of its
    prefix, chosen by hash, and of these with the one that it shares most with. A large
    group of near copies so costs about as many comparisons as it has lines.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from quillon.durable import durable, release
 from quillon.llm.shared import free_name
 
-MIN_TOKENS = 3
+MIN_TOKENS = 1
 SIMILAR = (4, 5)
 #: Counters of token frequency; the table is of this size whatever the corpus.
 BUCKETS = 1 << 18
@@ -105,7 +106,7 @@ def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, sim
     half = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
     # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
     prefix = F.transform(F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar))), lambda k: F.hash(k))
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), n.alias("n"), bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
+    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
 
 
 def _bit(k: Column) -> Column:
@@ -212,18 +213,18 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """One row for each line to remove: doc, line_no (from 0)."""
     every = durable(_described(docs, doc_id, text, rarity(docs, text), similar))
     described = every.where(F.col("n") >= min_tokens)
-    same = ["set", "n", "bits"]
+    same = ["set", "set2", "n", "bits"]
     classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "half", "prefix"))
     first = classes.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
     firsts = classes.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
-    on = (F.col("set") == F.col("set_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
+    on = (F.col("set") == F.col("set_1")) & (F.col("set2") == F.col("set2_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
     repeats = durable(described.join(first, on).where(~(F.col("doc").eqNullSafe(F.col("doc_1")) & (F.col("line_no") == F.col("line_no_1")))).select("doc", "line_no"))
     release(every)
 
     near = durable(_settling(firsts, similar))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set"))
+    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set", "set2"))
     release(classes)
     pairs = durable(_candidates(marked, similar))
     release(marked)

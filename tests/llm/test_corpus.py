@@ -87,7 +87,7 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash.one_of_each(none).count() == 0
 
 
-def brute_lines(rows, least=3):
+def brute_lines(rows, least=1):
     seen, out = [], {}
     for d, t in rows:
         gone = []

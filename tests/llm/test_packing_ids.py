@@ -15,3 +15,22 @@ def test_ids_are_those_of_tokenizers(text):
 def test_pieces_of_an_added_token(spark):
     got = packing.pieces(spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")).first()
     assert (got.length, bytes(got.ids)) == (4, b"".join(k.to_bytes(4, "little") for k in (64, 50256, 65, 2)))
+
+
+def test_the_program_packs_tighter_than_best_fit_alone(monkeypatch):
+    """Pieces of just over and under halves and quarters, of which best fit wastes a fifth, and lengths at random."""
+    import random
+    from collections import Counter
+
+    from quillon.llm import packing
+
+    rng = random.Random(1)
+    hard = {514: 600, 260: 600, 258: 600, 252: 1200}
+    spread = dict(Counter(rng.randrange(250, 520) for _ in range(20_000)))
+    found = {}
+    for parts in ((0.0,), packing.PARTS):
+        monkeypatch.setattr(packing, "PARTS", parts)
+        found[parts] = [packing.solve(h).sequences for h in (hard, spread)]
+    alone, program = found.values()
+    assert (alone[0], program[0]) == (1100, 900)  # 900 is the least there can be
+    assert program[1] <= 0.97 * alone[1]
