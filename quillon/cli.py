@@ -26,6 +26,7 @@ from quillon.operators.coverage import status_counts
 from quillon.operators.evaluation import confusion, require_complete
 from quillon.session import session
 from quillon.sources import artefacts, predictions, sinks, splits
+from quillon.sources.tree import write_tree
 
 
 def _targets(verb: argparse.ArgumentParser) -> None:
@@ -119,6 +120,8 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     settings = V.Settings(threshold=a.threshold, mode=a.mode, budget=a.budget, interval=a.interval, timeout=a.timeout, concurrency=a.concurrency)
     model = _factory(a.model)
     files = artefacts.read_artefacts(spark, a.graphs)
+    if a.sha256:
+        files = files.where(F.col("sha256").isin([k.strip().upper() for k in a.sha256]))  # folders of others are not opened
     keys = durable(_chosen(spark, a, files.select("sha256").distinct()))
     config = {"model": a.model, "mode": a.mode, "threshold": a.threshold, "prompt_version": V.PROMPT_VERSION}
     results, kept_slices = f"{a.output}/results", f"{a.output}/cache"
@@ -204,7 +207,7 @@ def slice_(spark: SparkSession, a: argparse.Namespace) -> int:
     sinks.write_artefacts(made.files, report, root)
     sinks.write_report(report.withColumnRenamed("sha256", "apk"), f"{a.output}/slicing-report")
     if a.export:
-        sinks.export_tree(artefacts.read_artefacts(spark, root).join(wanted, "sha256", "left_semi"), a.export)
+        write_tree(artefacts.read_artefacts(spark, root).join(wanted, "sha256", "left_semi"), a.export)
     counts = {r["status"]: r["count"] for r in report.groupBy("status").count().collect()}
     print(json.dumps(counts, sort_keys=True))
     return int(bool(counts.get("error")))

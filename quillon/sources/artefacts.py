@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.durable import exists
-from quillon.functions.scalars import stem, without_node_suffix
+from quillon.functions.scalars import without_node_suffix
+from quillon.sources.tree import read_tree
 
 TABLE = "api_index int, instance string, kind string, name string, stem string, path string, content string, sha256 string"
-PATH = r"/([0-9A-Fa-f]{64})/([^/]+)/([^/]+)/(CallGraph|SliceGraph|cfg|Relation|code)/([^/]+)$"
 
 
 def read_artefacts(spark: SparkSession, root: str) -> DataFrame:
@@ -17,22 +17,11 @@ def read_artefacts(spark: SparkSession, root: str) -> DataFrame:
 
     Files are read whole; ``api_index`` is null where the folder is no number. Where
     ``root`` holds the tables that ``slice`` writes, partitioned by application, these
-    are read in place of single files.
+    are read in place of single files. Filters on ``sha256`` leave out folders either way.
     """
     if exists(spark, f"{root.rstrip('/')}/sha256=*"):
         return spark.read.schema(TABLE).parquet(root).select("sha256", *(f.split()[0] for f in TABLE.split(", ")[:-1]))
-    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("path"))
-    part = [F.regexp_extract("path", PATH, k) for k in range(1, 6)]
-    return raw.where(F.col("path").rlike(PATH)).select(
-        F.upper(part[0]).alias("sha256"),
-        part[1].try_cast("int").alias("api_index"),
-        part[2].alias("instance"),
-        part[3].alias("kind"),
-        part[4].alias("name"),
-        stem(F.col("path")).alias("stem"),
-        "path",
-        F.col("value").alias("content"),
-    )
+    return read_tree(spark, root)
 
 
 KEY = ["sha256", "api_index", "instance"]

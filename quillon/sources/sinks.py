@@ -33,27 +33,6 @@ def write_artefacts(files: DataFrame, report: DataFrame, root: str) -> None:
         remove(files.sparkSession, f"{root.rstrip('/')}/sha256={row.sha256}")
 
 
-def export_tree(files: DataFrame, root: str) -> int:
-    """Writes each row as a file of its own, for tools that read a tree, and gives their number; a graph that is there stays.
-
-    The driver writes one file after another on any file system that Spark writes to.
-    """
-    spark = files.sparkSession
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    for row in files.select("path", "kind", "content").toLocalIterator():
-        at = paths(paths(root), row.path.replace(":", "_"))
-        system = at.getFileSystem(conf)
-        if row.kind in ("CallGraph", "SliceGraph") and system.exists(at):
-            continue
-        out = system.create(at, True)
-        out.write(bytearray(row.content.encode()))
-        out.close()
-        n += 1
-    return n
-
-
 def write_dead_letters(failed: DataFrame, path: str) -> None:
     """Failures of this run in place of those of the last; an empty folder after a clean run."""
     failed.write.mode("overwrite").json(path)
