@@ -119,9 +119,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     began, started = time.monotonic(), datetime.now(timezone.utc)
     settings = V.Settings(threshold=a.threshold, mode=a.mode, budget=a.budget, interval=a.interval, timeout=a.timeout, concurrency=a.concurrency)
     model = _factory(a.model)
-    files = artefacts.read_artefacts(spark, a.graphs)
-    if a.sha256:
-        files = files.where(F.col("sha256").isin([k.strip().upper() for k in a.sha256]))  # folders of others are not opened
+    files = artefacts.read_artefacts(spark, a.graphs, [k.strip() for k in a.sha256] or None)
     keys = durable(_chosen(spark, a, files.select("sha256").distinct()))
     config = {"model": a.model, "mode": a.mode, "threshold": a.threshold, "prompt_version": V.PROMPT_VERSION}
     results, kept_slices = f"{a.output}/results", f"{a.output}/cache"

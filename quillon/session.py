@@ -13,7 +13,6 @@ def session(app: str = "quillon", cpus: int | None = None, **conf: str) -> Spark
     defaults = {
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
-        "spark.sql.python.filterPushdown.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }

@@ -12,16 +12,17 @@ from quillon.sources.tree import read_tree
 TABLE = "api_index int, instance string, kind string, name string, stem string, path string, content string, sha256 string"
 
 
-def read_artefacts(spark: SparkSession, root: str) -> DataFrame:
+def read_artefacts(spark: SparkSession, root: str, applications: list[str] | None = None) -> DataFrame:
     """``sha256, api_index, instance, kind, name, stem, path, content`` of all files of a tree.
 
     Files are read whole; ``api_index`` is null where the folder is no number. Where
     ``root`` holds the tables that ``slice`` writes, partitioned by application, these
-    are read in place of single files. Filters on ``sha256`` leave out folders either way.
+    are read in place of single files. Where ``applications`` are named, others' folders are left out.
     """
     if exists(spark, f"{root.rstrip('/')}/sha256=*"):
-        return spark.read.schema(TABLE).parquet(root).select("sha256", *(f.split()[0] for f in TABLE.split(", ")[:-1]))
-    return read_tree(spark, root)
+        rows = spark.read.schema(TABLE).parquet(root).select("sha256", *(f.split()[0] for f in TABLE.split(", ")[:-1]))
+        return rows if applications is None else rows.where(F.col("sha256").isin([k.upper() for k in applications]))
+    return read_tree(spark, root, applications)
 
 
 KEY = ["sha256", "api_index", "instance"]

@@ -1,19 +1,22 @@
 """Trees of artefact files as a Spark data source, read and written by the tasks.
 
 ``<root>/<sha256>/<api_index>/<instance>/<kind>/<name>``: an application's folder is a
-partition of a scan, and filters on ``sha256`` leave out folders before any is opened. A
+partition of a scan, and folders of applications that are not wanted are not opened. A
 write makes one file of each row, in the task that holds it.
+
+Wanted applications are named when a tree is read. Filters are not taken from queries,
+as Spark 4.1 keeps what a Python source has taken for later queries on the same frame.
 """
 
 from __future__ import annotations
 
 import posixpath
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 FORMAT = "artefact_tree"
@@ -22,7 +25,6 @@ HASH = re.compile(r"[0-9A-Fa-f]{64}")
 #: Kinds of which a file that is there stays; others are written anew.
 WRITTEN_ONCE = ("CallGraph", "SliceGraph")
 KINDS = ("CallGraph", "SliceGraph", "cfg", "Relation", "code")
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def _opened(uri: str) -> tuple[fs.FileSystem, str]:
@@ -37,18 +39,8 @@ class Application(InputPartition):
 
 
 class TreeReader(DataSourceReader):
-    def __init__(self, root: str) -> None:
-        self.root = root
-        self.wanted: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Takes what says which applications are wanted; Spark applies all else."""
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("sha256",):
-                values = {str(v).upper() for v in ([f.value] if isinstance(f, EqualTo) else f.value) if v is not None}
-                self.wanted = values if self.wanted is None else self.wanted & values
-            else:
-                yield f
+    def __init__(self, root: str, wanted: frozenset[str] | None) -> None:
+        self.root, self.wanted = root, wanted
 
     def partitions(self) -> list[InputPartition]:
         system, root = _opened(self.root)
@@ -101,18 +93,18 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return TreeReader(self.options["path"])
+        named = self.options.get("applications")
+        return TreeReader(self.options["path"], None if named is None else frozenset(named.upper().split(",")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return TreeWriter(self.options["path"], schema)
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """The files of a tree with the columns of ``SCHEMA``; other files are left out, invalid UTF-8 is replaced."""
+def read_tree(spark: SparkSession, root: str, applications: list[str] | None = None) -> DataFrame:
+    """The files of a tree, or of some applications, with the columns of ``SCHEMA``; other files are left out, invalid UTF-8 is replaced."""
     spark.dataSource.register(TreeSource)
-    if spark.conf.get(PUSHDOWN, "false") != "true":  # as session() has it; a source that takes filters is refused without
-        spark.conf.set(PUSHDOWN, "true")
-    return spark.read.format(FORMAT).load(root)
+    reader = spark.read.format(FORMAT)
+    return (reader if applications is None else reader.option("applications", ",".join(applications))).load(root)
 
 
 def write_tree(files: DataFrame, root: str) -> None:
