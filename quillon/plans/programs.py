@@ -21,19 +21,26 @@ _UNITS = f"""
 """
 
 
-def _straight_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each order as a method without branches in its flow: its lines are units, the last one the searched call."""
+def _lines(spark: SparkSession, sf_dir: str, branch: Column) -> DataFrame:
+    """Each order as a method: its lines are units that define and use registers, numbered from 1 to ``n``."""
     line = table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey")
-    at = line.select(
+    return line.select(
         F.col("l_orderkey").alias("method_id"),
         F.row_number().over(w.orderBy(*_ORDER.split(", "))).alias("ordinal"),
         F.count("*").over(w).alias("n"),
         F.concat(F.lit("r"), (F.col("l_partkey") % 12).cast("string")).alias("def"),
         F.concat(F.lit("r"), (F.col("l_suppkey") % 12).cast("string")).alias("use1"),
         F.concat(F.lit("i"), (F.col("l_linenumber") % 3).cast("string")).alias("use2"),
-        (F.col("l_quantity") > 40).alias("branch"),
+        branch.alias("branch"),
+        "l_partkey",
+        "l_linenumber",
+        "l_quantity",
     ).withColumn("unit_id", F.col("method_id") * 1000 + F.col("ordinal"))
+
+
+def _program(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units and their references; the last unit is the searched call."""
     last = F.col("ordinal") == F.col("n")
     kind = F.when(last, "invoke").when(F.col("branch"), "if").otherwise("assign")
     unit = at.select("method_id", "unit_id", "ordinal", kind.alias("kind"), F.when(last, "<A: void f()>").alias("invoked"), F.lit("").alias("text"))
@@ -43,9 +50,25 @@ def _straight_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     uses = [reference("use", F.col("use1"), 0), reference("use", F.col("use2"), 1)]
     roles = F.when(last, F.array(*uses, reference("arg", F.col("use1"), 0), reference("arg", F.col("use2"), 1))).when(F.col("branch"), F.array(*uses)).otherwise(F.array(*uses, reference("def", F.col("def"), 0)))
-    ref = at.select("unit_id", F.explode(roles).alias("r")).select("unit_id", "r.*")
-    flow = at.where(~last).select("method_id", F.col("unit_id").alias("src"), (F.col("unit_id") + 1).alias("dst"), F.lit(0).alias("ordinal"))
-    return unit, ref, flow
+    return unit, at.select("unit_id", F.explode(roles).alias("r")).select("unit_id", "r.*")
+
+
+def _straight_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Methods without branches in their flow."""
+    at = _lines(spark, sf_dir, F.col("l_quantity") > 40)
+    flow = at.where("ordinal <> n").select("method_id", F.col("unit_id").alias("src"), (F.col("unit_id") + 1).alias("dst"), F.lit(0).alias("ordinal"))
+    return *_program(at), flow
+
+
+def _branching(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Methods whose flow has diamonds (jumps over the next unit) and loops (jumps back), the searched call within some of them."""
+    i = F.col("ordinal")
+    jumps, loops = F.col("l_quantity") > 25, F.col("l_linenumber") % 3 == 0
+    at = _lines(spark, sf_dir, jumps | loops)
+    onto = F.array(F.when(i < F.col("n"), i + 1), F.when(jumps & (i + 2 <= F.col("n")), i + 2), F.when(loops & (i > 1), 1 + F.col("l_partkey") % F.when(i > 1, i - 1)))
+    ways = at.select("method_id", F.col("unit_id").alias("src"), i.alias("i"), F.posexplode(onto).alias("way", "to")).where("to IS NOT NULL")
+    flow = ways.select("method_id", "src", (F.col("method_id") * 1000 + F.col("to")).alias("dst"), (3 * F.col("i") + F.col("way")).alias("ordinal"))
+    return *_program(at), flow
 
 
 @query(rf"""
@@ -71,7 +94,10 @@ def _straight_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 """)
 def backward_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slice before the last line of each order, and the relations on the way."""
-    unit, ref, flow = _straight_lines(spark, sf_dir)
+    return _slices(spark, *_straight_lines(spark, sf_dir))
+
+
+def _slices(spark: SparkSession, unit: DataFrame, ref: DataFrame, flow: DataFrame) -> DataFrame:
     targets = slicing.callsites(unit, spark.createDataFrame([("<A: void f()>",)], "signature string"))
     found = slicing.sliced(slicing.packed_methods(unit, ref, flow), targets)
     kept = F.array_join(F.transform("slice", lambda u: (u % 1000).cast("string")), ",")
@@ -79,6 +105,51 @@ def backward_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("method_id").alias("o_orderkey"), kept.alias("slice"), lines.alias("relations"))
 
 
+@query(f"""
+    WITH RECURSIVE u AS (
+        SELECT l_orderkey AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, 'r' || (l_partkey % 12) AS def, 'r' || (l_suppkey % 12) AS use1,
+            'i' || (l_linenumber % 3) AS use2, l_quantity > 25 AS jumps, l_linenumber % 3 = 0 AS loops, l_partkey AS p FROM lineitem),
+    flow AS (
+        SELECT m, i AS src, i + 1 AS dst, 3 * i AS o FROM u WHERE i < n UNION ALL SELECT m, i, i + 2, 3 * i + 1 FROM u WHERE jumps AND i + 2 <= n
+        UNION ALL SELECT m, i, 1 + p % nullif(i - 1, 0), 3 * i + 2 FROM u WHERE loops AND i > 1),
+    ins AS (SELECT m, dst AS i, list(src ORDER BY o) AS before FROM flow GROUP BY m, dst),
+    outs AS (SELECT m, src AS i, list(dst ORDER BY o) AS after FROM flow GROUP BY m, src),
+    method AS (
+        SELECT m, max(n) AS n, list(def ORDER BY i) AS def, list(use1 ORDER BY i) AS use1, list(use2 ORDER BY i) AS use2, list(jumps OR loops ORDER BY i) AS branch,
+            list(coalesce(before, []::BIGINT[]) ORDER BY i) AS before, list(coalesce(after, []::BIGINT[]) ORDER BY i) AS after
+        FROM u LEFT JOIN ins USING (m, i) LEFT JOIN outs USING (m, i) GROUP BY m),
+    flowing(m, queue, seen, live, found) AS (
+        SELECT m, before[n], list_concat([n], before[n]), list_transform(range(1, n + 1), lambda k: CASE WHEN k = n THEN list_distinct([use1[n], use2[n]]) END),
+            list_concat(['[Direct] ' || use1[n], '[Direct] ' || use2[n]], CASE WHEN use1[n] <> use2[n] THEN ['[Parallel] ' || least(use1[n], use2[n]) || ' and ' || greatest(use1[n], use2[n]) || ' work together'] ELSE [] END)
+        FROM method
+        UNION ALL
+        SELECT m, list_concat(queue[2:], list_filter(preds, lambda q: NOT list_contains(seen, q))), list_concat(seen, list_filter(preds, lambda q: NOT list_contains(seen, q))),
+            list_transform(range(1, n + 1), lambda k: CASE WHEN k <> x THEN live[k] WHEN NOT hit THEN names ELSE list_distinct(list_concat(list_filter(names, lambda v: br OR v <> d), uses)) END),
+            CASE WHEN NOT hit THEN found WHEN br THEN list_concat(found, list_transform(uses, lambda v: '[Conditional] ' || v))
+                ELSE list_concat(found, CASE WHEN len(uses) > 1 THEN ['[Parallel] ' || list_min(uses) || ' and ' || list_max(uses) || ' work together'] ELSE [] END,
+                    list_transform(new, lambda v: '[Transitive] ' || v), list_transform(list_filter(new, lambda v: v <> d), lambda v: '[Derived] ' || d || ' <- ' || v)) END
+        FROM (
+            SELECT *, br OR len(list_filter(names, lambda v: contains(d, v))) > 0 AS hit, list_filter(uses, lambda v: NOT list_contains(first, v)) AS new FROM (
+                SELECT f.*, n, queue[1] AS x, before[queue[1]] AS preds, branch[queue[1]] AS br, def[queue[1]] AS d, list_distinct([use1[queue[1]], use2[queue[1]]]) AS uses, [use1[n], use2[n]] AS first,
+                    list_distinct(flatten(list_filter(list_transform(after[queue[1]], lambda a: live[a]), lambda l: l IS NOT NULL))) AS names
+                FROM flowing f JOIN method USING (m) WHERE len(queue) > 0))),
+    flown AS (SELECT m, live, found FROM flowing WHERE len(queue) = 0),
+    walk(m, queue, seen, kept) AS (
+        SELECT m, before[n], [n], [n] FROM method
+        UNION ALL
+        SELECT m, list_concat(queue[2:], onward), list_concat(seen, [x], onward), CASE WHEN len(names) > 0 AND (br OR list_contains(names, d)) AND NOT list_contains(kept, x) THEN list_concat(kept, [x]) ELSE kept END
+        FROM (
+            SELECT *, CASE WHEN len(names) > 0 THEN list_filter(preds, lambda q: q <> x AND NOT list_contains(seen, q)) ELSE [] END AS onward FROM (
+                SELECT w.*, queue[1] AS x, before[queue[1]] AS preds, branch[queue[1]] AS br, def[queue[1]] AS d,
+                    list_distinct(flatten(list_filter(list_transform(after[queue[1]], lambda a: live[a]), lambda l: l IS NOT NULL))) AS names
+                FROM walk w JOIN method USING (m) JOIN flown USING (m) WHERE len(queue) > 0)))
+    SELECT m AS o_orderkey, array_to_string(list_reverse(kept), ',') AS slice, array_to_string(list_sort(list_distinct(found)), chr(10)) AS relations FROM walk JOIN flown USING (m) WHERE len(queue) = 0
+""")
+def branching_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices where the flow branches, joins and loops: each unit is visited once, in the order of the edges."""
+    return _slices(spark, *_branching(spark, sf_dir))
+
+
 def _callers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Suppliers as methods that call each other; every fifth call has no call site, as a call through an interface has none."""
     edges = _edges(spark, sf_dir)

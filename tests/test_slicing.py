@@ -9,6 +9,7 @@ import pytest
 from test_sources import A, B, write
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from quillon import cli
 from quillon.operators import contexts, slicing
@@ -230,3 +231,14 @@ def test_split_order_limits_targets(spark, tmp_path):
     path = write(tmp_path / "s.csv", "sha256,label\n" + "".join(f"{k},0\n" for k in keys))
     rows = splits.read_split(spark, path, ordinal="place")
     assert [r.sha256 for r in splits.targets(rows.withColumnRenamed("place", "ordinal"), limit=3).collect()] == keys[:3]
+
+
+def test_the_branching_program_has_joins_and_loops_around_searched_calls(spark, sf_dir):
+    from quillon.plans.programs import _branching
+
+    unit, _, flow = _branching(spark, sf_dir)
+    assert flow.where("dst <= src").count() > 100
+    assert flow.groupBy("dst").count().where("count > 1").count() > 100
+    calls = unit.where("kind = 'invoke'").select(F.col("unit_id").alias("src"))
+    assert flow.join(calls, "src").count() > 100  # calls with units behind them
+    assert flow.groupBy("method_id", "ordinal").count().where("count > 1").isEmpty()
