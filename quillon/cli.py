@@ -47,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
     analyze.add_argument("--output", required=True)
     _targets(analyze)
     analyze.add_argument("--splits", nargs="*", default=[], help="labelled splits; the targets, in their order, where none are named")
+    analyze.add_argument("--split-folder", help="a folder whose splits of the usual names are taken in place of --splits")
+    analyze.add_argument("--split-names", nargs="*", default=[], help="further names of splits in that folder, after the usual ones")
     analyze.add_argument("--mode", default="full", choices=("full", "flat", "no-verification"))
     analyze.add_argument("--model", default="rule", help="rule, or module:name of a factory of models")
     analyze.add_argument("--threshold", type=float, default=0.5)
@@ -98,6 +100,18 @@ def _chosen(spark: SparkSession, a: argparse.Namespace, there: DataFrame) -> Dat
     return splits.targets(there.select("sha256", F.col("sha256").alias("ordinal")), limit=a.limit)
 
 
+def _labelled(spark: SparkSession, a: argparse.Namespace) -> list[str]:
+    """The splits of a run, by name or from a folder."""
+    if not a.split_folder:
+        return a.splits
+    if a.splits:
+        raise ValueError("splits are named or come from a folder, not both")
+    found = splits.existing(spark, a.split_folder, (*splits.SPLIT_NAMES, *a.split_names))
+    if not found:
+        raise ValueError(f"{a.split_folder} has no splits")
+    return found
+
+
 def _factory(name: str) -> Callable[[], V.Model]:
     if name == "rule":
         return V.RuleModel
@@ -119,6 +133,7 @@ def analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     began, started = time.monotonic(), datetime.now(timezone.utc)
     settings = V.Settings(threshold=a.threshold, mode=a.mode, budget=a.budget, interval=a.interval, timeout=a.timeout, concurrency=a.concurrency)
     model = _factory(a.model)
+    a.splits = _labelled(spark, a)
     files = artefacts.read_artefacts(spark, a.graphs, [k.strip() for k in a.sha256] or None)
     keys = durable(_chosen(spark, a, files.select("sha256").distinct()))
     config = {"model": a.model, "mode": a.mode, "threshold": a.threshold, "prompt_version": V.PROMPT_VERSION}

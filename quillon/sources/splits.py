@@ -9,7 +9,7 @@ from quillon.functions.scalars import binary_label, cleaned, dotted, permission_
 from quillon.operators.evaluation import merged_labels
 
 #: File names of splits in their order (fixed values).
-SPLIT_NAMES = ("train.csv", "test_1.csv", "test_2.csv", "test_3.csv", "test_ood*.txt")
+SPLIT_NAMES = ("train.csv", "test_1.csv", "test_2.csv", "test_3.csv")
 
 
 def table_of(spark: SparkSession, path: str, required: set[str]) -> DataFrame:
@@ -57,7 +57,7 @@ def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def existing(spark: SparkSession, folder: str, names: tuple[str, ...] = SPLIT_NAMES) -> list[str]:
-    """Paths of those names (or patterns) that the folder has, in their order, on any file system that Spark reads."""
+    """Paths of those names that the folder has, in their order, on any file system that Spark reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     out = []
