@@ -6,14 +6,17 @@ window of ``length`` bytes is filed under its minimizer, the least hash of the
 ``GRAM``-byte strings in it; equal windows have equal minimizers. A run of windows
 with one minimizer is a segment.
 
-1. Every task cuts its documents into segments and sends on a segment's two hashes
-   and its place, packed into one block for each receiving partition. Of equal
-   segments within the task only that of the least document goes on; the others are
-   decided, their bytes go.
+1. Every task cuts its documents into segments and sends on a segment's hashes and
+   its place, packed into one block for each receiving partition. Of equal segments
+   within the task only that of the least document goes on; the others are decided,
+   their bytes go.
 2. A receiving task decides equal segments of different tasks in the same way: those
-   whose minimizer, length and 64-bit hash are equal, without comparing their bytes,
-   as those would have to be sent. What is left are differing segments with one minimizer, for each the first document
-   that has it; they may share windows all the same. Their texts are fetched.
+   whose minimizer, length and two hashes (64 and 31 bits) are equal, without comparing
+   their bytes, as those would have to be sent. The hashes are polynomials of two bases
+   drawn anew for each call, so neither texts made to collide nor a weakness of one base
+   has bytes removed. What is left are differing segments with one minimizer, for each
+   the first document that has it; they may share windows all the same. Their texts are
+   fetched.
 3. These texts, dealt by minimizer, are the shards. A shard's suffix array is built by
    induced sorting, with the permuted common prefixes; neighbours that agree in
    ``length`` bytes are equal windows, and all but those of the least document go.
@@ -30,6 +33,7 @@ result's name, the result's gets underscores before it.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,8 +58,8 @@ HOT = 2048
 SHARD_BYTES = 1 << 20
 #: Bytes of stored input for each of the partitions, which are read whole; there are two for each shuffle partition at least.
 PART_BYTES = 16 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bits of a place's last number that are the segment's size; until segments are decided a second hash stands above them.
+_SIZE = (1 << 32) - 1
 
 #: Bits of a minimizer that segments are filed under, and of its place in a slice.
 _FILED, _AT = 38, 26
@@ -70,31 +74,42 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def drawn_base() -> int:
+    """A base whose powers modulo 2**64 repeat as late as any."""
+    return int.from_bytes(os.urandom(8), "little") & ~7 | 5
+
+
 class Powers:
-    """Powers of the hashes' base and of its inverse modulo 2**64."""
+    """Powers of a hash's base and of its inverse modulo 2**64."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            factors = np.full(max(n, SLICE_BYTES), _BASE, dtype=np.uint64)
+            factors = np.full(max(n, SLICE_BYTES), self.base, dtype=np.uint64)
             factors[0] = 1
             self.up = np.multiply.accumulate(factors)
-            factors[1:] = np.uint64(_INVERSE)
+            factors[1:] = np.uint64(pow(self.base, -1, 1 << 64))
             self.down = np.multiply.accumulate(factors)
         return self.up, self.down
 
 
-def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers) -> np.ndarray:
-    """The segments of some documents, as ``_PLACE`` rows in the order of the text."""
+def _totals(data: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The polynomial of each prefix of the data."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], dtype=np.uint64)))
+
+
+def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers, second: Powers) -> np.ndarray:
+    """The segments of some documents, as ``_PLACE`` rows in the order of the text, a second hash above their sizes."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(data)
     if n < length:
         return np.zeros(0, dtype=_PLACE)
     up, down = powers.upto(n + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:n], dtype=np.uint64)))
+    total = _totals(data, down)
     low = _mixed((total[GRAM:] - total[:-GRAM]) * up[: n - GRAM + 1]) >> np.uint64(64 - _FILED) << np.uint64(_AT)
     placed = n < 1 << _AT  # else a text of its own, whose runs of equal minimizers are not told apart
     if placed:
@@ -118,10 +133,11 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers)
     stop = start + np.diff(np.append(first, len(at))) - 1 + length
     out = np.empty(len(first), dtype=_PLACE)
     out["group"] = of[first] >> np.uint64(_AT)
-    out["same"] = _hash_of(total, up, start, stop)
+    out["same"] = _first_hash(total, up, start, stop)
     out["doc"] = docs[doc[first]]
     out["start"] = start - begins[doc[first]]
-    out["bytes"] = stop - start
+    up_2, down_2 = second.upto(n + 1)
+    out["bytes"] = stop - start | _second_hash(_totals(data, down_2), up_2, start, stop)
     out["around"] = _EITHER
     if placed:
         gram = (of[first] & np.uint64((1 << _AT) - 1)).astype(np.int64)
@@ -141,6 +157,21 @@ def _hash_of(total: np.ndarray, up: np.ndarray, start: np.ndarray, stop: np.ndar
     return _mixed((total[stop] - total[start]) * up[start] + (stop - start).astype(np.uint64))
 
 
+def _first_hash(total: np.ndarray, up: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return _hash_of(total, up, start, stop)
+
+
+def _second_hash(total: np.ndarray, up: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """31 bits, at their place above the size."""
+    return (_hash_of(total, up, start, stop) >> np.uint64(33) << np.uint64(32)).astype(np.int64)
+
+
+def _sized(places: np.ndarray) -> np.ndarray:
+    """Decided places, with their sizes alone."""
+    places["bytes"] &= _SIZE
+    return places
+
+
 def may_match(p: np.ndarray) -> np.ndarray:
     """Which places, sorted by group, agree around the minimizer with one of another document."""
     left, right = p["around"] >> np.uint64(32), p["around"] & np.uint64(0xFFFFFFFF)
@@ -166,8 +197,9 @@ def _shared(p: np.ndarray, side: np.ndarray) -> np.ndarray:
 def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of equal segments those of the least document, and those of other documents, whose bytes go.
 
-    Segments count as equal if their minimizers, lengths and 64-bit hashes are; the
-    hash alone sorts them unless two of it differ in the others.
+    Segments count as equal if their minimizers, lengths and hashes are, of which the
+    second stands above the length; the first hash alone sorts them unless two of it
+    differ in the others.
     """
     if not len(places):
         return places, places
@@ -293,12 +325,12 @@ def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, lis
         yield np.array(docs, dtype=np.int64), held
 
 
-def _cutter(length: int, parts: int):
+def _cutter(length: int, parts: int, bases: tuple[int, int]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, second = map(Powers, bases)
         found: list[np.ndarray] = []
         for docs, held in _sliced(batches):
-            found.append(segments(held, docs, length, powers))
+            found.append(segments(held, docs, length, powers, second))
             if sum(map(len, found)) > HELD:
                 yield send(found)
                 found = []
@@ -307,7 +339,7 @@ def _cutter(length: int, parts: int):
 
     def send(found: list[np.ndarray]) -> pa.RecordBatch:
         first, gone = firsts_of(np.concatenate(found))
-        return _blocks(parts, places=first, spans=_runs(gone))
+        return _blocks(parts, places=first, spans=_runs(_sized(gone)))
 
     return cut
 
@@ -317,7 +349,7 @@ def _decider(parts: int, hot: int):
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, spans, _ = _gathered(batches)
-        first, gone = firsts_of(places)
+        first, gone = map(_sized, firsts_of(places))
         del places
         wanted = first
         if len(first):
@@ -429,7 +461,7 @@ def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     """``doc, spans``: packed pairs of byte offsets to remove, in one or more rows a document."""
     parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // PART_BYTES))
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
-    cut = given.mapInArrow(_cutter(length, parts), _BLOCK).repartition(parts, "part")
+    cut = given.mapInArrow(_cutter(length, parts, (drawn_base(), drawn_base())), _BLOCK).repartition(parts, "part")
     decided = durable(cut.mapInArrow(_decider(parts, hot), _BLOCK).repartition(parts, "part").mapInArrow(_collect, _DOC))
     asked = given.join(decided.where("wanted IS NOT NULL").select("doc", "wanted"), "doc").select("doc", "text", "wanted")
     shards = asked.mapInArrow(_fetcher(length, parts), _SEGMENT).repartition(parts, "part").mapInArrow(_sharder(length, parts), _BLOCK)
