@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard index 0.8 or more) the document of the least id stays."""
+    """Of each group of near copies (SimHash candidates, verified at a Jaccard index of 0.8 or more over five-word shingles) the document of the least id stays."""
     return copies.one_of_each(docs)
 
 
