@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,6 +98,8 @@ class RuleModel:
 #: Changes with the wording of the prompts, so that results of another wording are not taken for these.
 PROMPT_VERSION = "relations-2"
 USAGE = "struct<input:bigint,output:bigint>"
+#: Answers that go back at a time.
+AT_A_TIME = 64
 
 
 def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Model] | Recorded, settings: Settings = Settings(), json_mode: bool = False) -> DataFrame:
@@ -114,35 +116,48 @@ def answered(df: DataFrame, prompt: str, answer: str, factory: Callable[[], Mode
     """
     error, usage = f"{answer}_error", f"{answer}_usage"
 
-    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    if isinstance(factory, Recorded):
+        return _recalled(df, prompt, answer, factory.answers, settings, json_mode)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         pace = Pace(settings.interval, TaskContext.get().partitionId(), settings.concurrency or 1)
-        for frame in frames:
-            said = [_ask(model, p, json_mode, settings, pace) for p in frame["prompt"]]
-            yield pd.DataFrame({"prompt": frame["prompt"], answer: [s[0] for s in said], error: [s[1] for s in said], "input": [s[2] for s in said], "output": [s[3] for s in said]})
+        for batch in batches:
+            for begin in range(0, len(batch), AT_A_TIME):
+                # prompts are long: one at a time is a Python string, and they go back without a copy
+                prompts = batch["prompt"].slice(begin, AT_A_TIME)
+                said = [_ask(model, p.as_py(), json_mode, settings, pace) for p in prompts]
+                columns = [pa.array([s[k] for s in said], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([prompts, *columns], names=["prompt", answer, error, "input", "output"])
 
     asked = df.where(F.col(prompt).isNotNull()).select(F.col(prompt).alias("prompt")).distinct()
     sent = asked.where(token_estimate(F.col("prompt")) <= settings.budget)
-    if isinstance(factory, Recorded):
-        within = _recalled(sent, answer, error, factory.answers, json_mode)
-    else:
-        if settings.concurrency:
-            sent = sent.repartition(settings.concurrency)
-        within = sent.mapInPandas(ask, f"prompt string, `{answer}` string, `{error}` string, input long, output long")
+    if settings.concurrency:
+        sent = sent.repartition(settings.concurrency)
+    within = sent.mapInArrow(ask, f"prompt string, `{answer}` string, `{error}` string, input long, output long")
     used = F.struct(F.coalesce("input", token_estimate(F.col("prompt"))).alias("input"), F.coalesce("output", token_estimate(F.col(answer)), F.lit(0)).cast("bigint").alias("output"))
     within = within.select("prompt", answer, error, F.when(F.col(answer).isNotNull(), used).cast(USAGE).alias(usage))
     over = asked.where(token_estimate(F.col("prompt")) > settings.budget).select("prompt", F.lit(None).cast("string").alias(answer), F.lit("prompt exceeds the budget").alias(error), F.lit(None).cast(USAGE).alias(usage))
     return df.join(within.unionByName(over).withColumnRenamed("prompt", "__asked"), F.col(prompt) == F.col("__asked"), "left").drop("__asked")
 
 
-def _recalled(sent: DataFrame, answer: str, error: str, answers: DataFrame, json_mode: bool) -> DataFrame:
-    """Prompts with their recorded answers; a prompt without one, or with an empty one, has an error."""
+def _recalled(df: DataFrame, prompt: str, answer: str, answers: DataFrame, settings: Settings, json_mode: bool) -> DataFrame:
+    """``df`` with recorded answers; a prompt without one, or with an empty one, has an error.
+
+    Rows meet answers by the prompt's fingerprint, so no prompt is shuffled. Rows without
+    one have a key of their own texts, as null keys would all go to one task.
+    """
     tokens = [(F.col(c) if c in answers.columns else F.lit(None)).cast("long").alias(c) for c in ("input", "output")]
-    known = answers.select("fingerprint", F.struct(F.col("answer"), *tokens).alias("a")).groupBy("fingerprint").agg(F.min("a").alias("a"))
-    found = sent.withColumn("fingerprint", prompt_key(F.col("prompt"), json_mode)).join(known, "fingerprint", "left")
-    text = F.nullif(F.col("a.answer"), F.lit(""))
-    said = F.when(F.col("a").isNull(), "no recorded answer").when(text.isNull(), "empty answer")
-    return found.select("prompt", text.alias(answer), said.alias(error), "a.input", "a.output")
+    known = answers.select("fingerprint", F.struct(F.col("answer"), *tokens).alias("a")).groupBy("fingerprint").agg(F.min("a").alias("__said")).withColumnRenamed("fingerprint", "__known")
+    size = token_estimate(F.col(prompt))
+    spread = F.concat(F.lit("none "), F.xxhash64(F.lit(0), *(F.col(f.name) for f in df.schema if f.dataType.typeName() == "string")).cast("string"))
+    keyed = df.withColumns({"__size": F.when(F.col(prompt).isNotNull(), size), "__key": F.coalesce(F.when(size <= settings.budget, prompt_key(F.col(prompt), json_mode)), spread)})
+    text = F.nullif(F.col("__said.answer"), F.lit(""))
+    over = F.when(F.col("__size") > settings.budget, "prompt exceeds the budget")
+    said = F.when(F.col("__said").isNull(), "no recorded answer").when(text.isNull(), "empty answer")
+    used = F.struct(F.coalesce("__said.input", "__size").alias("input"), F.coalesce("__said.output", token_estimate(text), F.lit(0)).cast("bigint").alias("output"))
+    found = keyed.join(known, F.col("__key") == F.col("__known"), "left")
+    return found.select(*df.columns, text.alias(answer), F.when(F.col("__size").isNotNull(), F.coalesce(over, said)).alias(f"{answer}_error"), F.when(text.isNotNull(), used).cast(USAGE).alias(f"{answer}_usage"))
 
 
 class Pace:
