@@ -7,6 +7,8 @@ lexicographic order without repeats, all others one name.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,26 @@ def canonical_kind(name: Column) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for pair in KINDS.items() for x in pair)), F.lower(F.trim(name)))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often it is referred to."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def relation(kind: Column, variables: Column) -> Column:
     """A canonical relation, or null if the kind is unknown, a name is none, or their number is wrong."""
-    names = F.transform(variables, lambda v: F.trim(v))
-    names = F.when(kind == "Parallel", F.array_sort(F.array_distinct(names))).otherwise(names)
-    valid = F.forall(names, lambda v: v.isNotNull() & v.rlike(f"^(?:{VARIABLE})$"))
-    size = F.size(names)
-    fits = F.when(kind == "Parallel", size >= 2).when(kind == "Derived", size == 2).otherwise(size == 1)
-    return F.when(kind.isNotNull() & valid & fits, F.struct(kind.alias("kind"), names.alias("variables")))
+
+    def checked(r: Column) -> Column:
+        names = r["variables"]
+        valid = F.forall(names, lambda v: v.isNotNull() & v.rlike(f"^(?:{VARIABLE})$"))
+        size = F.size(names)
+        fits = F.when(r["kind"] == "Parallel", size >= 2).when(r["kind"] == "Derived", size == 2).otherwise(size == 1)
+        return F.when(r["kind"].isNotNull() & valid & fits, r)
+
+    def ordered(g: Column) -> Column:
+        return F.struct(g["kind"].alias("kind"), F.when(g["kind"] == "Parallel", F.array_sort(F.array_distinct(g["names"]))).otherwise(g["names"]).alias("variables"))
+
+    given = F.struct(kind.alias("kind"), F.transform(variables, lambda v: F.trim(v)).alias("names"))
+    return _bound(_bound(given, ordered), checked)
 
 
 def parsed_lines(lines: Column) -> Column:
@@ -93,10 +107,12 @@ def static_set(text: Column) -> Column:
 
 def model_item(item: Column) -> Column:
     """A relation from one object of a model's answer; null if it is malformed."""
-    kind = canonical_kind(item["type"])
     pair = F.when(F.coalesce(F.size(item["variables"]), F.lit(0)) > 0, item["variables"]).otherwise(F.array(item["left"], item["right"]))
-    names = F.when(kind == "Derived", F.array(item["target"], item["source"])).when(kind == "Parallel", pair).otherwise(F.array(item["variable"]))
-    return relation(kind, names)
+
+    def of_kind(kind: Column) -> Column:
+        return relation(kind, F.when(kind == "Derived", F.array(item["target"], item["source"])).when(kind == "Parallel", pair).otherwise(F.array(item["variable"])))
+
+    return _bound(canonical_kind(item["type"]), of_kind)
 
 
 def model_set(items: Column) -> Column:
@@ -106,9 +122,14 @@ def model_set(items: Column) -> Column:
 
 def model_set_strict(items: Column) -> Column:
     """The relations of a model's answer as a sorted set; raises on the first malformed object."""
-    bad = model_invalid(items)
-    said = F.concat(F.lit("malformed relationship "), F.get(bad, F.lit(0))["index"].cast("string"), F.lit(": "), F.get(bad, F.lit(0))["error"])
-    return F.when(F.when(F.size(bad) > 0, F.raise_error(said)).otherwise(F.lit(True)).cast("boolean"), model_set(items))
+
+    def read(marked: Column) -> Column:
+        first = F.get(F.filter(marked, lambda m: m["relation"].isNull()), F.lit(0))
+        said = F.concat(F.lit("malformed relationship "), first["index"].cast("string"), F.lit(": "), _problem(first["item"]))
+        checked = F.when(F.exists(marked, lambda m: m["relation"].isNull()), F.raise_error(said)).otherwise(F.lit(True))
+        return F.when(checked.cast("boolean"), F.array_sort(F.array_distinct(F.transform(marked, lambda m: m["relation"]))))
+
+    return _bound(F.transform(items, lambda x, i: F.struct(i.alias("index"), x.alias("item"), model_item(x).alias("relation"))), read)
 
 
 def model_invalid(items: Column) -> Column:
@@ -142,16 +163,18 @@ def file_text(relations: Column) -> Column:
 
 def as_json(relation_: Column) -> Column:
     """A relation as JSON, by kind: target and source, variables, or variable."""
-    kind, names = relation_["kind"], relation_["variables"]
-    return F.to_json(
-        F.struct(
+
+    def fields(r: Column) -> Column:
+        kind, names = r["kind"], r["variables"]
+        return F.struct(
             kind.alias("type"),
             F.when(~kind.isin("Derived", "Parallel"), F.get(names, F.lit(0))).alias("variable"),
             F.when(kind == "Parallel", names).alias("variables"),
             F.when(kind == "Derived", F.get(names, F.lit(0))).alias("target"),
             F.when(kind == "Derived", F.get(names, F.lit(1))).alias("source"),
         )
-    )
+
+    return F.to_json(_bound(relation_, fields))
 
 
 def coverage(selected: Column, expected: Column) -> Column:
