@@ -17,8 +17,9 @@ import uuid
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -159,10 +160,10 @@ class Method:
 
 
 def packed_methods(unit: DataFrame, ref: DataFrame, cfg: DataFrame) -> DataFrame:
-    """One row a method: arrays of its units, references and edges."""
-    of = unit.select("unit_id", "method_id")
+    """One row a method: arrays of its units, references and edges. References that name their ``method_id`` need no join."""
+    owned = ref if "method_id" in ref.columns else ref.join(unit.select("unit_id", "method_id"), "unit_id")
     units = unit.groupBy("method_id").agg(F.collect_list(F.struct("unit_id", "ordinal", "kind")).alias("units"))
-    refs = ref.join(of, "unit_id").groupBy("method_id").agg(F.collect_list(F.struct("unit_id", "role", "ordinal", "value", "is_local", "base")).alias("refs"))
+    refs = owned.groupBy("method_id").agg(F.collect_list(F.struct("unit_id", "role", "ordinal", "value", "is_local", "base")).alias("refs"))
     flow = cfg.groupBy("method_id").agg(F.collect_list(F.struct("src", "dst", "ordinal")).alias("cfg"))
     return units.join(refs, "method_id", "left").join(flow, "method_id", "left")
 
@@ -170,6 +171,26 @@ def packed_methods(unit: DataFrame, ref: DataFrame, cfg: DataFrame) -> DataFrame
 _SLICED = "method_id long, target long, relations array<struct<kind:string,variables:array<string>>>, slice array<long>, graph array<struct<src:long,dst:long>>, open boolean, seconds double, error string"
 
 
+def _plain(values: pa.Array) -> list:
+    """Python values of a flat array, converted as a whole where that keeps them as they are."""
+    if values.null_count and not pa.types.is_string(values.type):
+        return values.to_pylist()
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[dict]]:
+    """The structs of each list as dictionaries; a null list is empty. Fields are converted a batch at a time, not struct by struct."""
+    inner = column.flatten()
+    names = [f.name for f in inner.type]
+    rows = zip(*(_plain(f) for f in inner.flatten()), strict=True)
+    for n in column.value_lengths().fill_null(0).to_pylist():
+        yield [dict(zip(names, next(rows), strict=True)) for _ in range(n)]
+
+
+def _nested(lists, inner: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, lists), initial=0)), pa.int32()), inner)
+
+
 def sliced(methods: DataFrame, targets: DataFrame, timeout: float | None = None) -> DataFrame:
     """For each target (method_id, target): its relations, slice and slice graph, and whether the method's head has live names.
 
@@ -177,24 +198,29 @@ def sliced(methods: DataFrame, targets: DataFrame, timeout: float | None = None)
     ``error`` in place of a slice. ``seconds`` is the time that it took.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples(index=False):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for units, refs, cfg, target in zip(*(_lists(batch[c]) for c in ("units", "refs", "cfg")), batch["target"].to_pylist(), strict=True):
                 began = time.monotonic()
                 try:
-                    m = Method(r.units, r.refs if r.refs is not None else (), r.cfg if r.cfg is not None else (), began + timeout if timeout else float("inf"))
-                    live, relations = m.flowing(r.target)
-                    found = [{"kind": k, "variables": list(v)} for k, v in sorted(relations)]
-                    kept = m.slice_of(r.target, live)
-                    edges = [{"src": a, "dst": b} for a, b in m.slice_graph(kept)]
+                    m = Method(units, refs, cfg, began + timeout if timeout else float("inf"))
+                    live, relations = m.flowing(target)
+                    kept = m.slice_of(target, live)
+                    edges = m.slice_graph(kept)
                     is_open = m.kind.get(m.head) == "identity" and bool(live.get(m.head))
-                    rows.append((r.method_id, r.target, found, kept, edges, is_open, time.monotonic() - began, None))
+                    found.append((sorted(relations), kept, edges, is_open, time.monotonic() - began, None))
                 except Exception as e:
-                    rows.append((r.method_id, r.target, [], [], [], False, time.monotonic() - began, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["method_id", "target", "relations", "slice", "graph", "open", "seconds", "error"])
-
-    return targets.select("method_id", "target").join(methods, "method_id").mapInPandas(run, _SLICED)
+                    found.append(([], [], [], False, time.monotonic() - began, f"{type(e).__name__}: {e}"))
+            relations, kept, edges, is_open, seconds, error = zip(*found, strict=True) if found else ([],) * 6
+            flat = [r for of in relations for r in of]
+            named = pa.StructArray.from_arrays([pa.array([k for k, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.list_(pa.string()))], ["kind", "variables"])
+            pairs = [e for of in edges for e in of]
+            graph = pa.StructArray.from_arrays([pa.array([e[k] for e in pairs], pa.int64()) for k in (0, 1)], ["src", "dst"])
+            columns = [batch["method_id"], batch["target"], _nested(relations, named), pa.array(kept, pa.list_(pa.int64())), _nested(edges, graph), pa.array(is_open, pa.bool_()), pa.array(seconds, pa.float64()), pa.array(error, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["method_id", "target", "relations", "slice", "graph", "open", "seconds", "error"])
+
+    return targets.select("method_id", "target").join(methods, "method_id").mapInArrow(run, _SLICED)
 
 
 def callsites(unit: DataFrame, searched: DataFrame) -> DataFrame:

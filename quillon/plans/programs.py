@@ -50,7 +50,7 @@ def _program(at: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     uses = [reference("use", F.col("use1"), 0), reference("use", F.col("use2"), 1)]
     roles = F.when(last, F.array(*uses, reference("arg", F.col("use1"), 0), reference("arg", F.col("use2"), 1))).when(F.col("branch"), F.array(*uses)).otherwise(F.array(*uses, reference("def", F.col("def"), 0)))
-    return unit, at.select("unit_id", F.explode(roles).alias("r")).select("unit_id", "r.*")
+    return unit, at.select("method_id", "unit_id", F.explode(roles).alias("r")).select("method_id", "unit_id", "r.*")
 
 
 def _straight_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
