@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +34,31 @@ def durable(df: DataFrame) -> DataFrame:
     The shuffle files behind it are then of no use and are removed at once, where the
     version of Spark can; the session's setting is put back.
     """
+    ensure_checkpoint_dir(df.sparkSession)
+    with _shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in a new folder under the checkpoint folder, and that folder.
+
+    Unlike a checkpoint, which keeps the size that Spark estimated for the plan behind it,
+    the files have a size of their own; estimates of joins in a loop multiply with each round.
+    """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    path = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    with _shuffles_removed(spark):
+        df.select("*").write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in _CLEANUP}
     try:
         for key in before:
             spark.conf.set(key, "true")
-        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes the setting
+        yield
     finally:
         for key, value in before.items():
             if value is None:

@@ -74,6 +74,12 @@ def is_connected(edges: DataFrame) -> DataFrame:
     return components(edges).agg((F.countDistinct("component") <= 1).alias("connected"))
 
 
+def connected_graphs(edges: DataFrame, graph: str) -> DataFrame:
+    """``graph, connected`` for each graph that has edges, all graphs in the same rounds."""
+    ends = (F.struct(F.col(graph).alias("graph"), F.col(end).alias("node")).alias(end) for end in ("src", "dst"))
+    return components(edges.select(*ends)).groupBy(F.col("node.graph").alias(graph)).agg((F.countDistinct("component") <= 1).alias("connected"))
+
+
 def bridged(edges: DataFrame, kept: DataFrame, rounds: int = 10_000) -> DataFrame:
     """``src, dst`` for kept nodes joined by a path whose inner nodes are all not kept.
 

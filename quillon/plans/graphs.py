@@ -79,8 +79,8 @@ def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One path through all customers is connected, seven of them are not."""
-    one, seven = (G.is_connected(_steps(spark, sf_dir, w)).select(F.lit(w).alias("width"), "connected") for w in (1, 7))
-    return one.unionByName(seven)
+    one, seven = (_steps(spark, sf_dir, w).withColumn("width", F.lit(w)) for w in (1, 7))
+    return G.connected_graphs(one.unionByName(seven), "width")
 
 
 def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
