@@ -15,8 +15,9 @@ without any.
    are never compared. Sets are told apart by a digest of 128 bits over the hashes of
    their tokens (56 bits each), their size and a bitmap; tokens are not looked at again.
 3. A class is compared first with the earliest class of each of a few tokens of its
-   prefix, chosen by hash, and of these with the one that it shares most with. A large
-   group of near copies so costs about as many comparisons as it has lines.
+   prefix, chosen by hash, that ``MANY`` classes or more have among theirs, and of these
+   with the one that it shares most with. A large group of near copies so costs about as
+   many comparisons as it has lines; small groups are left to the join.
 4. Only classes that this leaves open are joined with all others: two classes are
    candidates if a token of the larger one's prefix is in that of the smaller one,
    which need be only as long as for a class of its own size, and if they pass the
@@ -47,6 +48,8 @@ BUCKETS = 1 << 18
 WIDE = 80
 #: Tokens of a prefix by which a class looks for an earlier one that settles it.
 FEW = 4
+#: Classes of a token from which they are first compared with its earliest one; fewer are left to the join.
+MANY = 9
 _HASH_BITS = 56
 
 
@@ -183,7 +186,7 @@ def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(least).alias("token"))
     first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
     # written first, so that both sides of the join come from a shuffle and a skewed token is split
-    earliest = durable(rows.groupBy("token").agg(first, F.count("*").alias("classes")).where("classes > 1").select("token", "p.*"))
+    earliest = durable(rows.groupBy("token").agg(first, F.count("*").alias("classes")).where(F.col("classes") >= MANY).select("token", "p.*"))
     pairs = rows.alias("x").join(earliest.alias("y"), "token").where(F.expr(f"{_lengths_allow(similar)} AND {_bits_allow(similar)} AND {_FIRST}"))
     return _best(_shared(pairs))
 
