@@ -14,10 +14,11 @@ without any.
 2. Lines with one token set form a class that its first line stands for, so copies
    are never compared. Sets are told apart by a digest of 128 bits over the hashes of
    their tokens (56 bits each), their size and a bitmap; tokens are not looked at again.
-3. A class is compared first with the earliest class of each of a few tokens of its
-   prefix, chosen by hash, that ``MANY`` classes or more have among theirs, and of these
-   with the one that it shares most with. A large group of near copies so costs about as
-   many comparisons as it has lines; small groups are left to the join.
+3. A class is compared first with the earliest class of each two of a few tokens of its
+   prefix, chosen by hash, that ``MANY`` classes or more have among theirs (single tokens
+   where the prefix is shorter), and of these with the one that it shares most with. A
+   large group of near copies so costs about as many comparisons as it has lines; small
+   groups are left to the join.
 4. Only classes that this leaves open are joined with all others: two classes are
    candidates if a token of the larger one's prefix is in that of the smaller one,
    which need be only as long as for a class of its own size, and if they pass the
@@ -33,6 +34,8 @@ result's name, the result's gets underscores before it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +49,12 @@ SIMILAR = (4, 5)
 BUCKETS = 1 << 18
 #: Tokens from which a line has a bitmap of 128 bits, as 64 tell long lines apart badly.
 WIDE = 80
-#: Tokens of a prefix by which a class looks for an earlier one that settles it.
-FEW = 4
-#: Classes of a token from which they are first compared with its earliest one; fewer are left to the join.
+#: Tokens of a prefix by which, two at a time, a class looks for an earlier one that settles it.
+FEW = 3
+#: Classes that share two such tokens from which they are first compared with the earliest one; fewer are left to the join.
 MANY = 9
+#: Bits of a table of what a join's other side holds; the table is of this size whatever the corpus.
+SIEVE_BITS = 1 << 22
 _HASH_BITS = 56
 
 
@@ -79,8 +84,14 @@ def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nd
     return classes
 
 
-def _keys(line: Column, classes: np.ndarray) -> Column:
-    """A key for each distinct token, in ascending order: rarity class above, 56 bits of the hash below."""
+def _hashes(line: Column) -> Column:
+    """The hashes of a line's distinct tokens in ascending order."""
+    hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
+    return F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))))
+
+
+def _keys(hashes: Column, classes: np.ndarray) -> Column:
+    """A key for each token, in ascending order: rarity class above, 56 bits of the hash below."""
     ranks = F.from_json(F.lit("[" + ",".join(map(str, classes.tolist())) + "]"), "array<tinyint>")
     nothing = F.lit(0).cast("tinyint")  # no element is null, so that arrays of them are sorted as plain numbers
 
@@ -88,8 +99,7 @@ def _keys(line: Column, classes: np.ndarray) -> Column:
         rank = F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(len(classes) - 1)).cast("int")), nothing)
         return F.shiftleft(rank.cast("long"), _HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
-    hashes = F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t)))
-    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
+    return F.sort_array(F.transform(hashes, key))
 
 
 def prefix_size(n: Column, num: int, den: int) -> Column:
@@ -103,13 +113,15 @@ def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, sim
     Nothing is filtered here, as a filter would go below the projection and sort the
     tokens a second time.
     """
-    keyed = _lines(docs, doc_id, text).select("doc", "line_no", _keys(F.col("line"), classes).alias("keys"))
-    bitmap = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
-    n = F.size("keys")
-    half = F.aggregate("keys", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
+    hashed = _lines(docs, doc_id, text).select("doc", "line_no", _hashes(F.col("line")).alias("hashes"))
+    # what is used twice stays a projection of its own: within a lambda's operand Spark interprets all functions
+    keyed = hashed.select("doc", "line_no", "hashes", F.size("hashes").alias("n"), _keys(F.col("hashes"), classes).alias("keys"))
+    n = F.col("n")
+    bitmap = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
+    half = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
     # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
     prefix = F.transform(F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar))), lambda k: F.hash(k))
-    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), n.alias("n"), bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
+    return keyed.select("doc", "line_no", F.xxhash64("hashes").alias("set"), F.xxhash64(F.lit(1), "hashes").alias("set2"), "n", bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
 
 
 def _bit(k: Column) -> Column:
@@ -136,12 +148,32 @@ def _lengths_allow(similar: tuple[int, int]) -> str:
     return f"{den} * y.n >= {num} * x.n AND {den} * x.n >= {num} * y.n"
 
 
+def _sieve(wanted: DataFrame, bits: int = SIEVE_BITS) -> Callable[..., Column]:
+    """A condition that is true for all rows of ``wanted``, and for few others while these are few beside ``bits``.
+
+    Put before a join with ``wanted`` it saves rows the shuffle, and decides nothing.
+    """
+    at = F.xxhash64(*wanted.columns).bitwiseAND(F.lit(bits - 1))
+    set_ = wanted.select(F.shiftright(at, 6).alias("word"), _bit(at).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(max(1, bits // 64), dtype=np.int64)
+    words[set_["word"].to_numpy()] = set_["bits"].to_numpy()
+    table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
+
+    def may_hold(*columns: Column) -> Column:
+        h = F.xxhash64(*columns).bitwiseAND(F.lit(bits - 1))
+        return F.coalesce(F.get(table, F.shiftright(h, 6).cast("int")), F.lit(0)).bitwiseAND(_bit(h)) != 0
+
+    return may_hold
+
+
 def _tokens(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc, line_no, tokens``: the token sets of all lines that stand in pairs, as strings."""
     places = pairs.selectExpr("x_doc AS doc", "x_line AS line_no").unionByName(pairs.selectExpr("y_doc AS doc", "y_line AS line_no"))
     wanted = places.groupBy("doc").agg(F.collect_set("line_no").alias("wanted"))
+    in_pairs = _sieve(places.select("doc"))
     return durable(
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+        .where(in_pairs(F.col("id")))
         .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
         .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
         .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
@@ -180,10 +212,19 @@ def _shared(pairs: DataFrame, later: str = "x", earlier: str = "y") -> DataFrame
     return named.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.count("*").alias("shared"))
 
 
-def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """One candidate for each class: the earliest one of some of its tokens, the least by hash of its prefix."""
+def _signed(firsts: DataFrame) -> DataFrame:
+    """Each class once for each two of the ``FEW`` least tokens of its prefix by hash, or for each one of a shorter prefix."""
     least = F.slice(F.sort_array("prefix"), 1, FEW)
-    rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(least).alias("token"))
+    pairs = F.array(*(F.hash(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for j in range(FEW) for i in range(j)))
+    rows = firsts.select("doc", "line_no", "n", "bits", "half", least.alias("least"))
+    return rows.select("doc", "line_no", "n", "bits", "half", F.explode(F.when(F.size("least") < FEW, F.col("least")).otherwise(pairs)).alias("token"))
+
+
+def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """One candidate for each class: the earliest one of some that share two tokens of its prefix."""
+    rows = _signed(firsts)
+    frequent = _sieve(rows.groupBy("token").count().where(F.col("count") >= MANY).select("token"))
+    rows = rows.where(frequent(F.col("token")))
     first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
     # written first, so that both sides of the join come from a shuffle and a skewed token is split
     earliest = durable(rows.groupBy("token").agg(first, F.count("*").alias("classes")).where(F.col("classes") >= MANY).select("token", "p.*"))
@@ -217,8 +258,8 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     every = durable(_described(docs, doc_id, text, rarity(docs, text), similar))
     described = every.where(F.col("n") >= min_tokens)
     same = ["set", "set2", "n", "bits"]
-    classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "half", "prefix"))
-    first = classes.select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
+    classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.count("*").alias("lines"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "lines", "half", "prefix"))
+    first = classes.where(F.col("lines") > 1).select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
     firsts = classes.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
     on = (F.col("set") == F.col("set_1")) & (F.col("set2") == F.col("set2_1")) & (F.col("n") == F.col("n_1")) & (F.col("bits") == F.col("bits_1"))
@@ -227,7 +268,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
     near = durable(_settling(firsts, similar))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set", "set2"))
+    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set", "set2", "lines"))
     release(classes)
     pairs = durable(_candidates(marked, similar))
     release(marked)
