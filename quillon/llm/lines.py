@@ -14,11 +14,10 @@ without any.
 2. Lines with one token set form a class that its first line stands for, so copies
    are never compared. Sets are told apart by a digest of 128 bits over the hashes of
    their tokens (56 bits each), their size and a bitmap; tokens are not looked at again.
-3. A class is compared first with the earliest class of each two of a few tokens of its
-   prefix, chosen by hash, that ``MANY`` classes or more have among theirs (single tokens
-   where the prefix is shorter), and of these with the one that it shares most with. A
-   large group of near copies so costs about as many comparisons as it has lines; small
-   groups are left to the join.
+3. A class is compared first with the earliest class of each of a few tokens of its
+   prefix, chosen by hash, that ``MANY`` classes or more have among theirs, and of these
+   with the one that it shares most with. A large group of near copies so costs about as
+   many comparisons as it has lines; small groups are left to the join.
 4. Only classes that this leaves open are joined with all others: two classes are
    candidates if a token of the larger one's prefix is in that of the smaller one,
    which need be only as long as for a class of its own size, and if they pass the
@@ -49,10 +48,10 @@ SIMILAR = (4, 5)
 BUCKETS = 1 << 18
 #: Tokens from which a line has a bitmap of 128 bits, as 64 tell long lines apart badly.
 WIDE = 80
-#: Tokens of a prefix by which, two at a time, a class looks for an earlier one that settles it.
-FEW = 3
-#: Classes that share two such tokens from which they are first compared with the earliest one; fewer are left to the join.
-MANY = 9
+#: Tokens of a prefix by which a class looks for an earlier one that settles it.
+FEW = 4
+#: Classes of a token from which they are first compared with its earliest one; fewer are left to the join.
+MANY = 128
 #: Bits of a table of what a join's other side holds; the table is of this size whatever the corpus.
 SIEVE_BITS = 1 << 22
 _HASH_BITS = 56
@@ -212,17 +211,9 @@ def _shared(pairs: DataFrame, later: str = "x", earlier: str = "y") -> DataFrame
     return named.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.count("*").alias("shared"))
 
 
-def _signed(firsts: DataFrame) -> DataFrame:
-    """Each class once for each two of the ``FEW`` least tokens of its prefix by hash, or for each one of a shorter prefix."""
-    least = F.slice(F.sort_array("prefix"), 1, FEW)
-    pairs = F.array(*(F.hash(F.get("least", F.lit(i)), F.get("least", F.lit(j))) for j in range(FEW) for i in range(j)))
-    rows = firsts.select("doc", "line_no", "n", "bits", "half", least.alias("least"))
-    return rows.select("doc", "line_no", "n", "bits", "half", F.explode(F.when(F.size("least") < FEW, F.col("least")).otherwise(pairs)).alias("token"))
-
-
 def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """One candidate for each class: the earliest one of some that share two tokens of its prefix."""
-    rows = _signed(firsts)
+    """One candidate for each class: the earliest one of some of its tokens, the least by hash of its prefix."""
+    rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(F.slice(F.sort_array("prefix"), 1, FEW)).alias("token"))
     frequent = _sieve(rows.groupBy("token").count().where(F.col("count") >= MANY).select("token"))
     rows = rows.where(frequent(F.col("token")))
     first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
