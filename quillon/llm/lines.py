@@ -51,7 +51,7 @@ WIDE = 80
 #: Tokens of a prefix by which a class looks for an earlier one that settles it.
 FEW = 4
 #: Classes of a token from which they are first compared with its earliest one; fewer are left to the join.
-MANY = 128
+MANY = 32
 #: Bits of a table of what a join's other side holds; the table is of this size whatever the corpus.
 SIEVE_BITS = 1 << 22
 _HASH_BITS = 56
