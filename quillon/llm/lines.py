@@ -33,10 +33,12 @@ result's name, the result's gets underscores before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.durable import durable, release
@@ -55,6 +57,8 @@ MANY = 32
 #: Bits of a table of what a join's other side holds; the table is of this size whatever the corpus.
 SIEVE_BITS = 1 << 22
 _HASH_BITS = 56
+#: The size of a task's map of sums, which is kept by generated code up to that size; its default holds a quarter of the counters.
+_MAP_BITS = ("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "19")
 
 
 def _split(line: Column) -> Column:
@@ -71,22 +75,43 @@ def rarity(docs: DataFrame, text: str = "text", buckets: int = BUCKETS) -> np.nd
     The empty token, which stands between two separators, is counted as well: no line
     has it, so it only adds to its bucket's count.
     """
-    tokens = docs.select(F.explode(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("t"))
-    counted = (
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line"))
+    tokens = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("t"))
+    counts = (
         tokens.groupBy(F.expr(f"cast(xxhash64(t) & {buckets - 1} as int)").alias("bucket"))
         .count()
         .select("bucket", F.least(F.floor(6 * F.log2("count")), F.lit(127)).cast("int").alias("class"))
-        .toArrow()
     )
+    counted = _summed(counts)
     classes = np.zeros(buckets, dtype=np.int64)
     classes[counted["bucket"].to_numpy()] = counted["class"].to_numpy()
     return classes
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while; it is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def _summed(sums: DataFrame) -> pa.Table:
+    """The rows of an aggregation of many groups."""
+    with _set(sums.sparkSession, *_MAP_BITS):
+        return sums.toArrow()
+
+
 def _hashes(line: Column) -> Column:
-    """The hashes of a line's distinct tokens in ascending order."""
+    """The hashes of a line's distinct tokens."""
     hashes = F.transform(F.split(F.lower(line), " "), lambda t: F.xxhash64(t))
-    return F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit("")))))
+    return F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))
 
 
 def _keys(hashes: Column, classes: np.ndarray) -> Column:
@@ -117,15 +142,15 @@ def _described(docs: DataFrame, doc_id: str, text: str, classes: np.ndarray, sim
     keyed = hashed.select("doc", "line_no", "hashes", F.size("hashes").alias("n"), _keys(F.col("hashes"), classes).alias("keys"))
     n = F.col("n")
     bitmap = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k)))
-    half = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 0, s).otherwise(s.bitwiseXOR(_bit(k))))
+    half = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(_bit(k, F.shiftright(k, 6).bitwiseAND(F.lit(1).cast("long")))))
     # 32 bits of a key are enough to bring lines together; keys that share them only add candidates
-    prefix = F.transform(F.slice("keys", F.lit(1), F.least(n, prefix_size(n, *similar))), lambda k: F.hash(k))
-    return keyed.select("doc", "line_no", F.xxhash64("hashes").alias("set"), F.xxhash64(F.lit(1), "hashes").alias("set2"), "n", bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
+    prefix = F.transform(F.slice("keys", F.lit(1), prefix_size(n, *similar)), lambda k: F.hash(k))
+    return keyed.select("doc", "line_no", F.xxhash64("keys").alias("set"), F.xxhash64(F.lit(1), "keys").alias("set2"), "n", bitmap.alias("bits"), F.when(n >= WIDE, half).alias("half"), prefix.alias("prefix"))
 
 
-def _bit(k: Column) -> Column:
-    """The bit of a token in the 64-bit bitmap."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+def _bit(k: Column, value: Column | None = None) -> Column:
+    """The bit of a token in the 64-bit bitmap; not set where ``value``, 0 or 1, is 0."""
+    return F.call_function("shiftleft", F.lit(1).cast("long") if value is None else value, k.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def _bits_allow(similar: tuple[int, int]) -> str:
@@ -153,7 +178,8 @@ def _sieve(wanted: DataFrame, bits: int = SIEVE_BITS) -> Callable[..., Column]:
     Put before a join with ``wanted`` it saves rows the shuffle, and decides nothing.
     """
     at = F.xxhash64(*wanted.columns).bitwiseAND(F.lit(bits - 1))
-    set_ = wanted.select(F.shiftright(at, 6).alias("word"), _bit(at).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    set_ = wanted.select(F.shiftright(at, 6).alias("word"), _bit(at).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    set_ = _summed(set_)
     words = np.zeros(max(1, bits // 64), dtype=np.int64)
     words[set_["word"].to_numpy()] = set_["bits"].to_numpy()
     table = F.from_json(F.lit("[" + ",".join(map(str, words.tolist())) + "]"), "array<bigint>")
@@ -174,8 +200,9 @@ def _tokens(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFr
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
         .where(in_pairs(F.col("id")))
         .join(wanted, F.col("id").eqNullSafe(F.col("doc")))
-        .select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("line_no"))
-        .select("doc", "line_no", F.array_distinct(_split(F.get("lines", F.col("line_no")))).alias("tokens"))
+        .select("doc", "wanted", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))  # so that a text is split once
+        .where(F.array_contains("wanted", F.col("line_no")))
+        .select("doc", "line_no", F.array_distinct(_split(F.col("line"))).alias("tokens"))
     )  # rows that share a doc_id give a line twice, which changes nothing below
 
 
@@ -213,7 +240,7 @@ def _shared(pairs: DataFrame, later: str = "x", earlier: str = "y") -> DataFrame
 
 def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """One candidate for each class: the earliest one of some of its tokens, the least by hash of its prefix."""
-    rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode(F.slice(F.sort_array("prefix"), 1, FEW)).alias("token"))
+    rows = firsts.select("doc", "line_no", "n", "bits", "half", F.explode("few").alias("token"))
     frequent = _sieve(rows.groupBy("token").count().where(F.col("count") >= MANY).select("token"))
     rows = rows.where(frequent(F.col("token")))
     first = F.min(F.struct("doc", "line_no", "n", "bits", "half")).alias("p")
@@ -223,6 +250,13 @@ def _settling(firsts: DataFrame, similar: tuple[int, int]) -> DataFrame:
     return _best(_shared(pairs))
 
 
+def _marked(firsts: DataFrame, done: DataFrame) -> DataFrame:
+    """The classes with ``open``, which is 0 if they are settled and 1 if not."""
+    settled = _sieve(done.select("doc", "line_no"))(F.col("doc"), F.col("line_no"))
+    some = _joined(firsts.where(settled), done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left")
+    return firsts.where(~settled).withColumn("open", F.lit(1)).unionByName(some.withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done"))
+
+
 def _candidates(marked: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Pairs of classes of which the later one is open, the larger one being x.
 
@@ -232,13 +266,14 @@ def _candidates(marked: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """
     num, den = similar
     place = ["doc", "line_no", "n", "bits", "half", "open"]
-    x = marked.select(*place, F.posexplode("prefix").alias("i", "token")).alias("x")
-    small = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), prefix_size(F.col("n"), 2 * num, num + den)))
-    y = marked.select(*place, F.posexplode(small).alias("i", "token")).alias("y")
-    positions = f"{num + den} * least(x.n - x.i, y.n - y.i) >= {num} * (x.n + y.n)"  # from 0; this token is the first in common
-    size = f"x.n >= y.n AND {den} * y.n >= {num} * x.n"
+    # the largest set that is similar if token i (from 0) is the first in common, so that a pair needs no arithmetic
+    reach = F.expr(f"cast(({num + den} * (n - i) - {num} * n) div {num} AS int) AS reach")
+    x = marked.select(*place, F.posexplode("prefix").alias("i", "token")).select(*place, reach, "token").alias("x")
+    small = F.slice("prefix", F.lit(1), prefix_size(F.col("n"), 2 * num, num + den))
+    y = marked.select(*place, F.posexplode(small).alias("i", "token")).select(*place, reach, "token").alias("y")
+    size = "x.n >= y.n AND y.reach >= x.n AND x.reach >= y.n"
     open_ = f"IF({_FIRST}, x.open, IF(x.n = y.n, 0, y.open)) = 1"  # of two that are as large the later one is x
-    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(F.expr(f"{size} AND {positions} AND {_bits_allow(similar)} AND {open_}"))
+    pairs = x.join(y, F.col("x.token") == F.col("y.token")).where(F.expr(f"{size} AND {_bits_allow(similar)} AND {open_}"))
     swapped = F.expr(_FIRST)
     sides = [F.when(swapped, F.struct("x.doc", "x.line_no")).otherwise(F.struct("y.doc", "y.line_no")).alias("later"), F.when(swapped, F.struct("y.doc", "y.line_no")).otherwise(F.struct("x.doc", "x.line_no")).alias("earlier")]
     return _shared(pairs.select(*sides), "later", "earlier")
@@ -249,7 +284,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     every = durable(_described(docs, doc_id, text, rarity(docs, text), similar))
     described = every.where(F.col("n") >= min_tokens)
     same = ["set", "set2", "n", "bits"]
-    classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.count("*").alias("lines"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "lines", "half", "prefix"))
+    classes = durable(described.groupBy(*same).agg(F.min(F.struct("doc", "line_no")).alias("place"), F.count("*").alias("lines"), F.first("half").alias("half"), F.first("prefix").alias("prefix")).select(*same, "place.*", "lines", "half", "prefix", F.slice(F.sort_array("prefix"), 1, FEW).alias("few")))
     first = classes.where(F.col("lines") > 1).select(*(F.col(c).alias(f"{c}_1") for c in (*same, "doc", "line_no")))
     # a set of n tokens reaches n / (n + 1) at most with another one, so short ones are settled by their hash
     firsts = classes.where(F.col("n") * (similar[1] - similar[0]) >= similar[0])
@@ -259,7 +294,7 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
     near = durable(_settling(firsts, similar))
     done = durable(_verified(near, _tokens(near, docs, doc_id, text), similar))
-    marked = durable(_joined(firsts, done.withColumn("done", F.lit(1)), ["doc", "line_no"], "left").withColumn("open", 1 - F.coalesce("done", F.lit(0))).drop("done", "set", "set2", "lines"))
+    marked = durable(_marked(firsts.drop("set", "set2", "lines", "few"), done))
     release(classes)
     pairs = durable(_candidates(marked, similar))
     release(marked)

@@ -130,8 +130,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    given = docs.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)))  # a null text has no lines
+    given = docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))))
     return lines.deduplicated(given, min_tokens=1).select(
         "doc_id",
         (F.col("n_lines") - F.size("removed")).cast("long").alias("n_kept"),
