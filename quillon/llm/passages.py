@@ -18,10 +18,12 @@ with one minimizer is a segment.
    the first document that has it; they may share windows all the same. Their texts are
    fetched.
 3. These texts, dealt by minimizer, are the shards. A shard's suffix array is built by
-   induced sorting, with the permuted common prefixes; neighbours that agree in
+   prefix doubling, or induced sorting if long strings repeat, with the permuted common prefixes; neighbours that agree in
    ``length`` bytes are equal windows, and all but those of the least document go.
-   Where very many segments share a minimizer, their windows are dealt one by one
-   under the hash of the whole window, so no task gets them all.
+   Where very many segments share a minimizer, their windows are dealt by it and what
+   stands before or behind it; where very many share that, one by one under the
+   hash of the whole window, so no task gets them all. Equal texts of a shard are
+   decided before it is sorted.
 
 Null text is empty. Matches within one document, or between rows with one id, remove
 nothing. Rows without an id keep all bytes and remove none. Texts shorter than
@@ -34,10 +36,11 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,18 +54,20 @@ GRAM = 24
 #: Bytes of text that a task works on at a time.
 SLICE_BYTES = 1 << 20
 #: Segments that a task holds before it sends them on.
-HELD = 1 << 18
+HELD = 1 << 19
 #: Differing segments of one minimizer beyond which single windows are dealt.
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
 SHARD_BYTES = 1 << 20
-#: Bytes of stored input for each of the partitions, which are read whole; there are two for each shuffle partition at least.
+#: Bytes of stored input for each of the partitions, which are read whole; there are as many as shuffle partitions at least.
 PART_BYTES = 16 << 20
 #: Bits of a place's last number that are the segment's size; until segments are decided a second hash stands above them.
 _SIZE = (1 << 32) - 1
 
 #: Bits of a minimizer that segments are filed under, and of its place in a slice.
 _FILED, _AT = 38, 26
+#: Bits of the hash of what surrounds a minimizer on either side; windows for each minimizer up to which its place is sent as well.
+_SIDE, _WIDEST = 28, 128
 #: doc, start, bytes of a segment, and the hashes it is filed under.
 #: and of what surrounds the minimizer: two windows that share one agree on half of the rest, before or behind it.
 _PLACE = np.dtype([("group", "<u8"), ("same", "<u8"), ("around", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("bytes", "<i8")])
@@ -139,18 +144,24 @@ def segments(texts: list[bytes], docs: np.ndarray, length: int, powers: Powers,
     up_2, down_2 = second.upto(n + 1)
     out["bytes"] = stop - start | _second_hash(_totals(data, down_2), up_2, start, stop)
     out["around"] = _EITHER
-    if placed:
+    if placed and width <= _WIDEST:
         gram = (of[first] & np.uint64((1 << _AT) - 1)).astype(np.int64)
-        half = (length - GRAM + 1) // 2
+        half = width // 2
         before, behind = gram - half, gram + GRAM + half
-        left = np.where(before >= start, _hash_of(total, up, np.maximum(before, 0), gram + GRAM) >> np.uint64(32) | np.uint64(1), np.uint64(0))
-        right = np.where(behind <= stop, _hash_of(total, up, gram, np.minimum(behind, n)) >> np.uint64(32) | np.uint64(1), np.uint64(0))
-        out["around"] = left << np.uint64(32) | right
+        left = np.where(before >= start, _hash_of(total, up, np.maximum(before, 0), gram + GRAM) >> np.uint64(64 - _SIDE) | np.uint64(1), np.uint64(0))
+        right = np.where(behind <= stop, _hash_of(total, up, gram, np.minimum(behind, n)) >> np.uint64(64 - _SIDE) | np.uint64(1), np.uint64(0))
+        out["around"] = left << np.uint64(64 - _SIDE) | right << np.uint64(64 - 2 * _SIDE) | (gram - start).astype(np.uint64) << np.uint64(1)
     return out
 
 
 #: Of a segment that may match on either side, whatever the hashes.
-_EITHER = np.uint64(2)
+_EITHER = np.uint64(1)
+
+
+def _around(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes before and behind the minimizer (0 where no window has as much), and where in the segment it begins."""
+    a, side = p["around"], np.uint64((1 << _SIDE) - 1)
+    return a >> np.uint64(64 - _SIDE), a >> np.uint64(64 - 2 * _SIDE) & side, (a >> np.uint64(1) & np.uint64(_WIDEST - 1)).astype(np.int64)
 
 
 def _hash_of(total: np.ndarray, up: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -174,13 +185,50 @@ def _sized(places: np.ndarray) -> np.ndarray:
 
 def may_match(p: np.ndarray) -> np.ndarray:
     """Which places, sorted by group, agree around the minimizer with one of another document."""
-    left, right = p["around"] >> np.uint64(32), p["around"] & np.uint64(0xFFFFFFFF)
+    left, right, _ = _around(p)
     out = p["around"] == _EITHER
     if out.any():  # then all of such a group
         return np.isin(p["group"], p["group"][out]) | _shared(p, left) | _shared(p, right)
     return _shared(p, left) | _shared(p, right)
 
 
+def filed(p: np.ndarray, length: int, hot: int) -> np.ndarray:
+    """The texts to be fetched, under ``group``; ``same`` says whether their windows are dealt one by one.
+
+    A segment goes whole, under its minimizer. Where more than ``hot`` share that, its windows
+    with half of the rest or more before the minimizer, and those with as much behind it, go
+    under the minimizer and that half, if another document has it. Only where as many
+    share this too are windows dealt one by one.
+    """
+    many = _count(p["group"]) > hot
+    whole, of = p[~many], p[many]
+    either = np.isin(of["group"], of["group"][of["around"] == _EITHER])
+    single, of = of[either], of[~either]
+    whole["same"], single["same"] = 0, 1
+    out = [whole, single]
+    left, right, at = _around(of)
+    half = (length - GRAM + 1) // 2
+    gram, stop = of["start"] + at, of["start"] + of["bytes"]
+    first = (of["start"], np.maximum(of["start"], gram + GRAM + half - length))
+    end = (np.minimum(stop, gram - half + length), stop)
+    for k, side in enumerate((left, right)):
+        some = _shared(of, side)
+        more = of[some]
+        more["group"] = _mixed(more["group"] ^ _mixed(side[some] << np.uint64(1) | np.uint64(k)))
+        more["same"] = _count(more["group"]) > hot
+        more["start"], more["bytes"] = first[k][some], (end[k] - first[k])[some]
+        out.append(more)
+    out = np.concatenate(out)
+    out["around"] = 0
+    return out
+
+
+def _count(key: np.ndarray) -> np.ndarray:
+    """How often each value is there."""
+    _, run, count = np.unique(key, return_inverse=True, return_counts=True)
+    return count[run]
+
+
 def _shared(p: np.ndarray, side: np.ndarray) -> np.ndarray:
     out = np.zeros(len(p), dtype=bool)
     some = np.flatnonzero(side > 0)
@@ -203,7 +251,7 @@ def firsts_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     if not len(places):
         return places, places
-    order = np.argsort(places["same"], kind="stable")
+    order = np.argsort(places["same"])
     same, alike = _runs_of_equals(places, order)
     if (same > alike).any():
         order = np.lexsort((places["bytes"], places["group"], places["same"]))
@@ -263,9 +311,16 @@ _DOC_SCHEMA = pa.schema([("doc", pa.int64()), ("spans", pa.binary()), ("wanted",
 def _dealt(places: np.ndarray, key: np.ndarray, parts: int) -> list[bytes | None]:
     """Packed places for each partition, by a hash of the key."""
     part = (_mixed(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((places["start"], places["doc"], part))
+    sorted_ = places[order]
     cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    return [_packed(places[order[a:b]]) if a < b else None for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+    doc = np.diff(sorted_["doc"], prepend=0)
+    some = cuts[:-1][cuts[:-1] < len(places)]
+    doc[some] = sorted_["doc"][some]
+    sorted_["doc"] = doc
+    pack = zstandard.ZstdCompressor(level=1).compress
+    table = sorted_.view(np.uint8).reshape(len(places), _PLACE.itemsize)
+    return [_packed(table[a:b], pack) if a < b else None for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 def _blocks(parts: int, places: np.ndarray | None = None, spans: np.ndarray | None = None, wanted: np.ndarray | None = None) -> pa.RecordBatch:
@@ -280,29 +335,22 @@ def _blocks(parts: int, places: np.ndarray | None = None, spans: np.ndarray | No
 def _gathered(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     """All places, spans and wanted segments of a partition's blocks."""
     held: list[list[np.ndarray]] = [[np.zeros(0, _PLACE)] for _ in range(3)]
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for k, name in enumerate(("places", "spans", "wanted")):
-            held[k] += [_unpacked(b) for b in batch.column(name).drop_null().to_pylist()]
+            held[k] += [_unpacked(b, unpack) for b in batch.column(name).drop_null().to_pylist()]
     return [np.concatenate(h) for h in held]
 
 
-def _packed(p: np.ndarray) -> bytes:
-    """Places column by column, small numbers beside each other, for the shuffle to compress."""
-    p = p[np.lexsort((p["start"], p["doc"]))]
-    doc, start = np.diff(p["doc"], prepend=0), p["start"].astype("<i8")
-    fields = (p["group"], p["same"], p["around"], doc, start, p["bytes"])
-    raw = b"".join(np.ascontiguousarray(f.view("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for f in (np.ascontiguousarray(x) for x in fields))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    n = len(raw) // _PLACE.itemsize
-    columns = [np.ascontiguousarray(raw[8 * n * k : 8 * n * (k + 1)].reshape(8, n).T).view("<u8").reshape(-1) for k in range(6)]
-    out = np.empty(n, dtype=_PLACE)
-    out["group"], out["same"], out["around"] = columns[:3]
-    out["doc"] = np.cumsum(columns[3].view("<i8"))
-    out["start"], out["bytes"] = columns[4].view("<i8"), columns[5].view("<i8")
+def _packed(table: np.ndarray, pack: Callable[[bytes], bytes]) -> bytes:
+    """The bytes of places in order, documents as differences, byte by byte, for the shuffle to compress."""
+    return pack(np.ascontiguousarray(table.T))
+
+
+def _unpacked(data: bytes, unpack: Callable[[bytes], bytes]) -> np.ndarray:
+    table = np.frombuffer(unpack(data), dtype=np.uint8).reshape(_PLACE.itemsize, -1)
+    out = table.T.copy().view(_PLACE).reshape(-1)
+    out["doc"] = np.cumsum(out["doc"])
     return out
 
 
@@ -344,7 +392,7 @@ def _cutter(length: int, parts: int, bases: tuple[int, int]):
     return cut
 
 
-def _decider(parts: int, hot: int):
+def _decider(length: int, parts: int, hot: int):
     """Joins the tasks' segments; sends spans to the documents, and asks for the texts of differing segments with one minimizer."""
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,16 +401,13 @@ def _decider(parts: int, hot: int):
         del places
         wanted = first
         if len(first):
-            first = first[np.argsort(first["group"], kind="stable")]
+            first = first[np.argsort(first["group"])]
             new = np.concatenate(([True], first["group"][1:] != first["group"][:-1]))
             run, at = np.cumsum(new) - 1, np.flatnonzero(new)
             count = np.diff(np.append(at, len(first)))
             ask = (count > 1) & (np.maximum.reduceat(first["doc"], at) != np.minimum.reduceat(first["doc"], at))
             wanted = first[ask[run]]
-            wanted = wanted[may_match(wanted)]
-            _, run, count = np.unique(wanted["group"], return_inverse=True, return_counts=True)
-            wanted["same"] = count[run] > hot  # whether its windows are dealt one by one
-            wanted["around"] = 0
+            wanted = filed(wanted[may_match(wanted)], length, hot)
         yield _blocks(parts, spans=_runs(np.concatenate((spans, gone))), wanted=wanted)
 
     return decide
@@ -391,11 +436,16 @@ _SEGMENT_SCHEMA = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("key",
 
 
 def _fetcher(length: int, parts: int):
-    """Cuts the wanted segments out of their documents."""
+    """Cuts the wanted segments out of their documents.
+
+    Of equal windows within a batch those of the least document go on; the others are
+    decided, and go on as places in a row without a key.
+    """
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            windows: dict[bytes, list[tuple[int, int]]] = {}
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
                 for doc, text, wanted in zip(some.column("doc").to_pylist(), some.column("text").cast(pa.binary()).to_pylist(), some.column("wanted").to_pylist(), strict=True):
@@ -404,8 +454,16 @@ def _fetcher(length: int, parts: int):
                             out.append((group % parts, doc, group.to_bytes(8, "big"), start, text[start : start + n]))
                             continue
                         for k in range(start, start + n - length + 1):
-                            key = hashlib.blake2b(text[k : k + length], digest_size=8).digest()
-                            out.append((int.from_bytes(key, "big") % parts, doc, key, k, text[k : k + length]))
+                            windows.setdefault(text[k : k + length], []).append((doc, k))
+            gone: list[tuple[int, int]] = []
+            for window, places in windows.items():
+                key = hashlib.blake2b(window, digest_size=8).digest()
+                least = min(places)[0]
+                out += [(int.from_bytes(key, "big") % parts, doc, key, k, window) for doc, k in places if doc == least]
+                gone += [place for place in places if place[0] > least]
+            if gone:
+                spans = _runs(_as_places(*np.array(gone, dtype=np.int64).T, length))
+                out.append((gone[0][0] % parts, None, None, None, spans.tobytes()))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENT_SCHEMA, strict=True)], schema=_SEGMENT_SCHEMA)
 
@@ -413,11 +471,23 @@ def _fetcher(length: int, parts: int):
 
 
 def shard_spans(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """The windows of a shard's segments that a smaller document of the shard has, as places."""
+    """The windows of a shard's segments that a smaller document of the shard has, as places.
+
+    Each text is sorted once. It stands for the least document that has it; what other
+    documents have of it goes, and all places of that document lose the same.
+    """
+    code, texts = _coded(texts)
     sizes = np.array([len(t) for t in texts], dtype=np.int32)
+    by_code = np.argsort(code, kind="stable")
+    least = np.minimum.reduceat(docs[by_code], np.searchsorted(code[by_code], np.arange(len(texts))))
+    again = docs > least[code]
+    decided = _as_places(docs[again], starts[again], sizes[code[again]])
+    decided = decided[decided["bytes"] >= length]
+    if (least == least[0]).all():
+        return decided
     data = np.frombuffer(b"\0".join(texts), dtype=np.uint8).astype(np.int16) + 1
     begins = (np.cumsum(sizes + 1) - (sizes + 1)).astype(np.int32)
-    data[(begins[1:] - 1)] = 0  # between segments, below any byte
+    data[(begins[1:] - 1)] = 0  # between texts, below any byte
     order = suffix_array(data)
     segment = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)[: len(data)]
     room = np.repeat(begins + sizes, sizes + 1)[: len(data)] - np.arange(len(data), dtype=np.int32)
@@ -425,13 +495,29 @@ def shard_spans(texts: list[bytes], docs: np.ndarray, starts: np.ndarray, length
     whole = room[order] >= length
     order, agree = order[whole], agree[whole]  # what stands between two equal windows begins as they do
     if not len(order):
-        return np.zeros(0, dtype=_PLACE)
+        return decided
     new = np.flatnonzero(np.concatenate(([True], ~agree[1:])))
-    owner = docs[segment[order]]
-    least = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(order))))
-    gone = order[owner > least]
-    out = np.zeros(len(gone), dtype=_PLACE)
-    out["doc"], out["start"], out["bytes"] = docs[segment[gone]], starts[segment[gone]] + gone - begins[segment[gone]], length
+    owner = least[segment[order]]
+    earlier = np.repeat(np.minimum.reduceat(owner, new), np.diff(np.append(new, len(order))))
+    gone = order[owner > earlier]
+    # the places of each window's text in its least document
+    held = by_code[~again[by_code]]
+    first = np.searchsorted(code[held], np.arange(len(texts) + 1))
+    of = segment[gone]
+    many = np.diff(first)[of]
+    place = held[np.repeat(first[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+    return np.concatenate((decided, _as_places(docs[place], starts[place] + np.repeat(gone - begins[of], many), length)))
+
+
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each text, and the differing texts."""
+    coded = pa.array(texts, pa.binary()).dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def _as_places(docs: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+    out = np.zeros(len(docs), dtype=_PLACE)
+    out["doc"], out["start"], out["bytes"] = docs, starts, sizes
     return out
 
 
@@ -440,11 +526,13 @@ def _sharder(length: int, parts: int):
         read = list(batches)
         if not read:
             return
-        whole = pa.Table.from_batches(read).sort_by("key").combine_chunks()
+        whole = pa.Table.from_batches(read)
+        lone = whole["key"].is_null()
+        found = [np.frombuffer(b, dtype=_PLACE) for b in whole["text"].filter(lone).to_pylist()]
+        whole = whole.filter(pc.invert(lone)).sort_by("key").combine_chunks()
         keys = whole["key"].to_pylist()
         texts, docs, starts = whole["text"].to_pylist(), whole["doc"].to_numpy(), whole["start"].to_numpy()
         at = 0
-        found = []
         while at < len(keys):
             end, size = at, 0
             while end < len(keys) and (size < SHARD_BYTES or keys[end] == keys[end - 1]):
@@ -452,20 +540,21 @@ def _sharder(length: int, parts: int):
                 end += 1
             found.append(shard_spans(texts[at:end], docs[at:end], starts[at:end], length))
             at = end
-        yield _blocks(parts, spans=_runs(np.concatenate(found)))
+        if found:
+            yield _blocks(parts, spans=_runs(np.concatenate(found)))
 
     return solve
 
 
 def removed_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``doc, spans``: packed pairs of byte offsets to remove, in one or more rows a document."""
-    parts = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // PART_BYTES))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // PART_BYTES))
     given = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
-    cut = given.mapInArrow(_cutter(length, parts, (drawn_base(), drawn_base())), _BLOCK).repartition(parts, "part")
-    decided = durable(cut.mapInArrow(_decider(parts, hot), _BLOCK).repartition(parts, "part").mapInArrow(_collect, _DOC))
+    cut = given.mapInArrow(_cutter(length, parts, (drawn_base(), drawn_base())), _BLOCK).repartitionById(parts, F.col("part"))
+    decided = durable(cut.mapInArrow(_decider(length, parts, hot), _BLOCK).repartitionById(parts, F.col("part")).mapInArrow(_collect, _DOC))
     asked = given.join(decided.where("wanted IS NOT NULL").select("doc", "wanted"), "doc").select("doc", "text", "wanted")
-    shards = asked.mapInArrow(_fetcher(length, parts), _SEGMENT).repartition(parts, "part").mapInArrow(_sharder(length, parts), _BLOCK)
-    found = durable(shards.repartition(parts, "part").mapInArrow(_collect, _DOC))
+    shards = asked.mapInArrow(_fetcher(length, parts), _SEGMENT).repartitionById(parts, F.col("part")).mapInArrow(_sharder(length, parts), _BLOCK)
+    found = durable(shards.repartitionById(parts, F.col("part")).mapInArrow(_collect, _DOC))
     return decided.unionByName(found).where("spans IS NOT NULL").select("doc", "spans")
 
 

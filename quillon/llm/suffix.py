@@ -1,4 +1,10 @@
-"""Suffix arrays by induced sorting, in numpy.
+"""Suffix arrays in numpy: by prefix doubling, or by induced sorting where long strings repeat.
+
+Doubling sorts the suffixes by their first symbols, as many as fit a word, then by twice
+as many in each round; suffixes that are apart already take no part. A round is one sort
+of those left, so the time is that of a few sorts where few repeats are long. Texts that
+keep many suffixes together beyond ``DEEP`` symbols are sorted by induction, which
+takes no longer for long repeats.
 
 The scan that induces suffixes from sorted ones is done in blocks: a block ends
 where the first suffix that it induces goes, so all entries of a block are final
@@ -16,6 +22,8 @@ import numpy as np
 _BLOCK = 1 << 16
 #: Pairs of substrings that are compared one by one.
 FEW = 64
+#: Symbols beyond which doubling goes on only if it has to deal with less than an eighth of the suffixes.
+DEEP = 256
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -23,10 +31,47 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
+    if (order := _doubled(text)) is not None:
+        return order
+    return _by_induction(text)
+
+
+def _by_induction(text: np.ndarray) -> np.ndarray:
     t = np.concatenate((text.astype(np.int64) + 1, [0]))
     return _sorted(t, int(t.max()) + 1)[1:].astype(np.int64)
 
 
+def _doubled(text: np.ndarray) -> np.ndarray | None:
+    """By prefix doubling; nothing if too many suffixes agree in more than ``DEEP`` symbols."""
+    n, bits = len(text), (int(text.max()) + 1).bit_length()
+    depth = 63 // bits
+    symbols = np.concatenate((text.astype(np.int64) + 1, np.zeros(depth, dtype=np.int64)))
+    key = symbols[:n].copy()
+    for k in range(1, depth):
+        key <<= bits
+        key |= symbols[k : k + n]
+    order = np.argsort(key)
+    slot, some = np.arange(n), order  # of the suffixes that are left, in the order so far
+    key = key[order]
+    rank = np.zeros(n + 1, dtype=np.int64)  # the first slot of those alike, from 1; an end is 0
+    while True:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(key)))
+        rank[some] = np.repeat(slot[at] + 1, size)
+        order[slot] = some
+        left = np.repeat(size > 1, size)
+        slot, some = slot[left], some[left]
+        if not len(some):
+            return order
+        if depth > DEEP and 8 * len(some) > n:
+            return None
+        key = rank[some] * (n + 1) + rank[np.minimum(some + depth, n)]
+        by = np.argsort(key)
+        some, key = some[by], key[by]
+        depth *= 2
+
+
 def _sorted(t: np.ndarray, symbols: int) -> np.ndarray:
     """As above; ``t`` ends with a zero that it has nowhere else."""
     t = t.astype(np.uint16 if symbols <= 1 << 16 else np.int32)  # numpy sorts 16 bits by radix
