@@ -52,9 +52,9 @@ from quillon.llm.suffix import permuted_lcp, suffix_array
 LENGTH = 50
 GRAM = 24
 #: Bytes of text that a task works on at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Segments that a task holds before it sends them on.
-HELD = 1 << 19
+HELD = 1 << 18
 #: Differing segments of one minimizer beyond which single windows are dealt.
 HOT = 2048
 #: Bytes of a suffix array's text, but for a minimizer with more.
